@@ -95,7 +95,7 @@ def crop_origin(center, size) -> Column:
 
 def parse_id_list(text) -> Column:
     """Comma list to trimmed, non-empty ids; an empty list fails the query."""
-    items = F.filter(F.transform(F.split(as_col(text), ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(as_col(text), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(items) > 0, items).otherwise(F.raise_error(F.lit("the id list is empty")))
 
 

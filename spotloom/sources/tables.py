@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from spotloom.functions.scalars import decode_name
 from spotloom.operators import filters, gap, panels
 
-RING = "array<struct<x:double,y:double>>"
+RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
 def read_transcripts(spark: SparkSession, path: str, nucleus_only: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def read_segmentation(spark: SparkSession, path: str, id_column: str | None = No
 
 _FEATURE = T.StructType([
     T.StructField("pos", T.LongType()), T.StructField("cell_id", T.StringType()), T.StructField("class", T.StringType()),
-    T.StructField("vertices", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
+    T.StructField("vertices", RING),
 ])
 
 _GEOJSON = ("features array<struct<properties:struct<cell_id:string,class:string>,"
@@ -174,7 +174,11 @@ def _stems(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
 
 def discover_samples(spark: SparkSession, expression_dir: str, tile_dir: str, expression_suffix: str = ".parquet", tile_suffix: str = ".parquet") -> DataFrame:
     """Samples with both an expression file and a tile file, sorted; none is an error."""
-    both = _stems(spark, expression_dir, expression_suffix).join(_stems(spark, tile_dir, tile_suffix), "sample_id", "left_semi")
+    return samples_with_both(_stems(spark, expression_dir, expression_suffix), _stems(spark, tile_dir, tile_suffix))
+
+
+def samples_with_both(expression: DataFrame, tiles: DataFrame) -> DataFrame:
+    both = expression.select("sample_id").distinct().join(tiles.select("sample_id"), "sample_id", "left_semi")
     return panels.require_rows(both, "no sample has both an expression and a tile file").orderBy("sample_id")
 
 
