@@ -47,7 +47,7 @@ def pearson_summary(pairs: DataFrame, label: str = "cell", by: tuple[str, ...] =
         F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
     gene = gene.withColumn("r", _safe_ratio(F.col("cxy"), F.col("vx"), F.col("vy"), F.col("n")))
     center = gene.groupBy(*by).agg(
-        F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("gx"),
+        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("gx"),
         (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("gy"))
     if by:
         gene = gene.join(center, by)
@@ -56,8 +56,8 @@ def pearson_summary(pairs: DataFrame, label: str = "cell", by: tuple[str, ...] =
     dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
     n = F.col("n")
     pooled = _safe_ratio(
-        F.sum(n * (F.col("cxy") + dx * dy)) / F.max("N"), F.sum(n * (F.col("vx") + dx * dx)) / F.max("N"),
-        F.sum(n * (F.col("vy") + dy * dy)) / F.max("N"), F.max("N"))
+        F.sum(n * (F.col("cxy") + dx * dy)) / F.max("total"), F.sum(n * (F.col("vx") + dx * dx)) / F.max("total"),
+        F.sum(n * (F.col("vy") + dy * dy)) / F.max("total"), F.max("total"))
     genes = gene.groupBy(*by).agg(
         F.coalesce(pooled, dbl(0)).alias("overall_pearson"), F.coalesce(F.avg("r"), dbl(0)).alias("mean_gene_pearson"),
         F.coalesce(F.stddev_pop("r"), dbl(0)).alias("std_gene_pearson"), F.count(F.lit(1)).alias("num_genes"))

@@ -64,6 +64,8 @@ def paired_blocks(
 
     Each side is copied once per chunk of the other side, never per row.
     """
+    # Both sides often come from one table: new column identities keep them apart.
+    left, right = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
     n_left = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_lc"))
     n_right = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_rc"))
     chunks = n_left.join(n_right, keys)
