@@ -45,6 +45,13 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         """SELECT vec_id AS id, concat('g', CAST(d - 1 AS VARCHAR)) AS gene, CAST(v AS DOUBLE) AS value
            FROM (SELECT vec_id, unnest(embedding[1:12]) AS v, unnest(range(1, 13)) AS d FROM embeddings) WHERE v > 0""",
     ),
+    "fx_vpanel": "SELECT gene, CAST(substr(gene, 2) AS BIGINT) AS pos FROM fx_values GROUP BY gene",
+    "fx_tokens": (
+        """SELECT CAST(vec_id % 256 AS BIGINT) AS patch_idx, array(avg(embedding[0]), avg(embedding[1]), avg(embedding[2]), avg(embedding[3])) AS token FROM embeddings GROUP BY vec_id % 256""",
+        """SELECT CAST(vec_id % 256 AS BIGINT) AS patch_idx, [avg(embedding[1]::DOUBLE), avg(embedding[2]::DOUBLE), avg(embedding[3]::DOUBLE), avg(embedding[4]::DOUBLE)] AS token FROM embeddings GROUP BY vec_id % 256""",
+    ),
+    "fx_spot_expr": """SELECT CAST(l_suppkey % 3 AS VARCHAR(5)) AS sample_id, l_suppkey AS spot_id, concat('g', CAST(l_partkey % 10 AS VARCHAR(5))) AS gene, CAST(sum(l_quantity) AS BIGINT) AS cnt
+        FROM lineitem GROUP BY l_suppkey, l_partkey % 10""",
     "fx_pixels": (
         """SELECT p_partkey AS crop_id, y, x, (p_size * 7 + x * 13 + y * 29) % 256 AS r, (p_size * 11 + x * 31 + y * 5) % 256 AS g,
            (p_size * 3 + x * 17 + y * 41) % 256 AS b FROM (SELECT p_partkey, p_size, explode(sequence(0, 7)) AS y FROM part) LATERAL VIEW explode(sequence(0, 7)) t AS x""",
@@ -69,20 +76,26 @@ class Views:
         if name not in VIEWS:
             raise AttributeError(name)
         text = VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][0]
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+        used = [t for t in (*TABLES, *VIEWS) if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-        return self.spark.sql(text, **{t: getattr(self, t) for t in used if f"{{{t}}}" in text})
+        return self.spark.sql(text, **{t: getattr(self, t) for t in used})
 
 
 def oracle(text: str) -> str:
     """Puts the views a text names in front of it as common table expressions."""
     text = text.strip()
-    names, ctes = [], []
-    for name, body in VIEWS.items():
-        if re.search(rf"\b{name}\b", text):
-            names.append(name)
-            ctes.append(f"{name} AS ({body if isinstance(body, str) else body[1]})")
+    needed: list[str] = []
+
+    def need(body: str) -> None:
+        for name, view in VIEWS.items():
+            if name not in needed and re.search(rf"\b{name}\b", body):
+                inner = view if isinstance(view, str) else view[1]
+                need(inner)
+                needed.append(name)
+
+    need(text)
+    ctes = [f"{n} AS ({VIEWS[n] if isinstance(VIEWS[n], str) else VIEWS[n][1]})" for n in needed]
     if not ctes:
         return text
     rest = text[4:] if text[:5].upper() == "WITH " else None

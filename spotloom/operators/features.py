@@ -74,7 +74,7 @@ def platform_auc(points: DataFrame, label: str = "label", seed: int = 0, c: floa
     for fold in range(folds):
         train = dealt.where(F.col("fold") != fold)
         n = train.count()
-        model = LogisticRegression(labelCol="y", maxIter=2000, tol=1e-6, regParam=1.0 / (n * c), standardization=False).fit(train)
+        model = LogisticRegression(labelCol="y", maxIter=2000, tol=1e-4, regParam=1.0 / (n * c), standardization=False).fit(train)
         part = model.transform(dealt.where(F.col("fold") == fold)).select(
             "fold", F.col("y").cast("int").alias("label"), MF.vector_to_array("probability")[1].alias("score"))
         scored = part if scored is None else scored.unionByName(part)
