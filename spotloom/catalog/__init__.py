@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 
-MODULES = ("sources", "basics", "scoring", "vectors", "gaps")
+MODULES = ("sources", "basics", "scoring", "vectors", "gaps", "jobs")
 
 
 def load():

@@ -65,15 +65,27 @@ def _(v):
     return features.standardize(v.fx_embed.select("id", "vec")).select("id", F.posexplode("vec").alias("dim", "x")).select("id", "dim", r6("x", digits=5))
 
 
-@query("vec_05_pca")
-def _(v):
-    projected, info = features.pca(v.fx_embed.select("id", "vec"))
-    # Components are free in sign: report each point's squared length and the explained share.
+def component_lengths(v, k: int | None):
+    """Components are free in sign: each point's squared length and the explained share are reported."""
+    projected, info = features.pca(v.fx_embed.select("id", "vec"), k)
     return projected.withColumn("_i", one_row(info)).select(
         "id", r6(vectors.dot("vec", "vec"), "squared_length", 4), F.col("_i.pca_components").alias("pca_components"),
         r6("_i.pca_explained_variance_ratio_sum", "explained", 4))
 
 
+@query("vec_05_pca", f"""
+WITH u AS (SELECT id, unnest(range(64)) AS dim, unnest(CAST(vec AS DOUBLE[])) AS x FROM fx_embed),
+z AS (SELECT id, dim, (x - avg(x) OVER (PARTITION BY dim)) / stddev_pop(x) OVER (PARTITION BY dim) AS x FROM u)
+SELECT id, {R('sum(x * x)', 'squared_length', 4)}, 64 AS pca_components, 1e0 AS explained FROM z GROUP BY id""")
+def _(v):
+    return component_lengths(v, 64)
+
+
+@query("vec_05_pca_default")
+def _(v):
+    return component_lengths(v, None)
+
+
 @query("vec_06_concat_features", f"""SELECT id, {R('label + 2 * (id % 7) + list_sum(list_transform(CAST(vec AS DOUBLE[]), lambda x, i: x * (i + 2)))', 'checksum', 5)}, CAST(len(vec) + 2 AS INT) AS width FROM fx_embed""")
 def _(v):
     e = v.fx_embed.withColumn("bias", (F.col("id") % 7).cast("double"))

@@ -15,14 +15,9 @@ from spotloom.functions.scalars import as_col, dbl
 def _edges(ring) -> Column:
     """Each vertex with its successor, the last one closing the ring."""
     ring = as_col(ring)
-    return F.transform(
-        ring,
-        lambda p, i: F.struct(
-            p["x"].alias("ax"), p["y"].alias("ay"),
-            F.get(ring, (i + 1) % F.size(ring))["x"].alias("bx"),
-            F.get(ring, (i + 1) % F.size(ring))["y"].alias("by"),
-        ),
-    )
+    successors = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, successors, lambda p, q: F.struct(
+        p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
 
 
 def _total(items: Column, term) -> Column:

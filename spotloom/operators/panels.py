@@ -148,7 +148,7 @@ def rename_for_compare(df: DataFrame, source: str) -> DataFrame:
     if "n_counts" in df.columns:
         total = F.coalesce("total_counts", "n_counts") if "total_counts" in df.columns else F.col("n_counts")
         df = df.withColumn("total_counts", total)
-    for missing, kind in (("n_genes_by_counts", "long"), ("cell_count", "long")):
+    for missing in ("total_counts", "n_genes_by_counts", "cell_count"):
         if missing not in df.columns:
-            df = df.withColumn(missing, F.lit(None).cast(kind))
+            df = df.withColumn(missing, F.lit(None).cast("long"))
     return df.select("obs_name", F.lit(source).alias("source"), "total_counts", "n_genes_by_counts", "cell_count")

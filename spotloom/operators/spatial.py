@@ -53,21 +53,25 @@ class Grid:
         return self.ext["y_min"] + row.cast("double") * dbl(self.step_y)
 
     def nearest(self, x: Column, y: Column) -> Column:
-        """Struct of the nearest of three row candidates, the lower row winning a tie; null off the grid."""
-        base = F.rint((y - self.ext["y_min"]) / dbl(max(self.step_y, RATIO_FLOOR))).cast("long")
-
-        def candidate(shift: int) -> Column:
-            row = base + shift
-            col = F.rint((x - self.start_x(row)) / dbl(self.step_x)).cast("long")
-            col = F.least(F.greatest(col, F.lit(0)), F.greatest(self.cols(row) - 1, F.lit(0)))
-            cx, cy = self.center_x(row, col), self.center_y(row)
-            found = F.struct(
-                ((x - cx) * (x - cx) + (y - cy) * (y - cy)).alias("d2"),
-                row.alias("grid_row"), col.alias("grid_col"), cx.alias("center_x"), cy.alias("center_y"),
-            )
-            return F.when((row >= 0) & (row < self.rows()) & (self.cols(row) > 0), found)
+        """Array with the nearest of three row candidates if it lies within the radius, else empty.
 
-        return F.array_min(F.array_compact(F.array(candidate(-1), candidate(0), candidate(1))))
+        The lower row wins a tie. Each step maps the array of the step before, so the
+        expression stays small and every value is computed once.
+        """
+        base = F.rint((y - self.ext["y_min"]) / dbl(max(self.step_y, RATIO_FLOOR))).cast("long")
+        shifts = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+        rows = F.filter(F.transform(shifts, lambda i: base + i), lambda r: (r >= 0) & (r < self.rows()))
+        placed = F.transform(rows, lambda r: F.struct(
+            r.alias("row"), self.start_x(r).alias("sx"), self.center_y(r).alias("cy"), self.cols(r).alias("n")))
+        columns = F.transform(F.filter(placed, lambda c: c["n"] > 0), lambda c: F.struct(
+            c["row"].alias("row"), c["sx"].alias("sx"), c["cy"].alias("cy"),
+            F.least(F.greatest(F.rint((x - c["sx"]) / dbl(self.step_x)).cast("long"), F.lit(0)), c["n"] - 1).alias("col")))
+        centers = F.transform(columns, lambda c: F.struct(
+            c["row"].alias("row"), c["col"].alias("col"), (c["sx"] + c["col"].cast("double") * dbl(self.step_x)).alias("cx"), c["cy"].alias("cy")))
+        measured = F.transform(centers, lambda c: F.struct(
+            ((x - c["cx"]) * (x - c["cx"]) + (y - c["cy"]) * (y - c["cy"])).alias("d2"),
+            c["row"].alias("grid_row"), c["col"].alias("grid_col"), c["cx"].alias("center_x"), c["cy"].alias("center_y")))
+        return F.slice(F.array_sort(F.filter(measured, lambda c: c["d2"] <= dbl(self.radius ** 2))), 1, 1)
 
 
 def grid_centers(ext: DataFrame, radius: float, spacing: float, layout: str) -> DataFrame:
@@ -88,12 +92,11 @@ def nearest_grid_center(cells: DataFrame, radius: float, spacing: float, layout:
     """Cells within ``radius`` (inclusive) of their nearest grid centre. No join, no shuffle of cells."""
     ext = extent(cells) if ext is None else ext
     grid = Grid(F.col("_ext"), radius, spacing, layout)
+    # The generator drops cells without a hit, so the search is not repeated in a filter.
     return (
         cells.withColumn("_ext", one_row(ext))
-        .withColumn("_hit", grid.nearest(F.col("centroid_x"), F.col("centroid_y")))
-        .where(F.col("_hit.d2") <= dbl(float(radius) ** 2))
-        .select(*cells.columns, "_hit.grid_row", "_hit.grid_col", "_hit.center_x", "_hit.center_y",
-                F.sqrt("_hit.d2").alias("distance"))
+        .select(*cells.columns, F.inline(grid.nearest(F.col("centroid_x"), F.col("centroid_y"))))
+        .withColumn("distance", F.sqrt("d2")).drop("d2")
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from spotloom.operators import counting, filters, normalization, panels, spatial, splits
-from spotloom.session import one_row
+from spotloom.session import one_row, stage
 
 
 @dataclass
@@ -42,10 +42,11 @@ def prepare_cells(
     """Counts per (cell, gene), cells with totals and position folds, the panel and a manifest row.
 
     ``cells`` carries cell_id, centroid_x, centroid_y. Cells without molecules leave
-    before the folds are drawn.
+    before the folds are drawn. Counts and kept cells are staged, so the molecules are
+    scanned once however many results are read.
     """
-    counts = counting.cell_gene_counts(transcripts, cells, panel, remove_control=remove_control, only_nucleus=only_nucleus)
-    kept = counting.attach_counts(cells, counts, drop_zero)
+    counts = stage(counting.cell_gene_counts(transcripts, cells, panel, remove_control=remove_control, only_nucleus=only_nucleus))
+    kept = stage(counting.attach_counts(cells, counts, drop_zero))
     folded = splits.position_folds(kept, "centroid_x", folds, "position_fold")
     genes = panel if panel is not None else counts.groupBy("gene").agg(F.min("cell_id").alias("pos")).select("pos", "gene")
     edges = splits.fold_edges(kept, "centroid_x", folds)
@@ -79,7 +80,7 @@ def build_pseudospots(cells: DataFrame, counts: DataFrame, grid: GridParameters,
     hits = spatial.nearest_grid_center(cells, grid.radius, grid.spacing, grid.layout)
     sizes = hits.groupBy("grid_row", "grid_col").agg(
         F.first("center_x").alias("center_x"), F.first("center_y").alias("center_y"), F.count(F.lit(1)).alias("cell_count"))
-    kept = spatial.number_spots(filters.having_min_cells(sizes, min_cells))
+    kept = stage(spatial.number_spots(stage(filters.having_min_cells(sizes, min_cells))))
     members = hits.select("cell_id", "grid_row", "grid_col").join(kept.select("grid_row", "grid_col", "spot_id"), ["grid_row", "grid_col"]).select("spot_id", "cell_id")
     spot_counts = pseudospot_counts(members, counts)
     qc = spot_counts.groupBy("spot_id").agg(F.sum("cnt").alias("transcript_count"), F.count_if(F.col("cnt") > 0).alias("n_genes_by_counts"))

@@ -56,6 +56,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back.
+
+    Used where several later steps read the same expensive result: it is computed once,
+    later scans prune columns, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row frame as a struct column (scalar subquery), so a fact such as an
     extent or a panel reaches every row without a join."""
