@@ -88,6 +88,20 @@ def paired_blocks(
 
 
 
+def _pair_scores(a: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray, metric: str) -> np.ndarray:
+    """Score of listed pairs, a bounded number at a time (many copies of one vector all tie)."""
+    out = np.empty(len(qi))
+    step = max(1, 4_000_000 // a.shape[1])
+    for i in range(0, len(qi), step):
+        x, y = a[qi[i:i + step]], b[bi[i:i + step]]
+        if metric == "cosine":
+            out[i:i + step] = np.einsum("ij,ij->i", x, y)
+        else:
+            diff = x - y
+            out[i:i + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
+
+
 def _topk_kernel(k: int, metric: str, n_within: int, masked: bool, carry: list[str], schema: pa.Schema):
     def kernel(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -108,13 +122,8 @@ def _topk_kernel(k: int, metric: str, n_within: int, masked: bool, carry: list[s
             # Rounding noise near the k-th value must not decide: keep a sliver more, then rank exactly.
             near = (cost <= (edge + 1e-7 * (1.0 + np.abs(edge)))[:, None]) & np.isfinite(cost)
             qi, bi = np.nonzero(near)
-            if metric == "cosine":
-                exact = np.round(np.einsum("ij,ij->i", a[part][qi], b[bi]), 12)
-                rank = -exact
-            else:
-                diff = a[part][qi] - b[bi]
-                exact = np.round(np.sqrt(np.einsum("ij,ij->i", diff, diff)), 12)
-                rank = exact
+            exact = np.round(_pair_scores(a[part], b, qi, bi, metric), 12)
+            rank = -exact if metric == "cosine" else exact
             order = np.lexsort((ids[bi], rank, qi))
             qi, bi, exact = qi[order], bi[order], exact[order]
             first = np.searchsorted(qi, qi, side="left")
@@ -333,30 +342,42 @@ def soft_topk_loss(queries: DataFrame, bank: DataFrame, percent: float, temperat
         F.coalesce(F.sum(F.when(whole, F.col("wl"))), F.lit(0.0)).alias("top_wl"),
         F.max(F.when(cut, F.col("bin"))).alias("cut_bin"), F.max(F.when(cut, k - F.col("above"))).alias("missing"))
 
-    edge = T.StructType([id_field, T.StructField("score", T.DoubleType()), T.StructField("missing", T.LongType())])
+    edge = T.StructType([id_field, T.StructField("score", T.DoubleType()), T.StructField("missing", T.LongType()), T.StructField("n", T.LongType())])
     edge_arrow = _arrow_schema(edge)
 
     def at_edge(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Distinct scores of the cut bin with their counts, so copies of one vector are one row."""
         if left.num_rows == 0 or right.num_rows == 0:
             return edge_arrow.empty_table()
         a, m = unit_rows(matrix(left.column("vec"))), unit_rows(matrix(right.column("vec")))
-        cut_bin = _values(left, "cut_bin")
-        rows, scores = [], []
+        cut_bin, missing = _values(left, "cut_bin"), _values(left, "missing")
+        rows, scores, counts = [], [], []
         for part in _query_slices(len(a), len(m)):
             s = a[part] @ m.T
-            qi, bi = np.nonzero(_bin_of(s) == cut_bin[part][:, None])
-            rows.append(qi + part.start)
-            scores.append(s[qi, bi])
+            inside = _bin_of(s) == cut_bin[part][:, None]
+            for i in np.nonzero(inside.any(axis=1))[0]:
+                value, n = np.unique(np.round(s[i][inside[i]], 12), return_counts=True)
+                value, n = value[::-1], n[::-1]
+                # Scores below the block's own quota cannot enter the whole bank's quota.
+                used = np.cumsum(n) - n < missing[part.start + i]
+                rows.append(np.full(int(used.sum()), part.start + i))
+                scores.append(value[used])
+                counts.append(n[used])
+        if not rows:
+            return edge_arrow.empty_table()
         row = np.concatenate(rows)
-        return pa.table({"id": left.column("id").take(row), "score": np.concatenate(scores), "missing": left.column("missing").take(row)}).cast(edge_arrow)
+        return pa.table({"id": left.column("id").take(row), "score": np.concatenate(scores),
+                         "missing": left.column("missing").take(row), "n": np.concatenate(counts)}).cast(edge_arrow)
 
     open_q = q.join(facts.where(F.col("cut_bin").isNotNull()).select("id", "cut_bin", "missing"), "id")
-    w = Window.partitionBy("id").orderBy(F.desc("score"))
+    w = Window.partitionBy("id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     weight = F.exp((F.col("score") - 1.0) / tau)
+    taken = F.least(F.col("n"), F.col("missing") - F.coalesce(F.sum("n").over(w), F.lit(0)))
     rest = (
         paired_blocks(open_q, b, ["_cell"], block, at_edge, edge)
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("missing"))
-        .groupBy("id").agg(F.sum(weight).alias("edge_w"), F.sum(weight * F.col("score") / tau).alias("edge_wl"))
+        .groupBy("id", "score", "missing").agg(F.sum("n").alias("n"))
+        .withColumn("_take", taken).where(F.col("_take") > 0)
+        .groupBy("id").agg(F.sum(weight * F.col("_take")).alias("edge_w"), F.sum(weight * F.col("score") / tau * F.col("_take")).alias("edge_wl"))
     )
     top_w = F.col("top_w") + F.coalesce("edge_w", F.lit(0.0))
     top_wl = F.col("top_wl") + F.coalesce("edge_wl", F.lit(0.0))
