@@ -116,7 +116,7 @@ def _(v):
     return filters.select_view(view_rows(v), "m1", "alignment").select("id", "platform", "side")
 
 
-NEAR_SQL = """a AS (SELECT cell_id, spot_id, distance FROM (SELECT c.cell_id, p.spot_id, sqrt((centroid_x - center_x) * (centroid_x - center_x) + (centroid_y - center_y) * (centroid_y - center_y)) AS distance,
+NEAR_SQL = """a AS (SELECT cell_id, in_tissue, spot_id, distance FROM (SELECT c.cell_id, c.in_tissue, p.spot_id, sqrt((centroid_x - center_x) * (centroid_x - center_x) + (centroid_y - center_y) * (centroid_y - center_y)) AS distance,
     row_number() OVER (PARTITION BY c.cell_id ORDER BY (centroid_x - center_x) * (centroid_x - center_x) + (centroid_y - center_y) * (centroid_y - center_y), p.spot_id) AS r
     FROM fx_cells c JOIN fx_spots p ON abs(centroid_x - center_x) < 60 AND abs(centroid_y - center_y) < 60) WHERE r = 1 AND distance < 60)"""
 
@@ -128,10 +128,10 @@ def _(v):
 
 
 @query("flt_12_any_panel_gene_present", """SELECT DISTINCT sample_id FROM fx_obs WHERE sample_id IN (SELECT sample_id FROM fx_expr WHERE gene = 'Brand#1')
-    AND sample_id IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 97 = 5)""")
+    AND sample_id IN (SELECT o_orderpriority FROM orders WHERE o_totalprice > 490000)""")
 def _(v):
     panel = v.fx_panel.where(F.col("gene") == "Brand#1")
-    matched = v.orders.where(F.col("o_orderkey") % 97 == 5).select(F.col("o_orderpriority").alias("sample_id"))
+    matched = v.orders.where(F.col("o_totalprice") > 490000).select(F.col("o_orderpriority").alias("sample_id"))
     return filters.usable_samples(v.fx_obs.select("sample_id").distinct(), v.fx_expr, panel, matched)
 
 
@@ -148,12 +148,12 @@ def _(v):
     return counting.keep_panel(v.fx_transcripts, v.fx_panel).select("mol_id", "cell_id", "gene")
 
 
-@query("joi_03_tiles_obs", f"""SELECT CAST(sample_no AS VARCHAR) AS sample_id, concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')} FROM fx_spots WHERE spot_id % 4 <> 1""")
+@query("joi_03_tiles_obs", f"""SELECT CAST(sample_no AS VARCHAR) AS sample_id, concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')} FROM fx_spots WHERE center_x >= 200""")
 def _(v):
     tiles = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), F.concat(F.lit("s"), F.col("spot_id").cast("string")).alias("barcode"),
                               F.col("spot_id").alias("patch_idx"), F.col("center_x").alias("x"))
-    obs = v.supplier.where(F.col("s_suppkey") % 4 != 1).select(
-        F.col("s_nationkey").cast("string").alias("sample_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("barcode"))
+    obs = v.fx_spots.where(F.col("center_x") >= 200).select(
+        F.col("sample_no").cast("string").alias("sample_id"), F.concat(F.lit("s"), F.col("spot_id").cast("string")).alias("barcode"))
     return cell_jobs.join_tiles(tiles, obs).select("sample_id", "barcode", r6("x"))
 
 
@@ -203,9 +203,9 @@ def _(v):
     return splits.require_both_sides(split).select("cell_id", "split")
 
 
-@query("joi_13_attach_geometry", f"SELECT cell_id, technology, {R('w * h', 'area_px2')} FROM fx_polygons WHERE cell_id % 3 = 1")
+@query("joi_13_attach_geometry", f"SELECT cell_id, technology, {R('w * h', 'area_px2')} FROM fx_polygons WHERE technology = 'Xenium'")
 def _(v):
-    chosen = v.fx_polygons.where(F.col("cell_id") % 3 == 1).select("cell_id", "technology")
+    chosen = v.fx_polygons.where(F.col("technology") == "Xenium").select("cell_id", "technology")
     joined = chosen.join(v.fx_polygons.select("cell_id", ring()), "cell_id")
     return joined.select("cell_id", "technology", r6(polygons.area("vertices"), "area_px2"))
 
@@ -318,12 +318,12 @@ def _(v):
 
 
 @query("win_08_history_curves", f"""
-WITH a AS (SELECT run, epoch, sum(loss * n) / greatest(sum(n), 1) AS l FROM fx_batches WHERE batch_id % 5 <> 0 GROUP BY run, epoch), b AS (SELECT run, epoch, sum(loss * n) / greatest(sum(n), 1) AS l FROM fx_batches WHERE batch_id % 5 = 0 AND epoch > 3 GROUP BY run, epoch)
+WITH a AS (SELECT run, epoch, sum(loss * n) / greatest(sum(n), 1) AS l FROM fx_batches WHERE n > 1 GROUP BY run, epoch), b AS (SELECT run, epoch, sum(loss * n) / greatest(sum(n), 1) AS l FROM fx_batches WHERE n = 1 AND epoch > 3 GROUP BY run, epoch)
 SELECT coalesce(a.run, b.run) AS run, coalesce(a.epoch, b.epoch) AS epoch, {R('a.l', 'train_loss')}, {R('b.l', 'test_loss')} FROM a FULL OUTER JOIN b ON a.run = b.run AND a.epoch = b.epoch""")
 def _(v):
     rows = v.fx_batches
-    train = metrics.weighted_mean(rows.where(F.col("batch_id") % 5 != 0), "loss", "n", ["run", "epoch"], "train_loss")
-    test = metrics.weighted_mean(rows.where((F.col("batch_id") % 5 == 0) & (F.col("epoch") > 3)), "loss", "n", ["run", "epoch"], "test_loss")
+    train = metrics.weighted_mean(rows.where(F.col("n") > 1), "loss", "n", ["run", "epoch"], "train_loss")
+    test = metrics.weighted_mean(rows.where((F.col("n") == 1) & (F.col("epoch") > 3)), "loss", "n", ["run", "epoch"], "test_loss")
     return metrics.history_curves(train, test, ["run"]).select("run", "epoch", r6("train_loss"), r6("test_loss"))
 
 

@@ -41,9 +41,9 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "fx_panel": "SELECT p_brand AS gene, CAST(min(p_partkey) AS BIGINT) AS pos FROM part WHERE p_brand <> 'Brand#3' GROUP BY p_brand",
     "fx_values": (
         """SELECT vec_id AS id, concat('g', CAST(d AS STRING)) AS gene, CAST(v AS DOUBLE) AS value
-           FROM (SELECT vec_id, posexplode(slice(embedding, 1, 12)) AS (d, v) FROM embeddings) WHERE v > 0""",
+           FROM (SELECT vec_id, posexplode(embedding) AS (d, v) FROM embeddings) WHERE v > 0""",
         """SELECT vec_id AS id, concat('g', CAST(d - 1 AS VARCHAR)) AS gene, CAST(v AS DOUBLE) AS value
-           FROM (SELECT vec_id, unnest(embedding[1:12]) AS v, unnest(range(1, 13)) AS d FROM embeddings) WHERE v > 0""",
+           FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings) WHERE v > 0""",
     ),
     "fx_vpanel": "SELECT gene, CAST(substr(gene, 2) AS BIGINT) AS pos FROM fx_values GROUP BY gene",
     "fx_tokens": (

@@ -121,14 +121,14 @@ def _(v):
 
 def cov_sql(a: str, b: str) -> str:
     return f"""(SELECT avg(m) FROM (SELECT platform, avg(c * c) AS m FROM (SELECT x.platform, x.d AS da, y.d AS db, covar_samp(x.v, y.v) AS c
-      FROM (SELECT id, platform, unnest(CAST({a} AS DOUBLE[])) AS v, unnest(range(8)) AS d FROM fx_embed) x JOIN (SELECT id, unnest(CAST({b} AS DOUBLE[])) AS v, unnest(range(8)) AS d FROM fx_embed) y USING (id)
+      FROM (SELECT id, platform, unnest(CAST({a} AS DOUBLE[])) AS v, unnest(range(16)) AS d FROM fx_embed) x JOIN (SELECT id, unnest(CAST({b} AS DOUBLE[])) AS v, unnest(range(16)) AS d FROM fx_embed) y USING (id)
       GROUP BY x.platform, x.d, y.d) GROUP BY platform))"""
 
 
-@query("agg_28_cross_covariance_norm", f"SELECT {R('(' + cov_sql('vec[1:8]', 'vec[9:16]') + ' + ' + cov_sql('vec[17:24]', 'vec[25:32]') + ') / 2', 'orthogonality')}")
+@query("agg_28_cross_covariance_norm", f"SELECT {R('(' + cov_sql('vec[1:16]', 'vec[17:32]') + ' + ' + cov_sql('vec[33:48]', 'vec[49:64]') + ') / 2', 'orthogonality')}")
 def _(v):
-    part = lambda start: F.slice("vec", start, 8)
-    rows = v.fx_embed.select("id", "platform", part(1).alias("image_shared"), part(9).alias("image_private"), part(17).alias("gene_shared"), part(25).alias("gene_private"))
+    part = lambda start: F.slice("vec", start, 16)
+    rows = v.fx_embed.select("id", "platform", part(1).alias("image_shared"), part(17).alias("image_private"), part(33).alias("gene_shared"), part(49).alias("gene_private"))
     return gap.shared_private_overlap(rows).select(r6("orthogonality"))
 
 

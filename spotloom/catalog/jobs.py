@@ -34,14 +34,14 @@ def _(v):
 def spot_obs(v):
     name = F.concat(F.lit("s"), F.col("spot_id").cast("string"))
     tiles = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("patch_idx"))
-    obs = v.fx_spots.where(F.col("spot_id") % 5 != 2).select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("obs_id"))
+    obs = v.fx_spots.where(F.col("center_x") >= 200).select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("obs_id"))
     return tiles, obs
 
 
 @query("job_03_index_spots", f"""
 WITH e AS (SELECT CAST(s_nationkey AS VARCHAR) AS sample_id, l_suppkey AS obs_id, p_brand AS gene, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE p_brand IN (SELECT gene FROM fx_panel) GROUP BY s_nationkey, l_suppkey, p_brand)
-SELECT sample_id, obs_id, gene, {R('ln(1 + cnt / sum(cnt) OVER (PARTITION BY obs_id) * 1e6)', 'norm')} FROM e WHERE obs_id % 5 <> 2""")
+SELECT sample_id, obs_id, gene, {R('ln(1 + cnt / sum(cnt) OVER (PARTITION BY obs_id) * 1e6)', 'norm')} FROM e WHERE obs_id IN (SELECT spot_id FROM fx_spots WHERE center_x >= 200)""")
 def _(v):
     expr = (
         v.lineitem.join(v.part, F.col("l_partkey") == F.col("p_partkey")).join(v.supplier, F.col("l_suppkey") == F.col("s_suppkey"))

@@ -155,12 +155,12 @@ def _(v):
     return documents.read_fold_metrics(v.spark, path, "*.json").select("fold_idx", "platform", r6("overall_pearson"), r6("mean_gene_pearson"))
 
 
-@query("src_12_read_spot_positions", f"SELECT concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')}, {R('center_y', 'y')} FROM fx_spots WHERE spot_id % 3 <> 0")
+@query("src_12_read_spot_positions", f"SELECT concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')}, {R('center_y', 'y')} FROM fx_spots WHERE center_x >= 200")
 def _(v):
     path = scratch_path(v.spark, "spot_files")
     name = F.concat(F.lit("s"), F.col("spot_id").cast("string"))
     v.fx_spots.select(name, F.lit(1), F.lit(0), F.lit(0), "center_x", "center_y").write.csv(f"{path}/positions")
-    v.fx_spots.where(F.col("spot_id") % 3 != 0).select(name, F.lit("x")).write.csv(f"{path}/barcodes", sep="\t")
+    v.fx_spots.where(F.col("center_x") >= 200).select(name, F.lit("x")).write.csv(f"{path}/barcodes", sep="\t")
     joined = text.join_positions(text.read_barcodes(v.spark, f"{path}/barcodes"), text.read_spot_positions(v.spark, f"{path}/positions"))
     return joined.select("barcode", r6("x"), r6("y"))
 
@@ -185,11 +185,11 @@ def _(v):
 
 
 @query("src_14_discover_samples", """SELECT DISTINCT c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS sample_id FROM customer
-    WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0)""")
+    WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)""")
 def _(v):
     expr = v.customer.select(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("sample_id"))
     tiles = (
-        v.supplier.where(F.col("s_suppkey") % 4 == 0).select("s_nationkey").distinct()
+        v.supplier.where(F.col("s_acctbal") > 0).select("s_nationkey").distinct()
         .join(v.customer.select("c_nationkey", "c_mktsegment").distinct(), F.col("s_nationkey") == F.col("c_nationkey"))
         .select(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("sample_id"))
     )

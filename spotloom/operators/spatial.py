@@ -52,26 +52,35 @@ class Grid:
     def center_y(self, row: Column) -> Column:
         return self.ext["y_min"] + row.cast("double") * dbl(self.step_y)
 
-    def nearest(self, x: Column, y: Column) -> Column:
-        """Array with the nearest of three row candidates if it lies within the radius, else empty.
+    def nearest(self, df: DataFrame, x: Column, y: Column) -> DataFrame:
+        """Keeps rows whose nearest of three row candidates lies within the radius and adds it.
 
-        The lower row wins a tie. Each step maps the array of the step before, so the
-        expression stays small and every value is computed once.
+        Every step is a projection over the step before, so all of it is generated code and
+        each value is computed once; the closing generator drops the misses, where a filter
+        would be pushed down and repeat the search. The lower row wins a tie.
         """
-        base = F.rint((y - self.ext["y_min"]) / dbl(max(self.step_y, RATIO_FLOOR))).cast("long")
-        shifts = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-        rows = F.filter(F.transform(shifts, lambda i: base + i), lambda r: (r >= 0) & (r < self.rows()))
-        placed = F.transform(rows, lambda r: F.struct(
-            r.alias("row"), self.start_x(r).alias("sx"), self.center_y(r).alias("cy"), self.cols(r).alias("n")))
-        columns = F.transform(F.filter(placed, lambda c: c["n"] > 0), lambda c: F.struct(
-            c["row"].alias("row"), c["sx"].alias("sx"), c["cy"].alias("cy"),
-            F.least(F.greatest(F.rint((x - c["sx"]) / dbl(self.step_x)).cast("long"), F.lit(0)), c["n"] - 1).alias("col")))
-        centers = F.transform(columns, lambda c: F.struct(
-            c["row"].alias("row"), c["col"].alias("col"), (c["sx"] + c["col"].cast("double") * dbl(self.step_x)).alias("cx"), c["cy"].alias("cy")))
-        measured = F.transform(centers, lambda c: F.struct(
-            ((x - c["cx"]) * (x - c["cx"]) + (y - c["cy"]) * (y - c["cy"])).alias("d2"),
-            c["row"].alias("grid_row"), c["col"].alias("grid_col"), c["cx"].alias("center_x"), c["cy"].alias("center_y")))
-        return F.slice(F.array_sort(F.filter(measured, lambda c: c["d2"] <= dbl(self.radius ** 2))), 1, 1)
+        kept = df.columns
+        each = range(3)
+        steps = [
+            lambda: {"_base": F.rint((y - self.ext["y_min"]) / dbl(max(self.step_y, RATIO_FLOOR))).cast("long"), "_rows": self.rows()},
+            lambda: {f"_row{i}": F.col("_base") + (i - 1) for i in each},
+            lambda: {f"_sx{i}": self.start_x(F.col(f"_row{i}")) for i in each},
+            lambda: {f"_n{i}": self.cols(F.col(f"_row{i}")) for i in each},
+            lambda: {f"_col{i}": F.least(F.greatest(F.rint((x - F.col(f"_sx{i}")) / dbl(self.step_x)).cast("long"), F.lit(0)),
+                                         F.greatest(F.col(f"_n{i}") - 1, F.lit(0))) for i in each},
+            lambda: {**{f"_cx{i}": F.col(f"_sx{i}") + F.col(f"_col{i}").cast("double") * dbl(self.step_x) for i in each},
+                     **{f"_cy{i}": self.center_y(F.col(f"_row{i}")) for i in each}},
+            lambda: {f"_d{i}": F.when((F.col(f"_row{i}") >= 0) & (F.col(f"_row{i}") < F.col("_rows")) & (F.col(f"_n{i}") > 0),
+                                      (x - F.col(f"_cx{i}")) * (x - F.col(f"_cx{i}")) + (y - F.col(f"_cy{i}")) * (y - F.col(f"_cy{i}"))) for i in each},
+            lambda: {"_d": F.least("_d0", "_d1", "_d2")},
+            lambda: {"_i": F.when(F.col("_d0") <= F.col("_d"), 0).when(F.col("_d1") <= F.col("_d"), 1).otherwise(2)},
+        ]
+        for step in steps:
+            df = df.withColumns(step())
+        pick = lambda n: F.when(F.col("_i") == 0, F.col(f"_{n}0")).when(F.col("_i") == 1, F.col(f"_{n}1")).otherwise(F.col(f"_{n}2"))
+        hit = F.struct(pick("row").alias("grid_row"), pick("col").alias("grid_col"), pick("cx").alias("center_x"),
+                       pick("cy").alias("center_y"), F.sqrt("_d").alias("distance"))
+        return df.select(*kept, F.inline(F.when(F.col("_d") <= dbl(self.radius ** 2), F.array(hit))))
 
 
 def grid_centers(ext: DataFrame, radius: float, spacing: float, layout: str) -> DataFrame:
@@ -92,12 +101,8 @@ def nearest_grid_center(cells: DataFrame, radius: float, spacing: float, layout:
     """Cells within ``radius`` (inclusive) of their nearest grid centre. No join, no shuffle of cells."""
     ext = extent(cells) if ext is None else ext
     grid = Grid(F.col("_ext"), radius, spacing, layout)
-    # The generator drops cells without a hit, so the search is not repeated in a filter.
-    return (
-        cells.withColumn("_ext", one_row(ext))
-        .select(*cells.columns, F.inline(grid.nearest(F.col("centroid_x"), F.col("centroid_y"))))
-        .withColumn("distance", F.sqrt("d2")).drop("d2")
-    )
+    placed = cells.withColumn("_ext", one_row(ext))
+    return grid.nearest(placed, F.col("centroid_x"), F.col("centroid_y")).drop("_ext")
 
 
 def _bucket(x: str, y: str, size: float) -> list[Column]:

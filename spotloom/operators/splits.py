@@ -26,12 +26,12 @@ def position_folds(df: DataFrame, x: str, n: int, name: str = "fold", by: tuple[
         out = df.join(edges.select(*by, F.struct("x_min", "x_max", "edges").alias("_b")), list(by))
     else:
         out = df.withColumn("_b", one_row(edges))
-    inner = F.slice("_b.edges", 2, max(n - 1, 1))
     flat = F.abs(F.col("_b.x_max") - F.col("_b.x_min")) < dbl(NORM_FLOOR)
     if n <= 1:
         fold = F.lit(0)
     else:
-        fold = F.when(flat, F.lit(0)).otherwise(F.size(F.filter(inner, lambda e: e <= F.col(x))))
+        passed = [(F.get("_b.edges", F.lit(i)) <= F.col(x)).cast("int") for i in range(1, n)]
+        fold = F.when(flat, F.lit(0)).otherwise(sum(passed[1:], passed[0]))
     return out.withColumn(name, fold.cast("int")).drop("_b")
 
 

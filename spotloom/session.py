@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL_ROOT: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "spotloom", master: str | None = None, **extra: str) -> SparkSession:
@@ -78,9 +79,10 @@ def ship_package(spark: SparkSession) -> None:
     import shutil
     from pathlib import Path
 
-    if spark.conf.get("spotloom.shipped", None):
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
         return
     home = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spotloom-code-')}/spotloom_code", "zip", home.parent, home.name)
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spotloom-code-')}/spotloom_{uuid.uuid4().hex}", "zip", home.parent, home.name)
     spark.sparkContext.addPyFile(archive)
-    spark.conf.set("spotloom.shipped", "yes")
+    _SHIPPED.add(app)
