@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotloom.catalog.core import R, query, r6
-from spotloom.catalog.sources import BOX, BOX_SQL, ring, tile_store
+from spotloom.catalog.sources import BOX, BOX_SQL, ring
 from spotloom.constants import PLATFORM_CODES, STAGE_ORDER
 from spotloom.functions import polygons, scalars
 from spotloom.operators import counting, filters, gap, metrics, normalization, panels, ranking, retrieval, spatial, splits
 from spotloom.plans import cells as cell_jobs
-from spotloom.session import one_row
-from spotloom.sources import tables
 
 # Grid of the flagship: pixel 0.5 µm, diameter 55 µm, spacing 100 µm, hexagonal.
 GRID = cell_jobs.GridParameters(55.0, 200.0, "hex")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotloom.catalog.basics import FOLD_SQL, FULL_SPOT_SQL, GRID, KEPT_SQL, spot_tables
+from spotloom.catalog.basics import FOLD_SQL, FULL_SPOT_SQL, KEPT_SQL, spot_tables
 from spotloom.catalog.core import R, query, r6
-from spotloom.catalog.gaps import NORM_SQL, SUMMARY_SQL, TECHS
-from spotloom.catalog.scoring import r_sql, summary_columns, summary_sql
+from spotloom.catalog.gaps import SUMMARY_SQL, TECHS
+from spotloom.catalog.scoring import summary_columns, summary_sql
 from spotloom.catalog.sources import ring, write_10x
-from spotloom.catalog.vectors import ASK, PRED_SQL, SOFT, match_sql, sides
-from spotloom.operators import counting, metrics, neighbors, normalization, panels
+from spotloom.catalog.vectors import ASK, PRED_SQL, match_sql, sides
+from spotloom.operators import metrics, neighbors, normalization, panels
 from spotloom.plans import cells as cell_jobs, evaluation, reports
 from spotloom.session import scratch_path
 from spotloom.sources import tables

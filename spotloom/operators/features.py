@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.ml import functions as MF
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spotloom.constants import CP10K_SCALE
 from spotloom.functions import scalars, vectors
 from spotloom.functions.scalars import dbl
 from spotloom.operators import ranking, splits
-from spotloom.session import one_row
+from spotloom.session import stage
 
 
 def standardize(points: DataFrame, vec: str = "vec", by: tuple[str, ...] = ()) -> DataFrame:
@@ -66,10 +66,10 @@ def platform_auc(points: DataFrame, label: str = "label", seed: int = 0, c: floa
     if len(sizes) != 2 or min(r["n"] for r in sizes) < 2:
         return spark.range(1).select(F.lit(None).cast("double").alias("platform_auc"))
     folds = max(2, min(5, min(r["n"] for r in sizes)))
-    dealt = splits.stratified_folds(
-        points.select("id", MF.array_to_vector(vectors.as_doubles("vec")).alias("features"),
-                      (F.col(label) == F.lit(sizes[1][label])).cast("double").alias("y")),
-        "y", folds, seed, "id").cache()
+    # Every fit reads the dealt rows many times.
+    dealt = stage(splits.stratified_folds(
+        points.select("id", vectors.as_doubles("vec").alias("vec"), (F.col(label) == F.lit(sizes[1][label])).cast("double").alias("y")),
+        "y", folds, seed, "id")).withColumn("features", MF.array_to_vector("vec"))
     scored = None
     for fold in range(folds):
         train = dealt.where(F.col("fold") != fold)
