@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_LOCAL_ROOT: list[str] = []
 _SHIPPED: set[str] = set()
 
 
@@ -30,18 +29,9 @@ def build_session(app: str = "spotloom", master: str | None = None, **extra: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting falls back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="spotloom-"))
-    return _LOCAL_ROOT[0]
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
