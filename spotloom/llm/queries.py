@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe
+from spotloom.llm import bpe, simhash
 from spotloom.llm.common import read
 from spotloom.session import ship_package
 
@@ -34,3 +34,9 @@ def tokenizer() -> tuple[str, str]:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, bits=64, radius=4)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
