@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, decontam, simhash
+from spotloom.llm import bpe, decontam, quality, simhash
 from spotloom.llm.common import read
 from spotloom.session import ship_package
 
@@ -45,3 +45,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
