@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, decontam, linededup, quality, simhash
+from spotloom.llm import bpe, decontam, langid, linededup, quality, simhash
 from spotloom.llm.common import read
 from spotloom.session import ship_package
 
@@ -56,3 +56,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate_lines(read(spark, sf_dir, "documents"), "chunks_removed").select("doc_id", "chunks_removed", "text")
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
