@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, decontam, langid, linededup, mtree, pii, quality, simhash
+from spotloom.llm import bpe, decontam, langid, linededup, mtree, pii, quality, simhash, tokenscan
 from spotloom.llm.common import read
-from spotloom.session import ship_package
+from spotloom.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,5 +91,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "tokens")
+    tokenscan.write_token_files(docs, folder, *tokenizer())
+    # A scan deals the same rows to the same tasks each time, and a task's number is in the name of its file.
+    place = docs.select("doc_id", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("doc_no"))
+    counts = tokenscan.count_tokens(spark, folder).withColumn("task", F.regexp_extract("file", r"part-([0-9]+)", 1).cast("int"))
+    return counts.join(place, ["task", "doc_no"]).select("doc_id", "n_tokens")
