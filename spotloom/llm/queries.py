@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, decontam, langid, linededup, mtree, pii, quality, simhash, tokenscan
+from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, pii, quality, simhash, tokenscan
 from spotloom.llm.common import read
 from spotloom.session import scratch_path, ship_package
 
@@ -106,3 +106,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = docs.select("doc_id", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("doc_no"))
     counts = tokenscan.count_tokens(spark, folder).withColumn("task", F.regexp_extract("file", r"part-([0-9]+)", 1).cast("int"))
     return counts.join(place, ["task", "doc_no"]).select("doc_id", "n_tokens")
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    # One turn in four loses its marker, so that the model has roles to recover.
+    shown = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) != 0
+    rows = chat.transcripts(turns, shown)
+    return chat.parse(rows, chat.learn(rows))
