@@ -41,14 +41,14 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "fx_panel": "SELECT p_brand AS gene, CAST(min(p_partkey) AS BIGINT) AS pos FROM part WHERE p_brand <> 'Brand#3' GROUP BY p_brand",
     "fx_values": (
         """SELECT vec_id AS id, concat('g', CAST(d AS STRING)) AS gene, CAST(v AS DOUBLE) AS value
-           FROM (SELECT vec_id, posexplode(embedding) AS (d, v) FROM embeddings) WHERE v > 0""",
+           FROM (SELECT vec_id, posexplode(embedding) AS (d, v) FROM embeddings)""",
         """SELECT vec_id AS id, concat('g', CAST(d - 1 AS VARCHAR)) AS gene, CAST(v AS DOUBLE) AS value
-           FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings) WHERE v > 0""",
+           FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings)""",
     ),
     "fx_vpanel": "SELECT gene, CAST(substr(gene, 2) AS BIGINT) AS pos FROM fx_values GROUP BY gene",
     "fx_tokens": (
-        """SELECT CAST(vec_id % 256 AS BIGINT) AS patch_idx, array(avg(embedding[0]), avg(embedding[1]), avg(embedding[2]), avg(embedding[3])) AS token FROM embeddings GROUP BY vec_id % 256""",
-        """SELECT CAST(vec_id % 256 AS BIGINT) AS patch_idx, [avg(embedding[1]::DOUBLE), avg(embedding[2]::DOUBLE), avg(embedding[3]::DOUBLE), avg(embedding[4]::DOUBLE)] AS token FROM embeddings GROUP BY vec_id % 256""",
+        f"SELECT CAST(vec_id % 256 AS BIGINT) AS patch_idx, array({', '.join(f'avg(embedding[{i}])' for i in range(64))}) AS token FROM embeddings GROUP BY vec_id % 256",
+        f"SELECT CAST(vec_id % 256 AS BIGINT) AS patch_idx, [{', '.join(f'avg(embedding[{i}]::DOUBLE)' for i in range(1, 65))}] AS token FROM embeddings GROUP BY vec_id % 256",
     ),
     "fx_spot_expr": """SELECT CAST(l_suppkey % 3 AS VARCHAR(5)) AS sample_id, l_suppkey AS spot_id, concat('g', CAST(l_partkey % 10 AS VARCHAR(5))) AS gene, CAST(sum(l_quantity) AS BIGINT) AS cnt
         FROM lineitem GROUP BY l_suppkey, l_partkey % 10""",

@@ -52,13 +52,13 @@ def _(v):
     return gap.sampled_by_sample(v.fx_polygons).select(F.explode("sampled_by_sample").alias("sample_id", "n"))
 
 
-POOL_SQL = PATCH_SQL + """, l AS (SELECT cell_id, overlap_area, unnest(token) AS v, unnest([0, 1, 2, 3]) AS dim FROM o JOIN fx_tokens USING (patch_idx)),
+POOL_SQL = PATCH_SQL + """, l AS (SELECT cell_id, overlap_area, unnest(token) AS v, unnest(range(64)) AS dim FROM o JOIN fx_tokens USING (patch_idx)),
     pp AS (SELECT cell_id, dim, {agg} AS v FROM l GROUP BY cell_id, dim)"""
 POOL = {"mean": "avg(v)", "max": "max(v)", "weighted_mean": "coalesce(sum(v * overlap_area) / nullif(sum(overlap_area), 0), 0)"}
 
 
 def pooled(v, mode: str):
-    out = gap.patch_pool(overlaps(v), v.fx_tokens, v.fx_polygons.select("cell_id"), 4, mode)
+    out = gap.patch_pool(overlaps(v), v.fx_tokens, v.fx_polygons.select("cell_id"), 64, mode)
     return out.select("cell_id", F.posexplode("features").alias("dim", "v")).select("cell_id", "dim", r6("v"))
 
 

@@ -163,7 +163,8 @@ def _(v):
 def _(v):
     outlines = v.fx_polygons.select("technology", F.concat_ws("/", "technology", "sample_id").alias("sample_id"), "cell_id", F.lit(0.5).alias("pixel_size_um"), ring())
     totals = outlines.groupBy("sample_id").agg((F.count(F.lit(1)) * 3).alias("total"))
-    out = reports.cell_morphology_report(outlines, v.fx_pixels, totals, with_separation=False)
+    pixels = v.fx_pixels.join(outlines.select(F.col("cell_id").alias("crop_id"), "sample_id"), "crop_id")
+    out = reports.cell_morphology_report(outlines, pixels, totals, with_separation=False)
     return out["summary"].select("technology", F.element_at(F.split("sample_id", "/"), 2).alias("sample_id"), "sampled_cells", r6("area_um2_median"), r6("area_um2_mean"), "total_available_cells")
 
 
@@ -171,7 +172,8 @@ def _(v):
 def _(v):
     outlines = v.fx_polygons.select("technology", "sample_id", "cell_id", F.lit(0.5).alias("pixel_size_um"), ring())
     totals = outlines.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"))
-    s = reports.cell_morphology_report(outlines, v.fx_pixels, totals)["separation"]
+    pixels = v.fx_pixels.join(outlines.select(F.col("cell_id").alias("crop_id"), "sample_id"), "crop_id")
+    s = reports.cell_morphology_report(outlines, pixels, totals)["separation"]
     return s.select(r6("silhouette", digits=4), r6("same_label_knn_fraction", digits=4), "pca_components", r6("pca_explained_variance_ratio_sum", digits=4))
 
 
@@ -218,7 +220,7 @@ def _(v):
   AND cell_id IN (SELECT cell_id FROM fx_cells WHERE in_tissue = 1) AND feature_name IN (SELECT gene FROM fx_panel) GROUP BY cell_id, feature_name""")
 def _(v):
     folder, log, state = (scratch_path(v.spark, n) for n in ("molecules", "counts", "state"))
-    v.fx_transcripts.select("cell_id", "feature_name", "overlaps_nucleus").repartition(8).write.parquet(folder)
+    v.fx_transcripts.select("cell_id", "feature_name", "overlaps_nucleus").write.parquet(folder)
     cells = v.fx_cells.where(F.col("in_tissue") == 1)
     stream = molecules.stream_cell_gene_counts(v.spark, folder, cells=cells, panel=v.fx_panel, only_nucleus=True, files_per_trigger=3)
     molecules.run_to_log(stream, log, state)

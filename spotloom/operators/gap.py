@@ -110,26 +110,19 @@ def polygon_stats(cells: DataFrame, pixel_um: float | str) -> DataFrame:
 def pixel_gradient(pixels: DataFrame) -> DataFrame:
     """Scaled channels, gray and gradient magnitude per pixel.
 
-    Each pixel sends its gray value to its right and lower neighbours and the three
-    contributions meet by pixel key: one evenly spread shuffle, no per-row window.
+    A crop's pixels meet once, by crop; the left and upper neighbours are the rows before
+    along x and along y, if they are adjacent. A crop is an image of bounded size.
     """
     scaled = pixels.select(
         "crop_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
         *[(F.col(c) / dbl(255)).alias(c) for c in ("r", "g", "b")])
-    gray = scaled.withColumn("gray", (F.col("r") + F.col("g") + F.col("b")) / dbl(3))
-    no = F.lit(None).cast("double")
-
-    def sent(dy: int, dx: int, own: bool, left: Column, upper: Column) -> Column:
-        keep = lambda c: F.col(c) if own else no
-        return F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), keep("r").alias("r"), keep("g").alias("g"),
-                        keep("b").alias("b"), keep("gray").alias("gray"), left.alias("left"), upper.alias("upper"))
-
-    parts = F.array(sent(0, 0, True, no, no), sent(0, 1, False, F.col("gray"), no), sent(1, 0, False, no, F.col("gray")))
-    met = (
-        gray.select("crop_id", F.explode(parts).alias("p")).select("crop_id", "p.*")
-        .groupBy("crop_id", "y", "x").agg(*[F.max(c).alias(c) for c in ("r", "g", "b", "gray", "left", "upper")])
-        .where(F.col("gray").isNotNull())
-    )
+    gray = scaled.withColumn("gray", (F.col("r") + F.col("g") + F.col("b")) / dbl(3)).repartition("crop_id")
+
+    def before(line: str, along: str) -> Column:
+        w = Window.partitionBy("crop_id", line).orderBy(along)
+        return F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag("gray").over(w))
+
+    met = gray.withColumn("left", before("y", "x")).withColumn("upper", before("x", "y"))
     dx = F.coalesce(F.col("gray") - F.col("left"), dbl(0))
     dy = F.coalesce(F.col("gray") - F.col("upper"), dbl(0))
     return met.select("crop_id", "y", "x", "r", "g", "b", "gray", F.sqrt(dx * dx + dy * dy).alias("gradient"))

@@ -42,8 +42,10 @@ def pearson_summary(pairs: DataFrame, label: str = "cell", by: tuple[str, ...] =
     """
     by = list(by)
     x, y = F.col("pred").cast("double"), F.col("target").cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
     gene = pairs.groupBy(*by, "gene").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
+        F.count(x).cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
     gene = gene.withColumn("r", _safe_ratio(F.col("cxy"), F.col("vx"), F.col("vy"), F.col("n")))
     center = gene.groupBy(*by).agg(

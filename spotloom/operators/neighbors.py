@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spotloom.constants import NORM_FLOOR, RATIO_FLOOR
+from spotloom.session import one_row
 
 BLOCK = 4096            # rows per chunk on either side
 MAX_PIVOTS = 256        # vectors the driver hands to every task
@@ -66,13 +67,19 @@ def paired_blocks(
     """
     # Both sides often come from one table: new column identities keep them apart.
     left, right = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
-    n_left = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_lc"))
-    n_right = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_rc"))
-    chunks = n_left.join(n_right, keys)
+    chunk_count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int")
+    n_left, n_right = left.groupBy(*keys).agg(chunk_count.alias("_lc")), right.groupBy(*keys).agg(chunk_count.alias("_rc"))
+    # Without a key the two counts are scalars; a join would have no condition.
+    chunks = n_left.join(n_right, keys) if keys else None
+
+    def counted(df: DataFrame) -> DataFrame:
+        if keys:
+            return df.join(chunks, keys)
+        return df.withColumn("_lc", one_row(n_left)["_lc"]).withColumn("_rc", one_row(n_right)["_rc"])
 
     def spread(df: DataFrame, own: str, other: str, own_chunk: str, other_chunk: str) -> DataFrame:
         return (
-            df.join(chunks, keys)
+            counted(df)
             .withColumn(own_chunk, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
             .withColumn(other_chunk, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop("_lc", "_rc")
@@ -238,9 +245,9 @@ def topk(
             for r in rows:
                 summary.setdefault(r["name"], []).append((r["_cell"], r["n"], r["radius"]))
             summary = {g: tuple(np.array(c) for c in zip(*v)) for g, v in summary.items()}
-    if summary is None:
-        left, right = left.withColumn("_cell", F.lit(0)), right.withColumn("_cell", F.lit(0))
-    else:
+    keys = list(within)
+    if summary is not None:
+        keys.append("_cell")
         right = placed.drop("_p")
         need = k + (1 if exclude_self else 0)
         left = left.withColumn("_cell", F.explode(_reach(pivots, unit, need, summary)("vec", _group_name(within))))
@@ -252,7 +259,7 @@ def topk(
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     carried = [c for c in carry if c not in within]
     kernel = _topk_kernel(k, metric, len(within), mask is not None, carried, _arrow_schema(schema))
-    partial = paired_blocks(left, right, [*within, "_cell"], block, kernel, schema)
+    partial = paired_blocks(left, right, keys, block, kernel, schema)
     best = F.desc("score") if metric == "cosine" else F.asc("score")
     w = Window.partitionBy(*within, "query_id").orderBy(best, "bank_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -263,7 +270,7 @@ def label_distance_sums(points: DataFrame, label: str = "label", by: tuple[str,
 
     Only the sums leave a block.
     """
-    side = points.select(*by, "id", "vec", F.col(label).alias("_label")).withColumn("_cell", F.lit(0))
+    side = points.select(*by, "id", "vec", F.col(label).alias("_label"))
     fields = [points.schema[c] for c in by]
     fields += [points.schema["id"], T.StructField(label, points.schema[label].dataType),
                T.StructField("other", points.schema[label].dataType), T.StructField("dist_sum", T.DoubleType())]
@@ -288,7 +295,7 @@ def label_distance_sums(points: DataFrame, label: str = "label", by: tuple[str,
                 pa.array(np.tile(names, len(a)), type=arrow.field("other").type), pa.array(sums.reshape(-1))]
         return pa.table(dict(zip(arrow.names, out))).cast(arrow)
 
-    partial = paired_blocks(side, side, [*by, "_cell"], block, kernel, schema)
+    partial = paired_blocks(side, side, [*by], block, kernel, schema)
     return partial.groupBy(*by, "id", label, "other").agg(F.sum("dist_sum").alias("dist_sum"))
 
 
@@ -308,8 +315,7 @@ def soft_topk_loss(queries: DataFrame, bank: DataFrame, percent: float, temperat
     share = min(max(float(percent), 0.0), 100.0)
     k = max(1, min(size, int(np.ceil(size * share / 100.0))))
     tau = max(float(temperature), RATIO_FLOOR)
-    q = queries.select("id", "vec").withColumn("_cell", F.lit(0))
-    b = bank.select("id", "vec").withColumn("_cell", F.lit(0))
+    q, b = queries.select("id", "vec"), bank.select("id", "vec")
     id_field = T.StructField("id", queries.schema["id"].dataType)
 
     bins = T.StructType([id_field, T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()),
@@ -331,7 +337,7 @@ def soft_topk_loss(queries: DataFrame, bank: DataFrame, percent: float, temperat
         row, bin_, n, w, wl = (np.concatenate(c) for c in zip(*parts))
         return pa.table({"id": left.column("id").take(row), "bin": bin_.astype(np.int32), "n": n.astype(np.int64), "w": w, "wl": wl}).cast(bins_arrow)
 
-    hist = paired_blocks(q, b, ["_cell"], block, to_bins, bins).groupBy("id", "bin").agg(
+    hist = paired_blocks(q, b, [], block, to_bins, bins).groupBy("id", "bin").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("wl").alias("wl"))
     above = Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = hist.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
@@ -374,7 +380,7 @@ def soft_topk_loss(queries: DataFrame, bank: DataFrame, percent: float, temperat
     weight = F.exp((F.col("score") - 1.0) / tau)
     taken = F.least(F.col("n"), F.col("missing") - F.coalesce(F.sum("n").over(w), F.lit(0)))
     rest = (
-        paired_blocks(open_q, b, ["_cell"], block, at_edge, edge)
+        paired_blocks(open_q, b, [], block, at_edge, edge)
         .groupBy("id", "score", "missing").agg(F.sum("n").alias("n"))
         .withColumn("_take", taken).where(F.col("_take") > 0)
         .groupBy("id").agg(F.sum(weight * F.col("_take")).alias("edge_w"), F.sum(weight * F.col("score") / tau * F.col("_take")).alias("edge_wl"))

@@ -1,7 +1,7 @@
 """Gene panels: set operations, alignment, and long/vector reshaping.
 
-A panel is ``(pos, gene)``. It is bounded by the genome, so it may travel as one
-array value; ``MAX_PANEL`` guards that.
+A panel is ``(pos, gene)``. Dense output holds the panel once per entity, so there the
+panel may travel as one array value too.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spotloom.functions.scalars import dbl
 from spotloom.operators import filters, ranking
 
-MAX_PANEL = 200_000
-
 
 def distinct_keep_order(df: DataFrame, value: str, pos: str = "pos") -> DataFrame:
     """One row per value at its first position."""
@@ -65,9 +63,7 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 def panel_array(panel: DataFrame) -> Column:
     """The panel's genes in order, as a scalar-subquery array."""
     genes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda g: g["gene"])
-    guarded = F.when(F.count(F.lit(1)) <= MAX_PANEL, genes).otherwise(
-        F.raise_error(F.lit(f"a panel holds at most {MAX_PANEL} genes")))
-    return panel.agg(guarded.alias("genes")).scalar()
+    return panel.agg(genes.alias("genes")).scalar()
 
 
 def last_value_per_gene(expr: DataFrame, keys: list[str], value: str = "cnt", pos: str | None = None) -> DataFrame:

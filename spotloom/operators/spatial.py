@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spotloom.constants import RATIO_FLOOR
 from spotloom.functions import polygons
 from spotloom.functions.scalars import dbl
-from spotloom.operators import neighbors, ranking
+from spotloom.operators import ranking
 from spotloom.session import one_row
 
-# A bucket with more centres than this is searched block by block instead of by a plain join.
-DENSE_BUCKET = 512
+# Centres of a bucket that one array holds; a bucket with more has several.
+CHUNK = 256
 
 
 def extent(df: DataFrame, x: str = "centroid_x", y: str = "centroid_y", by: tuple[str, ...] = ()) -> DataFrame:
@@ -113,9 +113,9 @@ def nearest_within_radius(cells: DataFrame, spots: DataFrame, radius: float, sca
     """Nearest irregular centre closer than ``radius * scale`` per cell, ties by spot id.
 
     ``cells``: cell_id, centroid_x, centroid_y; ``spots``: spot_id, center_x, center_y; both with ``by``.
-    Centres are copied to the 3 x 3 buckets around them, so the search is an equi-join.
-    Cells are never copied. Buckets that hold very many centres are searched in
-    bounded blocks that keep one centre per cell, so no bucket is expanded into pairs.
+    Centres are copied to the 3 x 3 buckets around them and packed there into arrays of
+    about ``CHUNK``, so a cell meets one row per array and never one per centre. Cells are
+    not copied. Distances are compared as they are, whatever the size of a bucket.
     """
     reach = float(radius) * max(float(scale), RATIO_FLOOR)
     keys = [*by, "_bx", "_by"]
@@ -128,29 +128,21 @@ def nearest_within_radius(cells: DataFrame, spots: DataFrame, radius: float, sca
         .select(*by, "spot_id", "center_x", "center_y",
                 (F.col("_bx") + F.col("_o.i")).alias("_bx"), (F.col("_by") + F.col("_o.j")).alias("_by"))
     )
-    dense = around.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DENSE_BUCKET).select(*keys)
-    any_dense = bool(dense.limit(1).collect())
-    sparse_spots = around.join(dense, keys, "left_anti") if any_dense else around
-
-    dx, dy = F.col("centroid_x") - F.col("center_x"), F.col("centroid_y") - F.col("center_y")
-    found = (
-        placed.join(sparse_spots, keys)
-        .withColumn("distance", F.sqrt(dx * dx + dy * dy))
-        .where(F.col("distance") < dbl(reach))
-        .groupBy(*by, "cell_id")
-        .agg(F.min(F.struct("distance", "spot_id")).alias("_best"))
-        .select(*by, "cell_id", "_best.spot_id", "_best.distance")
+    sizes = around.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+    chunks = (
+        around.join(sizes, keys).groupBy(*keys, F.pmod(F.xxhash64("spot_id"), F.col("_n")).alias("_chunk"))
+        .agg(F.collect_list(F.struct("spot_id", "center_x", "center_y")).alias("_spots"))
     )
-    if not any_dense:
-        return found
-    hot_cells = placed.join(dense, keys, "left_semi").select(
-        *keys, F.col("cell_id").alias("id"), F.array("centroid_x", "centroid_y").alias("vec"))
-    hot_spots = around.join(dense, keys, "left_semi").select(
-        *keys, F.col("spot_id").alias("id"), F.array("center_x", "center_y").alias("vec"))
-    hits = neighbors.topk(hot_cells, hot_spots, 1, metric="euclidean", within=keys)
-    return found.unionByName(
-        hits.where(F.col("score") < dbl(reach))
-        .select(*by, F.col("query_id").alias("cell_id"), F.col("bank_id").alias("spot_id"), F.col("score").alias("distance"))
+
+    def measured(spot: Column) -> Column:
+        dx, dy = F.col("centroid_x") - spot["center_x"], F.col("centroid_y") - spot["center_y"]
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), spot["spot_id"].alias("spot_id"))
+
+    near = F.array_min(F.filter(F.transform("_spots", measured), lambda p: p["distance"] < dbl(reach)))
+    return (
+        placed.join(chunks, keys).select(*by, "cell_id", near.alias("_near")).where(F.col("_near").isNotNull())
+        .groupBy(*by, "cell_id").agg(F.min("_near").alias("_best"))
+        .select(*by, "cell_id", "_best.spot_id", "_best.distance")
     )
 
 

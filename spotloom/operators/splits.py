@@ -92,6 +92,14 @@ def sample_n(df: DataFrame, n: int, seed: int, ident: str) -> DataFrame:
     return df.orderBy(sample_key(ident, seed), ident).limit(int(n))
 
 
+def sample_n_per(df: DataFrame, keys: list[str], n: int, seed: int, ident: str) -> DataFrame:
+    """As ``sample_n`` within each group of ``keys``; the groups enter the hash, so equal ids draw apart."""
+    if n <= 0:
+        return df
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, ident)], F.lit(str(seed))))
+    return ranking.head_per_group(df, keys, [key, ident], n)
+
+
 def sample_per_stratum(df: DataFrame, keys: list[str], caps: dict[tuple, int], seed: int, ident: str) -> DataFrame:
     """Caps per stratum; a stratum without a cap, or with cap 0, is kept whole."""
     cap = F.lit(0)

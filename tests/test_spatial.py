@@ -47,9 +47,19 @@ def test_grid_radius_is_inclusive_and_ties_go_to_the_lower_row(spark):
     assert got[3] == (0, 50.0) and got[2] == (0, 10.0)
 
 
-@pytest.mark.parametrize("dense_limit", [512, 3])
-def test_nearest_within_radius(spark, monkeypatch, dense_limit):
-    monkeypatch.setattr(spatial, "DENSE_BUCKET", dense_limit)
+def test_radius_takes_the_raw_distance(spark, monkeypatch):
+    cells = cells_frame(spark, np.array([[0.0, 0.0]]))
+    near, far = 1.0 - 2e-13, 1.0 - 1e-13
+    spots = spark.createDataFrame([(9, near, 0.0), (3, far, 0.0), (1, 1.0, 0.0)], "spot_id long, center_x double, center_y double")
+    for chunk in (256, 1):
+        monkeypatch.setattr(spatial, "CHUNK", chunk)
+        rows = spatial.nearest_within_radius(cells, spots, 1.0).collect()
+        assert [(r["spot_id"], r["distance"]) for r in rows] == [(9, near)]
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_nearest_within_radius(spark, monkeypatch, chunk):
+    monkeypatch.setattr(spatial, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     xy = np.concatenate([rng.uniform(0, 300, size=(200, 2)), rng.normal(150, 2, size=(150, 2))])
     sp = np.concatenate([rng.uniform(0, 300, size=(30, 2)), rng.normal(150, 3, size=(40, 2)), [[10.0, 10.0], [10.0, 10.0]]])
