@@ -138,3 +138,26 @@ def test_layer_report_order_and_deltas(spark):
     got = {r["metric"]: r["delta"] for r in deltas.collect()}
     # The same cloud with its axes reversed: distances do not change.
     assert got["silhouette"] == pytest.approx(0.0, abs=1e-9) and set(got) >= {"centroid_distance", "platform_auc"}
+
+
+def test_crops_of_equal_cell_ids_stay_with_their_sample(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    outlines = spark.createDataFrame([("t", s, 1, 0.5, square) for s in ("A", "B")], "technology string, sample_id string, cell_id long, pixel_size_um double, vertices array<struct<x:double,y:double>>")
+    pixels = spark.createDataFrame([(s, 1, y, x, v, v, v) for s, v in (("A", 0), ("B", 255)) for y in range(2) for x in range(2)], "sample_id string, crop_id long, y int, x int, r int, g int, b int")
+    totals = spark.createDataFrame([("A", 1), ("B", 1)], "sample_id string, total long")
+    records = reports.cell_morphology_report(outlines, pixels, totals, with_separation=False)["records"]
+    assert {r["sample_id"]: r["gray_mean"] for r in records.collect()} == {"A": 0.0, "B": 1.0}
+
+
+def test_pooled_correlation_leaves_out_half_empty_pairs(spark):
+    rows = [(1, "a", 1.0, 2.0), (1, "b", None, 5.0), (2, "a", 3.0, 1.0), (2, "b", 4.0, None), (3, "b", 2.0, 2.5), (3, "a", 0.5, 4.0)]
+    pairs = spark.createDataFrame(rows, "entity_id int, gene string, pred double, target double")
+    from spotloom.operators import metrics
+
+    assert metrics.pearson_summary(pairs).first()["overall_pearson"] == pytest.approx(metrics.pearson_overall(pairs).first()[0])
+
+
+def test_caps_hold_for_each_sample(spark):
+    rows = spark.createDataFrame([(s, i) for s, n in (("A", 9), ("B", 4), ("C", 1)) for i in range(n)], "sample_id string, spot_id int")
+    kept = splits.sample_n_per(rows, ["sample_id"], 3, 0, "spot_id").groupBy("sample_id").count().collect()
+    assert {r["sample_id"]: r["count"] for r in kept} == {"A": 3, "B": 3, "C": 1}
