@@ -76,6 +76,9 @@ _GEOJSON = ("features array<struct<properties:struct<cell_id:string,class:string
             "geometry:struct<type:string,coordinates:array<array<array<double>>>>>>")
 
 
+_NOT_SIMPLE = "an outline has several parts or holes"
+
+
 def _finish(df: DataFrame) -> DataFrame:
     return df.select(
         F.coalesce(F.col("cell_id").try_cast("double").try_cast("long"), F.col("pos")).alias("cell_id"),
@@ -86,7 +89,9 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(cell_id, class, vertices); the id falls back to the row number and the class to 'NA'."""
     features = spark.read.schema(_GEOJSON).json(path, multiLine=True).select(F.posexplode("features").alias("pos", "f"))
     ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return _finish(features.select(F.col("pos").cast("long").alias("pos"), "f.properties.cell_id", "f.properties.class", ring.alias("vertices")))
+    simple = (F.col("f.geometry.type") == "Polygon") & (F.size("f.geometry.coordinates") == 1)
+    checked = F.when(F.col("f.geometry").isNull() | simple, ring).otherwise(F.raise_error(F.lit(_NOT_SIMPLE)))
+    return _finish(features.select(F.col("pos").cast("long").alias("pos"), "f.properties.cell_id", "f.properties.class", checked.alias("vertices")))
 
 
 def read_geojson_zip(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +109,8 @@ def read_geojson_zip(spark: SparkSession, path: str) -> DataFrame:
                     for pos, feature in enumerate(features[start:start + 10_000], start):
                         props = feature.get("properties") or {}
                         ident, kind = props.get("cell_id"), props.get("class")
+                        if feature["geometry"].get("type", "Polygon") != "Polygon" or len(feature["geometry"]["coordinates"]) != 1:
+                            raise ValueError(_NOT_SIMPLE)
                         rows.append({"pos": pos, "cell_id": None if ident is None else str(ident),
                                      "class": None if kind is None else str(kind),
                                      "vertices": [{"x": p[0], "y": p[1]} for p in feature["geometry"]["coordinates"][0]]})

@@ -163,3 +163,17 @@ def test_stream_in_two_runs_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in molecules.latest_counts(spark, log).collect())
     want = sorted(tuple(r) for r in counting.cell_gene_counts(rows.unionByName(rows.where("cell_id = 3")), only_nucleus=True).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("geometry", [
+    {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]]},
+    {"type": "MultiPolygon", "coordinates": [[[[0, 0], [4, 0], [4, 4], [0, 0]]]]},
+])
+def test_outlines_with_holes_or_parts_are_refused(spark, tmp_path, geometry):
+    text = json.dumps({"features": [{"properties": {"cell_id": "1"}, "geometry": geometry}]})
+    (tmp_path / "x.geojson").write_text(text)
+    with zipfile.ZipFile(tmp_path / "x.geojson.zip", "w") as z:
+        z.writestr("x.geojson", text)
+    for read, name in ((tables.read_geojson, "x.geojson"), (tables.read_geojson_zip, "x.geojson.zip")):
+        with pytest.raises(Exception, match="several parts or holes"):
+            read(spark, str(tmp_path / name)).collect()
