@@ -1,7 +1,7 @@
 """Exact nearest neighbours over vectors.
 
-Bank rows are assigned to the nearest of a bounded number of pivots. For each
-query the triangle inequality gives a distance that its k nearest rows cannot
+Bank rows are assigned to the nearest of a number of pivots that grows with the root
+of the bank. For each query the triangle inequality gives a distance that its k nearest rows cannot
 exceed, and only pivot cells that reach into that distance are searched. Cells are
 cut into chunks by a hash of the id, so the unit of work is (query chunk, bank
 chunk): two bounded blocks multiplied as matrices, of which only the k best rows
@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spotloom.constants import NORM_FLOOR, RATIO_FLOOR
-from spotloom.session import one_row
+from spotloom.session import one_row, stage
 
 BLOCK = 4096            # rows per chunk on either side
-MAX_PIVOTS = 256        # vectors the driver hands to every task
-MAX_SUMMARY = 100_000   # (group, pivot) rows the driver may hold; beyond it cells are not pruned
 BINS = 2048             # score bins of the two-pass soft top-k
 
 
@@ -171,42 +169,54 @@ def _assign(pivots: np.ndarray, unit: bool) -> Callable:
     return nearest_pivot
 
 
-def _reach(pivots: np.ndarray, unit: bool, k: int, summary: dict) -> Callable:
-    @F.pandas_udf("array<int>")
-    def cells_in_reach(vec, group):
-        import pandas as pd
+def _reach_kernel(pivots: np.ndarray, unit: bool, k: int, schema: pa.Schema):
+    """Copies each query to the pivot cells that may hold one of its k nearest rows."""
+    def kernel(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return schema.empty_table()
+        cells, sizes, radii = (np.array(right.column(c)[0].as_py()) for c in ("cells", "sizes", "radii"))
+        m = matrix(left.column("vec"))
+        d = pairwise_distance(unit_rows(m) if unit else m, pivots)[:, cells]
+        far = d + radii
+        # Smallest far edge below which at least k rows are certain to lie.
+        order = np.argsort(far, axis=1)
+        filled = np.cumsum(sizes[order], axis=1) >= k
+        last = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
+        limit = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
+        limit = np.where(filled.any(axis=1)[:, None], limit, np.inf)
+        # Slack for rounding in the distances.
+        row, cell = np.nonzero(d - radii <= limit * (1 + 1e-6) + 1e-6)
+        out = left.select(schema.names[:-1]).take(row)
+        return out.append_column("_cell", pa.array(cells[cell], pa.int32())).cast(schema)
 
-        m = np.stack(vec.to_numpy()).astype(np.float64)
-        d = pairwise_distance(unit_rows(m) if unit else m, pivots)
-        out: list = [[] for _ in range(len(d))]
-        for name, idx in group.groupby(group).indices.items():
-            cells, sizes, radii = summary.get(name, (np.zeros(0, int), np.zeros(0), np.zeros(0)))
-            if len(cells) == 0:
-                continue
-            near, far = d[idx][:, cells] - radii, d[idx][:, cells] + radii
-            # Smallest far edge below which at least k rows are certain to lie.
-            order = np.argsort(far, axis=1)
-            filled = np.cumsum(sizes[order], axis=1) >= k
-            last = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
-            limit = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
-            limit = np.where(filled.any(axis=1)[:, None], limit, np.inf)
-            # Slack for rounding in the distances.
-            wanted = near <= limit * (1 + 1e-6) + 1e-6
-            for row, flags in zip(idx, wanted):
-                out[row] = cells[flags].tolist()
-        return pd.Series(out)
-
-    return cells_in_reach
-
-
-def _group_name(within: list[str]) -> Column:
-    return F.to_json(F.struct(*within)) if within else F.lit("all")
+    return kernel
+
+
+def _cell_facts(placed: DataFrame, queries: DataFrame, within: list[str], masked: bool) -> DataFrame:
+    """One row per query group: cells with the number of rows a query of the group may use, and their radii.
+
+    With a fold mask the rows of the query's own fold are taken off.
+    """
+    total = placed.groupBy(*within, "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("radius"))
+    listed = total.groupBy(*within).agg(F.collect_list(F.struct("_cell", "n", "radius")).alias("_all"))
+    own = F.lit(0)
+    facts = listed
+    if masked:
+        mine = placed.groupBy(*within, "_apart", "_cell").agg(F.count(F.lit(1)).alias("n"))
+        mine = mine.groupBy(*within, "_apart").agg(F.map_from_entries(F.collect_list(F.struct("_cell", "n"))).alias("_mine"))
+        facts = queries.select(*within, "_apart").distinct().join(mine, [*within, "_apart"], "left")
+        facts = facts.join(listed, within) if within else facts.withColumn("_all", one_row(listed)["_all"])
+        own = F.col("_mine")
+    left_over = (lambda c: c["n"] - F.coalesce(F.try_element_at(own, c["_cell"]), F.lit(0))) if masked else (lambda c: c["n"])
+    return facts.select(
+        *within, *(["_apart"] if masked else []), F.lit(0).alias("id"), F.transform("_all", lambda c: c["_cell"]).alias("cells"),
+        F.transform("_all", left_over).alias("sizes"), F.transform("_all", lambda c: c["radius"]).alias("radii"))
 
 
 def topk(
     queries: DataFrame, bank: DataFrame, k: int, *, metric: str = "cosine",
     within: list[str] | tuple[str, ...] = (), apart: str | None = None, exclude_self: bool = False,
-    carry: list[str] | tuple[str, ...] = (), block: int = BLOCK,
+    carry: list[str] | tuple[str, ...] = (), block: int = BLOCK, pivots: int | None = None,
 ) -> DataFrame:
     """The k best bank rows per query: (within…, query_id, bank_id, score, rank, carried bank columns).
 
@@ -214,6 +224,8 @@ def topk(
     column must differ (leave-one-fold-out), ``exclude_self`` keeps a row from matching
     its own id. Score is the cosine similarity (descending) or the Euclidean distance
     (ascending); ties go to the lower bank id. A k above the bank size returns the whole bank.
+    ``pivots`` is the number of cells, a quarter of the root of the bank's size by default; the
+    driver hands that many vectors to every task. Nothing else is gathered there.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric must be cosine or euclidean")
@@ -226,31 +238,16 @@ def topk(
     size = bank.count()
     if size == 0:
         raise ValueError("retrieval bank is empty")
-    pivot_count = min(MAX_PIVOTS, size // block)
-    # With a fold mask the rows a query may use are not known per cell, so nothing is pruned.
-    summary = None
-    if pivot_count > 1 and (mask is None or exclude_self):
-        unit = metric == "cosine"
-        pivots = _pick_pivots(bank, pivot_count)
-        pivots = unit_rows(pivots) if unit else pivots
-        placed = right.withColumn("_p", _assign(pivots, unit)("vec")).withColumn("_cell", F.col("_p.cell"))
-        rows = (
-            placed.groupBy(*within, "_cell")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("_p.gap").alias("radius"))
-            .select(_group_name(within).alias("name"), "_cell", "n", "radius")
-            .limit(MAX_SUMMARY + 1).collect()
-        )
-        if len(rows) <= MAX_SUMMARY:
-            summary = {}
-            for r in rows:
-                summary.setdefault(r["name"], []).append((r["_cell"], r["n"], r["radius"]))
-            summary = {g: tuple(np.array(c) for c in zip(*v)) for g, v in summary.items()}
-    keys = list(within)
-    if summary is not None:
-        keys.append("_cell")
-        right = placed.drop("_p")
-        need = k + (1 if exclude_self else 0)
-        left = left.withColumn("_cell", F.explode(_reach(pivots, unit, need, summary)("vec", _group_name(within))))
+    unit = metric == "cosine"
+    centers = _pick_pivots(bank, pivots or max(1, int(np.sqrt(size) / 4)))
+    centers = unit_rows(centers) if unit else centers
+    # Written once: cell facts, chunk counts and the search all read it.
+    placed = stage(right.withColumn("_p", _assign(centers, unit)("vec")).select("*", F.col("_p.cell").alias("_cell"), F.col("_p.gap").alias("_gap")).drop("_p"))
+    folds = mask is not None and not exclude_self
+    sent = T.StructType([*left.schema.fields, T.StructField("_cell", T.IntegerType())])
+    reach = _reach_kernel(centers, unit, k + (1 if exclude_self else 0), _arrow_schema(sent))
+    left = paired_blocks(left, _cell_facts(placed, left, within, folds), [*within, *(["_apart"] if folds else [])], block, reach, sent)
+    right, keys = placed.drop("_gap"), [*within, "_cell"]
 
     fields = [bank.schema[c] for c in within]
     fields += [T.StructField("query_id", queries.schema["id"].dataType), T.StructField("bank_id", bank.schema["id"].dataType),
