@@ -34,42 +34,76 @@ def pearson_by_entity(pairs: DataFrame, by: tuple[str, ...] = (), entity: str =
     return pairs.groupBy(*by, entity).agg(pearson().alias("pearson"))
 
 
-def pearson_summary(pairs: DataFrame, label: str = "cell", by: tuple[str, ...] = (), entity: str = "entity_id") -> DataFrame:
-    """One row per ``by``: overall, mean and population spread over genes and over entities, sizes.
-
-    The overall value is pooled from the per-gene moments, so the table is aggregated
-    twice (by gene, by entity), not three times.
-    """
-    by = list(by)
+def _moments(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, means, variances and covariance of the pairs that have both values."""
     x, y = F.col("pred").cast("double"), F.col("target").cast("double")
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    gene = pairs.groupBy(*by, "gene").agg(
+    return pairs.groupBy(*keys).agg(
         F.count(x).cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
-    gene = gene.withColumn("r", _safe_ratio(F.col("cxy"), F.col("vx"), F.col("vy"), F.col("n")))
+
+
+def _with_zeros(moments: DataFrame, size: Column) -> DataFrame:
+    """Moments after zero pairs have filled each group up to ``size``: a block of mean 0 is merged in."""
+    share = F.col("n") * (size - F.col("n")) / size
+    spread = lambda v, a, b: ((F.col("n") * F.col(v) + share * F.col(a) * F.col(b)) / size).alias(v)
+    mean = lambda m: (F.col(m) * F.col("n") / size).alias(m)
+    rest = [c for c in moments.columns if c not in ("n", "mx", "my", "vx", "vy", "cxy")]
+    return moments.select(*rest, size.alias("n"), mean("mx"), mean("my"), spread("vx", "mx", "mx"), spread("vy", "my", "my"), spread("cxy", "mx", "my"))
+
+
+def _attach(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    return df.join(facts, by) if by else df.withColumn("_f", one_row(facts)).select("*", "_f.*").drop("_f")
+
+
+def pearson_summary(pairs: DataFrame, label: str = "cell", by: tuple[str, ...] = (), entity: str = "entity_id", sizes: DataFrame | None = None) -> DataFrame:
+    """One row per ``by``: overall, mean and population spread over genes and over entities, sizes.
+
+    The overall value is pooled from the per-gene moments, so the table is aggregated
+    twice (by gene, by entity), not three times. With ``sizes`` (by…, entities, genes)
+    the pairs are the stored ones of a full grid whose other slots are zero; those slots
+    enter through their numbers.
+    """
+    by = list(by)
+    gene, ent = _moments(pairs, [*by, "gene"]), _moments(pairs, [*by, entity])
+    if sizes is not None:
+        sizes = sizes.select(*by, F.col("entities").cast("double").alias("_entities"), F.col("genes").cast("double").alias("_genes"))
+        gene = _with_zeros(_attach(gene, sizes, by), F.col("_entities"))
+        ent = _with_zeros(_attach(ent, sizes, by), F.col("_genes"))
+    ratio = _safe_ratio(F.col("cxy"), F.col("vx"), F.col("vy"), F.col("n"))
+    gene, ent = gene.withColumn("r", ratio), ent.withColumn("r", F.coalesce(ratio, dbl(0)))
+    # Slots of genes and entities without any stored pair.
+    grid = F.sum("n") if sizes is None else F.max("_entities") * F.max("_genes")
     center = gene.groupBy(*by).agg(
-        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("gx"),
-        (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("gy"))
+        grid.alias("total"), (F.sum(F.col("n") * F.col("mx")) / grid).alias("gx"), (F.sum(F.col("n") * F.col("my")) / grid).alias("gy"))
+    gene = _attach(gene, center, by)
+    dx, dy, n = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy"), F.col("n")
+    bare = F.max("total") - F.sum("n")
+    part = lambda v, a, b, ga, gb: (F.sum(n * (F.col(v) + a * b)) + bare * F.max(ga) * F.max(gb)) / F.max("total")
+    pooled = _safe_ratio(part("cxy", dx, dy, "gx", "gy"), part("vx", dx, dx, "gx", "gx"), part("vy", dy, dy, "gy", "gy"), F.max("total"))
+
+    def over(rows: DataFrame, all_of: str, name: str, count: str, *more: Column) -> DataFrame:
+        stored = F.count("r").cast("double")
+        whole = stored if sizes is None else F.max(all_of)
+        mean = F.coalesce(F.sum("r") / F.nullif(whole, dbl(0)), dbl(0))
+        square = stored * F.var_pop("r") + stored * (whole - stored) / whole * F.avg("r") * F.avg("r")
+        number = F.count(F.lit(1)) if sizes is None else F.max(all_of).cast("long")
+        return rows.groupBy(*by).agg(*more, mean.alias(f"mean_{name}_pearson"), F.coalesce(F.sqrt(square / whole), dbl(0)).alias(f"std_{name}_pearson"), number.alias(count))
+
+    genes = over(gene, "_genes", "gene", "num_genes", F.coalesce(pooled, dbl(0)).alias("overall_pearson"))
+    entities = over(ent, "_entities", label, f"num_{label}s")
+    columns = [*by, "overall_pearson", "mean_gene_pearson", "std_gene_pearson", "num_genes"]
+    if sizes is None:
+        return _attach(genes.select(*columns), entities, by)
+    # A group without stored pairs scores zero.
+    both = _attach(genes.select(*columns), entities, by)
     if by:
-        gene = gene.join(center, by)
+        out = sizes.join(both, by, "left")
     else:
-        gene = gene.withColumn("_c", one_row(center)).select("*", "_c.*").drop("_c")
-    dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
-    n = F.col("n")
-    pooled = _safe_ratio(
-        F.sum(n * (F.col("cxy") + dx * dy)) / F.max("total"), F.sum(n * (F.col("vx") + dx * dx)) / F.max("total"),
-        F.sum(n * (F.col("vy") + dy * dy)) / F.max("total"), F.max("total"))
-    genes = gene.groupBy(*by).agg(
-        F.coalesce(pooled, dbl(0)).alias("overall_pearson"), F.coalesce(F.avg("r"), dbl(0)).alias("mean_gene_pearson"),
-        F.coalesce(F.stddev_pop("r"), dbl(0)).alias("std_gene_pearson"), F.count(F.lit(1)).alias("num_genes"))
-    entities = pearson_by_entity(pairs, tuple(by), entity).groupBy(*by).agg(
-        F.coalesce(F.avg("pearson"), dbl(0)).alias(f"mean_{label}_pearson"),
-        F.coalesce(F.stddev_pop("pearson"), dbl(0)).alias(f"std_{label}_pearson"),
-        F.count(F.lit(1)).alias(f"num_{label}s"))
-    if by:
-        return genes.join(entities, by)
-    return genes.withColumn("_e", one_row(entities)).select("*", "_e.*").drop("_e")
+        out = sizes.withColumn("_b", one_row(both)).select("*", "_b.*").drop("_b")
+    filled = out.withColumn("num_genes", F.col("_genes").cast("long")).withColumn(f"num_{label}s", F.col("_entities").cast("long")).drop("_entities", "_genes")
+    return filled.fillna(0.0).select(*both.columns)
 
 
 def coverage_stats(spots: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

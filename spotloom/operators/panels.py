@@ -99,17 +99,6 @@ def align_to_panel(expr: DataFrame, panel: DataFrame, keys: list[str], value: st
     )
 
 
-def vector_to_long(df: DataFrame, keys: list[str], genes: Column | str, vector: str = "expression", value: str = "value") -> DataFrame:
-    """Panel-ordered vectors to (keys…, pos, gene, value)."""
-    genes = F.col(genes) if isinstance(genes, str) else genes
-    return (
-        df.withColumn("_genes", genes)
-        .select(*keys, F.posexplode(vector).alias("pos", value), "_genes")
-        .withColumn("gene", F.get("_genes", F.col("pos")))
-        .select(*keys, F.col("pos").cast("long").alias("pos"), "gene", value)
-    )
-
-
 def wide_to_long(df: DataFrame, keys: list[str], genes: list[str], value: str = "expression") -> DataFrame:
     return df.unpivot(keys, genes, "gene", value)
 

@@ -122,7 +122,3 @@ def index_spots(
     index = matched.join(usable, "sample_id", "left_semi")
     norm = normalization.normalize_long(expr, ["sample_id", "obs_id"], method, panel=panel, total_scope=total_scope)
     return index, norm.join(index.select("sample_id", "obs_id"), ["sample_id", "obs_id"], "left_semi")
-
-
-def shared_panel(samples: DataFrame, first_sample) -> DataFrame:
-    return panels.require_rows(panels.shared_genes(samples, first_sample, remove_control=True), "the samples share no gene")
