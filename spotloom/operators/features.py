@@ -29,7 +29,8 @@ def pca(points: DataFrame, k: int | None = None, vec: str = "vec") -> tuple[Data
     """Standardised points projected on k = max(2, min(32, n−1, d)) components, and the explained share."""
     sizes = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
     k = k or max(2, min(32, sizes["n"] - 1, sizes["d"]))
-    scaled = standardize(points, vec).withColumn("_v", MF.array_to_vector(vec))
+    # The fit reads its input several times.
+    scaled = stage(standardize(points, vec)).withColumn("_v", MF.array_to_vector(vec))
     model = PCA(k=min(k, sizes["d"]), inputCol="_v", outputCol="_p").fit(scaled)
     projected = model.transform(scaled).withColumn(vec, MF.vector_to_array("_p")).drop("_v", "_p")
     share = float(sum(model.explainedVariance.toArray()))

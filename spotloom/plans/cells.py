@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from spotloom.operators import counting, filters, normalization, panels, spatial, splits
+from spotloom.operators import counting, filters, normalization, spatial, splits
 from spotloom.session import one_row, stage
 
 
@@ -77,7 +77,7 @@ def grid_parameters(reference: DataFrame, imaging: DataFrame, layout: str = "aut
 
 def build_pseudospots(cells: DataFrame, counts: DataFrame, grid: GridParameters, *, min_cells: int = 3, folds: int = 5) -> SpotTables:
     """Pseudo-spots over the extent of ``cells``: spot table, membership, spot × gene counts, manifest row."""
-    hits = spatial.nearest_grid_center(cells, grid.radius, grid.spacing, grid.layout)
+    hits = stage(spatial.nearest_grid_center(cells, grid.radius, grid.spacing, grid.layout))
     sizes = hits.groupBy("grid_row", "grid_col").agg(
         F.first("center_x").alias("center_x"), F.first("center_y").alias("center_y"), F.count(F.lit(1)).alias("cell_count"))
     kept = stage(spatial.number_spots(stage(filters.having_min_cells(sizes, min_cells))))
