@@ -24,7 +24,6 @@ from __future__ import annotations
 import functools
 import pickle
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
