@@ -22,6 +22,12 @@ def _(v):
     return cell_jobs.prepare_cells(v.fx_transcripts, v.fx_cells).cells.select("cell_id", "transcript_count", "position_fold")
 
 
+@query("job_01_panel", """SELECT feature_name AS gene, CAST(min(mol_id) AS BIGINT) AS pos FROM fx_transcripts
+    WHERE NOT starts_with(feature_name, 'BLANK_') GROUP BY feature_name""")
+def _(v):
+    return cell_jobs.prepare_cells(v.fx_transcripts, v.fx_cells, order="mol_id").panel.select("gene", F.col("pos").cast("long").alias("pos"))
+
+
 @query("job_02_build_pseudospots", f"""
 WITH {FULL_SPOT_SQL}, qc AS (SELECT n.spot_id, n.center_x AS centroid_x, n.cell_count, n.grid_row, n.grid_col, CAST(sum(cnt) AS BIGINT) AS transcript_count, count(*) AS n_genes_by_counts
    FROM (SELECT n.*, (SELECT any_value(center_x) FROM h WHERE h.grid_row = n.grid_row AND h.grid_col = n.grid_col) AS center_x FROM n) n JOIN sc USING (spot_id) GROUP BY ALL),
@@ -31,6 +37,14 @@ def _(v):
     return spot_tables(v).spots.select("spot_id", "grid_row", "grid_col", r6("center_x"), "cell_count", "transcript_count", "n_genes_by_counts", "position_fold")
 
 
+@query("job_02_membership", f"""
+WITH {FULL_SPOT_SQL}, mm AS (SELECT n.spot_id, h.cell_id FROM h JOIN n USING (grid_row, grid_col)),
+z AS (SELECT spot_id, sum(count(*)) OVER (ORDER BY spot_id) - count(*) AS spot_start FROM mm GROUP BY spot_id)
+SELECT spot_id, cell_id, row_number() OVER (PARTITION BY spot_id ORDER BY cell_id) - 1 AS ord, CAST(spot_start AS BIGINT) AS spot_start FROM mm JOIN z USING (spot_id)""")
+def _(v):
+    return spot_tables(v).membership.select("spot_id", "cell_id", F.col("ord").cast("long").alias("ord"), F.col("spot_start").cast("long").alias("spot_start"))
+
+
 def spot_obs(v):
     name = F.concat(F.lit("s"), F.col("spot_id").cast("string"))
     tiles = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("patch_idx"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spotloom.operators import counting, filters, normalization, spatial, splits
 from spotloom.session import one_row, stage
+from spotloom.sources.tables import gene_panel_from_transcripts
 
 
 @dataclass
@@ -37,18 +38,23 @@ class GridParameters:
 
 def prepare_cells(
     transcripts: DataFrame, cells: DataFrame, panel: DataFrame | None = None, *, remove_control: bool = True,
-    only_nucleus: bool = False, drop_zero: bool = True, folds: int = 5,
+    only_nucleus: bool = False, drop_zero: bool = True, folds: int = 5, order: str | None = None,
 ) -> CellTables:
     """Counts per (cell, gene), cells with totals and position folds, the panel and a manifest row.
 
     ``cells`` carries cell_id, centroid_x, centroid_y. Cells without molecules leave
     before the folds are drawn. Counts and kept cells are staged, so the molecules are
-    scanned once however many results are read.
+    scanned once however many results are read. Without a ``panel`` it is every feature of the
+    molecules in first-seen order, by the column ``order`` or by the order of the scan.
     """
     counts = stage(counting.cell_gene_counts(transcripts, cells, panel, remove_control=remove_control, only_nucleus=only_nucleus))
     kept = stage(counting.attach_counts(cells, counts, drop_zero))
     folded = splits.position_folds(kept, "centroid_x", folds, "position_fold")
-    genes = panel if panel is not None else counts.groupBy("gene").agg(F.min("cell_id").alias("pos")).select("pos", "gene")
+    if panel is None:
+        rows = transcripts if order else transcripts.withColumn("_row", F.monotonically_increasing_id())
+        genes = gene_panel_from_transcripts(rows, order or "_row", remove_control)
+    else:
+        genes = panel
     edges = splits.fold_edges(kept, "centroid_x", folds)
     manifest = (
         folded.agg(F.count(F.lit(1)).alias("num_cells_after_filtering"))
@@ -93,7 +99,7 @@ def build_pseudospots(cells: DataFrame, counts: DataFrame, grid: GridParameters,
                 F.lit(grid.radius).alias("spot_radius_px"), F.lit(grid.spacing).alias("center_spacing_px"),
                 F.lit(grid.layout).alias("grid_layout"), F.lit(min_cells).alias("min_cells_per_spot"), F.lit(folds).alias("num_position_folds"))
     )
-    return SpotTables(spots, members, spot_counts, manifest)
+    return SpotTables(spots, spatial.membership_order(members), spot_counts, manifest)
 
 
 def pseudospot_counts(members: DataFrame, counts: DataFrame) -> DataFrame:
