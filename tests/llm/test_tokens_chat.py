@@ -118,3 +118,20 @@ def test_awkward_conversations(spark):
     assert sum(r.conv_id is None for r in got) == 2
     assert all(r.rendered == f"<|{r.role}|>\n{r.text}\n<|end|>" for r in got)
     assert chat.parse(shown.where("false"), chat.learn(shown.where("false"))).count() == 0
+
+
+def test_counts_find_their_documents_over_many_files(spark, tmp_path):
+    from spotloom.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text"))
+    rows.repartition(7, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    coder = bpe.codec(*TOKENIZER)
+    want = {r.doc_id: len(coder.encode(r.text)) // 4 for r in rows.collect()}
+    kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = QUERIES["op5_token_counts"](spark, str(tmp_path))
+        assert {r.doc_id: r.n_tokens for r in found.collect()} == want
+        assert spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", kept)
