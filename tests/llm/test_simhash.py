@@ -105,3 +105,34 @@ def test_pipeline_setting_finds_near_copies_and_leaves_others():
         caught += (bits(" ".join(words)) ^ bits(" ".join(other))).bit_count() <= 25
         assert (bits(" ".join(words)) ^ bits(" ".join(word() for _ in range(300)))).bit_count() > 25
     assert caught >= 190
+
+
+def test_deduplication_follows_shingle_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 16, raising=False)  # groups of several blocks
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for size in (9, 12, 40, 150, 400):
+        for _ in range(12):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for share in (0.004, 0.012, 0.02, 0.03, 0.05, 0.08):  # shares of changed words: similarities from 0.3 to 1
+                texts.append(" ".join(word() if rng.random() < share else w for w in base))
+            texts.append(" ".join(base[:-1]))
+    hub = [word() for _ in range(60)]
+    texts += [" ".join(hub[:at] + [word()] + hub[at + 1:]) for at in range(60)]  # one large group
+    texts.append(texts[-1] + " " + texts[-1])  # nearly the same shingles, each twice
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and find(i) != find(j):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
