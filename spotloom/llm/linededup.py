@@ -1,14 +1,22 @@
-"""Removal of repeated line chunks with content-defined boundaries (operator 4).
+"""Removal of repeated passages of lines with content-defined boundaries (operator 4).
 
-A text is split at line feeds. A rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is a multiple of
-``DIVISOR``, so an inserted or missing line moves the boundaries next to it only and a passage is cut alike in every
-text. Chunks of two or more lines that are not blank and occur more than once in the corpus, across texts or within one,
-stay at their first place (least doc_id, text hash, position) and go elsewhere. Equal hashes only make candidates: a
-chunk goes if its bytes equal those of the first.
+A text is split at line feeds. Two kinds of pieces are looked up in the whole corpus, across texts and within one:
 
-Edge cases: a null or empty text has no chunk and stays as it is; a text all of whose chunks go becomes empty. Rows
-without doc_id come after all others in the order of places. Rows with the same doc_id and text are one document: what
-stays in one stays in all. An empty table gives an empty result. Other columns are kept, whatever they are called.
+* chunks of two or more lines that are not blank. A rolling hash over the hashes of ``WINDOW`` lines ends a chunk where
+  it is a multiple of ``DIVISOR``, so an inserted or missing line moves the boundaries next to it only;
+* windows of one or more lines: from each line on, and up to each line, the fewest lines with more than ``WORDS`` words.
+  Every run of lines with more than ``WORDS`` words is the union of the windows in it, so a repeated run of that length
+  goes as a whole, whatever stands around it.
+
+A piece that occurs more than once stays at its first place (least doc_id, text hash, line) and goes elsewhere, line by
+line: a line goes if it lies in a later occurrence of any piece, so each line that goes has an equal line at an earlier
+place. Where a piece overlaps its own first place, the lines of that place are not taken for its sake. Equal hashes only
+make candidates: adjoining pieces with one source are put together, and go if their bytes equal those of the source.
+
+Edge cases: a null or empty text has no piece and stays as it is; a text all of whose lines go becomes empty, a repeated
+text of one long line among them. Rows without doc_id come after all others in the order of places. Rows with the same
+doc_id and text are one document: what stays in one stays in all. An empty table gives an empty result. Other columns
+are kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,12 +24,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spotloom.llm.common import map_slices
 from spotloom.session import stage
 
-WINDOW, DIVISOR = 2, 3
+WINDOW, DIVISOR, WORDS = 2, 3, 50
 _BASE = 0x9E3779B97F4A7C15
+#: Bits of the filter that keeps texts without a wanted passage out of a shuffle, and bits of a row of it.
+FILTER, PAGE = 1 << 25, 1 << 15
 
 
 def chunks(text: str) -> list[list[str]]:
@@ -42,41 +53,114 @@ def chunks(text: str) -> list[list[str]]:
     return [lines[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _candidates(text: str | None) -> list[tuple[int, str]]:
-    """Number and body of each chunk that may be removed."""
-    if not text or "\n" not in text:
+def _pieces(text: str | None) -> list[tuple[int, int, str]]:
+    """First line, line after the last one and body of each piece that may be removed."""
+    if not text:
         return []
-    return [(n, "\n".join(c)) for n, c in enumerate(chunks(text)) if len(c) > 1 and any(map(str.strip, c))]
-
-
-def chunk_table(docs: DataFrame, bodies: bool) -> DataFrame:
-    """doc_id, row_hash, no, hash and, if asked for, body of every chunk of two or more lines."""
+    lines, found, at = text.split("\n"), set(), 0
+    for chunk in chunks(text):
+        if len(chunk) > 1 and any(map(str.strip, chunk)):
+            found.add((at, at + len(chunk)))
+        at += len(chunk)
+    words = np.cumsum([0, *(len(x.split()) for x in lines)])
+    stops = np.searchsorted(words, words[:-1] + WORDS + 1)
+    found.update((n, stop) for n, stop in enumerate(stops.tolist()) if stop <= len(lines))
+    starts = np.searchsorted(words, words[1:] - WORDS - 1, side="right") - 1
+    found.update((start, n + 1) for n, start in enumerate(starts.tolist()) if start >= 0)
+    return [(a, b, "\n".join(lines[a:b])) for a, b in sorted(found)]
+
+
+def piece_table(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash, start, stop and hash of every piece."""
     import xxhash
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, n, body) for i, t in enumerate(batch.column(2).to_pylist()) for n, body in _candidates(t)]
+        rows = [(i, *piece) for i, t in enumerate(batch.column(2).to_pylist()) for piece in _pieces(t)]
         at = pa.array([r[0] for r in rows], pa.int64())
-        digests = b"".join(xxhash.xxh64_digest(r[2].encode("utf-8", "surrogatepass")) for r in rows)
-        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array(np.frombuffer(digests, ">i8").astype(np.int64))]
-        names = ["doc_id", "row_hash", "no", "hash"]
-        if bodies:
-            columns.append(pa.array([r[2] for r in rows], pa.string()))
-            names.append("body")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        digests = b"".join(xxhash.xxh64_digest(r[3].encode("utf-8", "surrogatepass")) for r in rows)
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(np.frombuffer(digests, ">i8").astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "start", "stop", "hash"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, row_hash bigint, no int, hash bigint" + ", body string" * bodies
-    return map_slices(docs.select(F.col("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text")), run, schema)
+    return map_slices(docs.select(F.col("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text")), run, f"doc_id {key}, row_hash bigint, start int, stop int, hash bigint")
+
+
+def _merged(hits: list[dict], own: tuple) -> list[dict]:
+    """Later occurrences in one text, put together where they adjoin and have one source. ``cuts`` are the lines that go."""
+    by: dict[tuple, list] = {}
+    for h in hits:
+        shift = h["start"] - h["first"]["start"]
+        by.setdefault((h["first"]["doc_id"], h["first"]["row_hash"], shift), []).append((h["start"], h["stop"]))
+    out = []
+    for (doc, row_hash, shift), spans in by.items():
+        open_to = -1
+        for start, stop in sorted(spans):
+            cut = max(start, stop - shift) if (doc, row_hash) == own else start
+            if start > open_to:
+                out.append({"doc": doc, "hash": row_hash, "from": start - shift, "to": stop - shift, "start": start, "cuts": []})
+            open_to = max(open_to, stop)
+            last = out[-1]
+            last["to"] = open_to - shift
+            if last["cuts"] and cut <= last["cuts"][-1]["b"]:
+                last["cuts"][-1]["b"] = max(stop, last["cuts"][-1]["b"])
+            else:
+                last["cuts"].append({"a": cut, "b": stop})
+    return out
+
+
+def _perhaps_in(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose hash (column ``_hash``) is in ``keys`` (column ``hash``), and a few more: a bitmap of bounded size is broadcast."""
+    bit = lambda c: F.pmod(F.col(c), F.lit(FILTER))
+    pages = keys.select(bit("hash").alias("bit")).groupBy(F.expr(f"bit div {PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE).alias("_bits"))
+    placed = texts.withColumn("_bit", bit("_hash")).withColumn("_page", F.expr(f"_bit div {PAGE}")).join(F.broadcast(pages), "_page")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_bit % {PAGE}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return placed.where(F.call_function("getbit", byte, (F.col("_bit") % 8).cast("int")) == 1).select(*texts.columns)
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash, start and cuts of the repeated passages, and the body that must be found at ``start``."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+    pieces = stage(piece_table(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash", "start")
+    repeated = stage(pieces.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first"))
+    hits = pieces.join(repeated, "hash").where(~place.eqNullSafe(F.col("first")))
+    hits = hits.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "stop", "first")).alias("hits"))
+    match = f"array<struct<doc:{key},hash:bigint,from:int,to:int,start:int,cuts:array<struct<a:int,b:int>>>>"
+    # The element type of Spark's text and of Arrow are the same; an inferred one has 64-bit numbers.
+    kind = pa.list_(pa.struct([("doc", to_arrow_type(docs.schema["doc_id"].dataType)), ("hash", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("start", pa.int32()), ("cuts", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        merged = pa.array([_merged(h, o) for h, o in zip(batch.column(2).to_pylist(), own)], kind)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), merged], names=["doc_id", "row_hash", "found"])
+
+    found = map_slices(hits, merge, f"doc_id {key}, row_hash bigint, found {match}").select("doc_id", "row_hash", F.explode("found").alias("m"))
+    found = stage(found.select("doc_id", "row_hash", "m.*"))
+    wanted = stage(found.groupBy("doc", "hash").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
+    texts = _perhaps_in(docs.select(F.col("doc_id").alias("_doc"), F.col("text"), F.xxhash64("text").alias("_hash")), wanted)
+    sources = wanted.join(texts, wanted["doc"].eqNullSafe(F.col("_doc")) & (wanted["hash"] == F.col("_hash"))).select("doc", "hash", "spans", "text")
+
+    def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for i, (spans, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            lines = text.split("\n")
+            rows += [(i, s["from"], s["to"], "\n".join(lines[s["from"]:s["to"]])) for s in spans]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        columns = [pa.array([r[n] for r in rows], kind) for n, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc", "hash", "from", "to", "body"])
+
+    # The row of a source may be repeated.
+    bodies = map_slices(sources, extract, f"doc {key}, hash bigint, from int, to int, body string")
+    bodies = stage(bodies.groupBy("doc", "hash", "from", "to").agg(F.min("body").alias("body")))
+    same = found["doc"].eqNullSafe(bodies["doc"])
+    for c in ("hash", "from", "to"):
+        same &= found[c] == bodies[c]
+    return found.join(bodies, same).select("doc_id", "row_hash", "start", "cuts", "body")
 
 
 def deduplicate_lines(docs: DataFrame, count_col: str | None = None) -> DataFrame:
-    """``docs`` without repeated chunks; ``count_col``, if named, gets the number of chunks taken from each text."""
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash", "no")
-    repeated = chunk_table(docs, bodies=True).groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min_by("body", place).alias("body"))
-    repeated = stage(repeated.where("n > 1").select("hash", "first", "body"))
-    instances = stage(chunk_table(docs, bodies=False).distinct())
-    gone = instances.join(repeated, "hash").where(~place.eqNullSafe(F.col("first")))
-    gone = stage(gone.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("no", "body")).alias("_gone")))
+    """``docs`` without repeated passages; ``count_col``, if named, gets the number of chunks that lost lines in each text."""
+    gone = stage(matches(docs).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "cuts", "body")).alias("_gone")))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"), "_gone")
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
@@ -88,12 +172,19 @@ def deduplicate_lines(docs: DataFrame, count_col: str | None = None) -> DataFram
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts = batch.column(at).to_pylist(), []
         for i, gone in enumerate(batch.column(len(names)).to_pylist()):
-            first = {g["no"]: g["body"] for g in gone or ()}
-            parts = chunks(texts[i]) if first else []
-            stays = [part for n, part in enumerate(parts) if n not in first or "\n".join(part) != first[n]]
-            if len(stays) < len(parts):
-                texts[i] = "\n".join(line for part in stays for line in part)
-            counts.append(len(parts) - len(stays))
+            lines = texts[i].split("\n") if gone else []
+            stays = [True] * len(lines)
+            for g in gone or ():
+                if "\n".join(lines[g["start"]:g["start"] + g["body"].count("\n") + 1]) == g["body"]:
+                    for cut in g["cuts"]:
+                        stays[cut["a"]:cut["b"]] = [False] * (cut["b"] - cut["a"])
+            hit, first = 0, 0
+            for chunk in chunks(texts[i]) if not all(stays) else ():
+                hit += not all(stays[first:first + len(chunk)])
+                first += len(chunk)
+            if hit:
+                texts[i] = "\n".join(line for line, keep in zip(lines, stays) if keep)
+            counts.append(hit)
         columns = [*batch.columns[:len(names)], pa.array(counts, pa.int64())]
         columns[at] = pa.array(texts, batch.column(at).type)
         return pa.RecordBatch.from_arrays(columns, names=[*plain, "n"])

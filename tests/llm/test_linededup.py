@@ -71,3 +71,70 @@ def test_awkward_rows(spark):
     assert linededup.deduplicate_lines(empty(spark), "gone").columns == [*table.columns, "gone"]
     assert linededup.deduplicate_lines(empty(spark)).count() == 0
     assert LONG in {r.text for r in out.collect()}
+
+
+def left_over(before, after, words=50):
+    """Later, separate occurrences of maximal repeated runs of more than ``words`` words that still have a line.
+    ``before``: (doc_id, text) in the order of places; ``after``: doc_id to text."""
+    rows = [(doc, n, line) for doc, text in before for n, line in enumerate(text.split("\n"))]
+    kept = {}
+    for doc, text in before:  # lines of the result are a subsequence of the text's
+        old, new, at, stays = text.split("\n"), after[doc].split("\n") if after[doc] else [], 0, []
+        for line in old:
+            stay = at < len(new) and new[at] == line
+            at += stay
+            stays.append(stay)
+        assert at == len(new)
+        kept[doc] = stays
+    places = {}
+    for at, (_, _, line) in enumerate(rows):
+        places.setdefault(line, []).append(at)
+    found = seen = 0
+    for at, (doc, n, line) in enumerate(rows):
+        for other in places[line]:
+            if other >= at:
+                break
+            if other and n and rows[other][1] and rows[other - 1][2] == rows[at - 1][2]:
+                continue  # not the start of a maximal run
+            size = 0
+            while at + size < len(rows) and rows[at + size][0] == doc and rows[other + size][0] == rows[other][0] and rows[at + size][2] == rows[other + size][2]:
+                size += 1
+            if other + size > at or sum(len(rows[at + k][2].split()) for k in range(size)) <= words:
+                continue
+            seen += 1
+            found += any(kept[doc][n:n + size])
+    return found, seen
+
+
+def test_every_long_repeated_run_goes(spark):
+    rng = random.Random(4)
+    line = lambda words: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(words))
+    runs = [[line(rng.choice((1, 8, 20, 30, 55))) for _ in range(size)] for size in (1, 2, 3, 4, 5, 9) for _ in range(8)]
+    texts = []
+    for _ in range(150):
+        text = []
+        for run in rng.sample(runs, 3):
+            text += [line(7) for _ in range(rng.randrange(3))] + run[rng.randrange(2) and len(run) // 3:]
+        texts.append("\n".join(text))
+    texts += ["\n".join(runs[-1]), line(60), texts[0]]
+    texts.append(texts[-2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicate_lines(docs).collect()}
+    found, seen = left_over(list(enumerate(texts)), got)
+    assert seen > 300 and found == 0
+    lines = lambda all_texts: {x for t in all_texts for x in t.split("\n") if x}
+    assert lines(got.values()) == lines(texts)  # no line is lost everywhere
+    again = "\n".join(["ten words of a line that comes again and again"] * 30)
+    same = spark.createDataFrame([(1, again), (2, "other\n" + again)], "doc_id bigint, text string")
+    texts = {r.doc_id: r.text for r in linededup.deduplicate_lines(same).collect()}
+    assert texts[1] == "\n".join(again.split("\n")[:6]) and texts[2] == "other"
+
+
+def test_equal_hashes_of_pieces_are_not_enough(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = linededup.piece_table
+    monkeypatch.setattr(linededup, "piece_table", lambda docs: real(docs).withColumn("hash", F.lit(1).cast("long")))
+    rows = [(i, "\n".join(f"line {n} of text {i} " + "word " * 20 for n in range(12))) for i in range(4)]
+    out = linededup.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == dict(rows)
