@@ -148,17 +148,34 @@ def _(v):
 NATIVE = "(SELECT obs_id AS spot_id, gene, cnt FROM fx_expr WHERE technology = 'Xenium')"
 
 
+def rounded(df):
+    return df.select(*[r6(f.name, digits=4) if f.dataType.typeName() == "double" else f.name for f in df.schema])
+
+
+def pseudospot_tables(v, **options):
+    t = spot_tables(v)
+    native_expr = v.fx_expr.where(F.col("technology") == "Xenium").select(F.col("obs_id").alias("spot_id"), "gene", "cnt")
+    native = v.fx_obs.where(F.col("technology") == "Xenium").select(F.col("obs_id").alias("spot_id"))
+    return reports.pseudospot_report(t.spots, native, t.counts, native_expr, v.fx_panel, **options)
+
+
+def gene_tables(v, **options):
+    genes = v.fx_expr.groupBy("sample_id", "gene").agg(F.min("obs_id").alias("pos"))
+    return reports.gene_distribution_report(v.fx_expr, v.fx_obs, genes, "1-URGENT", TECHS, top=6, **options)
+
+
 @query("job_10_pseudospot_report", f"""
 WITH {FULL_SPOT_SQL}, ex AS (SELECT 'pseudospot' AS source, spot_id, gene, cnt FROM sc UNION ALL SELECT 'native', spot_id, gene, cnt FROM {NATIVE}),
 nm AS (SELECT source, gene, ln(1 + cnt / sum(cnt) OVER (PARTITION BY source, spot_id) * 1e4) AS norm FROM ex WHERE gene IN (SELECT gene FROM fx_panel)),
 z AS (SELECT (SELECT count(*) FROM n) AS np, (SELECT count(*) FROM fx_obs WHERE technology = 'Xenium') AS nn)
 SELECT gene, {R("sum(CASE WHEN source = 'pseudospot' THEN norm ELSE 0 END) / max(np)", 'pseudospot_mean')}, {R("sum(CASE WHEN source = 'native' THEN norm ELSE 0 END) / max(nn)", 'native_mean')} FROM nm, z GROUP BY gene""")
 def _(v):
-    t = spot_tables(v)
-    native_expr = v.fx_expr.where(F.col("technology") == "Xenium").select(F.col("obs_id").alias("spot_id"), "gene", "cnt")
-    native = v.fx_obs.where(F.col("technology") == "Xenium").select(F.col("obs_id").alias("spot_id"))
-    out = reports.pseudospot_report(t.spots, native, t.counts, native_expr, v.fx_panel, with_separation=False)
-    return out["gene_shift"].select("gene", r6("pseudospot_mean"), r6("native_mean"))
+    return pseudospot_tables(v, with_separation=False)["gene_shift"].select("gene", r6("pseudospot_mean"), r6("native_mean"))
+
+
+@query("job_10_separation")
+def _(v):
+    return rounded(pseudospot_tables(v)["separation"])
 
 
 @query("job_11_gene_distribution_report", f"""
@@ -167,9 +184,12 @@ lg AS (SELECT o.technology, b.gene, coalesce(n.norm, 0) AS x FROM fx_obs o CROSS
 rg AS (SELECT min(x) AS lo, max(x) AS hi FROM lg), bn AS (SELECT gene, technology, CAST(least(floor((x - lo) / ((hi - lo) / 32)), 31) AS INT) AS bin, (hi - lo) / 32 AS w FROM lg, rg)
 SELECT gene, technology, bin, count(*) AS n, {R('count(*) / (sum(count(*)) OVER (PARTITION BY gene, technology) * max(w))', 'density', 5)} FROM bn GROUP BY gene, technology, bin""")
 def _(v):
-    genes = v.fx_expr.groupBy("sample_id", "gene").agg(F.min("obs_id").alias("pos"))
-    out = reports.gene_distribution_report(v.fx_expr, v.fx_obs, genes, "1-URGENT", TECHS, top=6, with_separation=False)
-    return out["density"].select("gene", "technology", "bin", "n", r6("density", digits=5))
+    return gene_tables(v, with_separation=False)["density"].select("gene", "technology", "bin", "n", r6("density", digits=5))
+
+
+@query("job_11_separation")
+def _(v):
+    return rounded(gene_tables(v)["separation"])
 
 
 @query("job_12_cell_morphology_report", f"""SELECT technology, sample_id, count(*) AS sampled_cells, {R('median(w * h / 4)', 'area_um2_median')}, {R('avg(w * h / 4)', 'area_um2_mean')}, count(*) * 3 AS total_available_cells
@@ -208,8 +228,14 @@ def stage_rows(v):
 
 @query("job_14_layerwise_gap_report")
 def _(v):
-    table, _ = reports.layerwise_gap_report(stage_rows(v), with_auc=False)
-    return table.select("model", "stage", *[r6(c, digits=4) for c in MEASURES])
+    table, _ = reports.layerwise_gap_report(stage_rows(v))
+    return table.select("model", "stage", *[r6(c, digits=4) for c in MEASURES], r6("platform_auc", digits=3))
+
+
+@query("job_14_deltas")
+def _(v):
+    _, deltas = reports.layerwise_gap_report(stage_rows(v))
+    return rounded(deltas)
 
 
 @query("job_15_fold_report", f"""
