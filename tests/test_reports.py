@@ -1,5 +1,6 @@
 """The costly parts of the reports run as queries."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
@@ -20,3 +21,25 @@ def test_layers_have_auc_and_deltas(spark):
     assert len(deltas) == 5
     for name, delta in deltas.items():
         assert delta == pytest.approx(table["final_embedding"][name] - table["stem"][name], abs=2e-3), name
+
+
+def test_transport_runs_its_default_iterations(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    a, b = (np.array([r.embedding for r in rows if r.label % 2 == side], dtype=float) for side in (0, 1))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    cost = 1 - np.clip(unit(a) @ unit(b).T, -1, 1)
+    kernel, n, m = np.maximum(np.exp(-cost / 0.5), 1e-8), len(a), len(b)
+    want = {}
+    for form, power in (("balanced", 1.0), ("unbalanced", 2 / 2.5)):
+        v = np.ones(m)
+        for _ in range(50):
+            u = (1 / n / np.maximum(kernel @ v, 1e-8)) ** power
+            v = (1 / m / np.maximum(kernel.T @ u, 1e-8)) ** power
+        plan = u[:, None] * kernel * v
+        want[form] = (plan * cost).sum()
+        if form == "unbalanced":
+            for mass, ref in ((plan.sum(axis=1), 1 / n), (plan.sum(axis=0), 1 / m)):
+                x = np.maximum(mass, 1e-8)
+                want[form] += 2 * (x * (np.log(x) - np.log(ref)) - x + ref).sum()
+    found = {r.form: r.transport_cost for r in contract.queries()["agg_31_sinkhorn_default"](spark, SF).collect()}
+    assert found == pytest.approx(want, abs=2e-5)
