@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, pii, quality, simhash, tokenscan
+from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, pii, quality, shards, simhash, tokenscan
 from spotloom.llm.common import read
 from spotloom.session import scratch_path, ship_package
 
@@ -115,3 +115,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) != 0
     rows = chat.transcripts(turns, shown)
     return chat.parse(rows, chat.learn(rows))
+
+
+@query
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(read(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
