@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, pii, quality, shards, simhash, tokenscan
+from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, negatives, pii, quality, shards, simhash, tokenscan
 from spotloom.llm.common import read
 from spotloom.session import scratch_path, ship_package
 
@@ -121,3 +121,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(read(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=wrong)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id, row_number() OVER () AS uid, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.uid, a.vec_id AS anchor_id, c.vec_id, c.uid AS other, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+    FROM v a JOIN v c ON c.uid <> a.uid AND len(c.e) = len(a.e) WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) AS n FROM s WHERE same
+), n AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.uid, p.n ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+    FROM p JOIN s ON s.uid = p.uid WHERE p.n <= 5 AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
