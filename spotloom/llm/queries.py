@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, negatives, pii, quality, shards, simhash, tokenscan
+from spotloom.llm import bpe, chat, decontam, langid, linededup, mtree, negatives, pii, quality, repair, shards, simhash, tokenscan
 from spotloom.llm.common import read
 from spotloom.session import scratch_path, ship_package
 
@@ -146,3 +146,13 @@ WITH v AS (
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.pmod(F.crc32(F.concat_ws(":", shown("conv_id"), shown("turn")).cast("binary")), F.lit(20))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), harm.alias("harm"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))})
+    return repair.summaries(repair.repair(rows, F.when(F.col("harm") == 0, 0).when(F.col("harm") == 3, 2).otherwise(1)))
