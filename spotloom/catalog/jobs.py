@@ -98,7 +98,7 @@ NEAR3_SQL = """a AS (SELECT sample_id, cell_id, spot_id FROM (SELECT CAST(c.cell
 WITH {NEAR3_SQL}, n AS (SELECT count(*) AS n FROM fx_embed), ce AS (SELECT a.*, cell_id % n AS query_id FROM a, n), used AS (SELECT DISTINCT query_id FROM ce),
 {match_sql('q.id IN (SELECT query_id FROM used)', 3)}, {PRED_SQL},
 og AS (SELECT DISTINCT sample_id, gene FROM fx_spot_expr WHERE gene IN (SELECT gene FROM fx_vpanel)),
-sx AS (SELECT ce.sample_id, spot_id, pr.gene, ln(1 + sum(exp(pred) - 1)) AS p FROM ce JOIN pr USING (query_id) JOIN og ON og.sample_id = ce.sample_id AND og.gene = pr.gene GROUP BY ce.sample_id, spot_id, pr.gene),
+sx AS (SELECT ce.sample_id, spot_id, pr.gene, ln(1 + greatest(sum(exp(pred) - 1), 0)) AS p FROM ce JOIN pr USING (query_id) JOIN og ON og.sample_id = ce.sample_id AND og.gene = pr.gene GROUP BY ce.sample_id, spot_id, pr.gene),
 sp AS (SELECT s.sample_id, s.spot_id AS entity_id, og.gene, coalesce(sx.p, 0) AS pred, coalesce(ln(1 + t.cnt), 0) AS target FROM (SELECT DISTINCT sample_id, spot_id FROM a) s JOIN og USING (sample_id)
    LEFT JOIN sx ON sx.sample_id = s.sample_id AND sx.spot_id = s.spot_id AND sx.gene = og.gene LEFT JOIN fx_spot_expr t ON t.sample_id = s.sample_id AND t.spot_id = s.spot_id AND t.gene = og.gene),
 {summary_sql('sp', 'sample_id', 'spot')} SELECT *, true AS count_semantics_verified FROM su""")

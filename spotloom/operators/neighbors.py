@@ -1,7 +1,7 @@
 """Exact nearest neighbours over vectors.
 
 Bank rows are assigned to the nearest of a number of pivots that grows with the root
-of the bank. For each query the triangle inequality gives a distance that its k nearest rows cannot
+of the bank; that index can be stored, reopened and extended. For each query the triangle inequality gives a distance that its k nearest rows cannot
 exceed, and only pivot cells that reach into that distance are searched. Cells are
 cut into chunks by a hash of the id, so the unit of work is (query chunk, bank
 chunk): two bounded blocks multiplied as matrices, of which only the k best rows
@@ -11,10 +11,11 @@ per query leave the task. A cell holding most of the bank is just more chunks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from spotloom.constants import NORM_FLOOR, RATIO_FLOOR
 from spotloom.session import one_row, stage
@@ -107,44 +108,75 @@ def _pair_scores(a: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray, m
     return out
 
 
-def _topk_kernel(k: int, metric: str, n_within: int, masked: bool, carry: list[str], schema: pa.Schema):
+def _group_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes that are equal where the values are; nulls are equal to each other."""
+    both = pa.chunked_array([*left.chunks, *right.cast(left.type).chunks], left.type).combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = (both.combine_chunks() if isinstance(both, pa.ChunkedArray) else both).indices.to_numpy(zero_copy_only=False)
+    return codes[:len(left)], codes[len(left):]
+
+
+def _best_rows(left: pa.Table, right: pa.Table, k: int, metric: str, masks: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left row, right row, score and place (from 0) of the k best right rows of each left row, in order.
+
+    ``masks``: (column, "same" or "apart"), a column that must be equal or must differ.
+    """
+    a, b = matrix(left.column("vec")), matrix(right.column("vec"))
+    ids = _codes(_values(right, "id"))[0]
+    blocked = [(mode, *_group_codes(left.column(c), right.column(c))) for c, mode in masks]
+    if metric == "cosine":
+        a, b = unit_rows(a), unit_rows(b)
+    rows, cols, scores, places = [], [], [], []
+    for part in _query_slices(len(a), len(b)):
+        cost = -(a[part] @ b.T) if metric == "cosine" else pairwise_distance(a[part], b)
+        for mode, mine, theirs in blocked:
+            equal = mine[part][:, None] == theirs[None, :]
+            cost[equal if mode == "apart" else ~equal] = np.inf
+        take = min(k, cost.shape[1])
+        edge = np.partition(cost, take - 1, axis=1)[:, take - 1]
+        # Rounding noise near the k-th value must not decide: keep a sliver more, then rank exactly.
+        near = (cost <= (edge + 1e-7 * (1.0 + np.abs(edge)))[:, None]) & np.isfinite(cost)
+        qi, bi = np.nonzero(near)
+        exact = np.round(_pair_scores(a[part], b, qi, bi, metric), 12)
+        rank = -exact if metric == "cosine" else exact
+        order = np.lexsort((ids[bi], rank, qi))
+        qi, bi, exact = qi[order], bi[order], exact[order]
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
+        keep = place < k
+        rows.append(qi[keep] + part.start)
+        cols.append(bi[keep])
+        scores.append(exact[keep])
+        places.append(place[keep])
+    return tuple(np.concatenate(c) for c in (rows, cols, scores, places))
+
+
+def _topk_kernel(k: int, metric: str, n_within: int, masks: list[tuple[str, str]], carry: list[str], schema: pa.Schema):
     def kernel(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        a, b = matrix(left.column("vec")), matrix(right.column("vec"))
-        ids = _codes(_values(right, "id"))[0]
-        if masked:
-            mask_l, mask_r = _codes(_values(left, "_apart"), _values(right, "_apart"))
-        if metric == "cosine":
-            a, b = unit_rows(a), unit_rows(b)
-        rows, cols, scores = [], [], []
-        for part in _query_slices(len(a), len(b)):
-            cost = -(a[part] @ b.T) if metric == "cosine" else pairwise_distance(a[part], b)
-            if masked:
-                cost[mask_l[part][:, None] == mask_r[None, :]] = np.inf
-            take = min(k, cost.shape[1])
-            edge = np.partition(cost, take - 1, axis=1)[:, take - 1]
-            # Rounding noise near the k-th value must not decide: keep a sliver more, then rank exactly.
-            near = (cost <= (edge + 1e-7 * (1.0 + np.abs(edge)))[:, None]) & np.isfinite(cost)
-            qi, bi = np.nonzero(near)
-            exact = np.round(_pair_scores(a[part], b, qi, bi, metric), 12)
-            rank = -exact if metric == "cosine" else exact
-            order = np.lexsort((ids[bi], rank, qi))
-            qi, bi, exact = qi[order], bi[order], exact[order]
-            first = np.searchsorted(qi, qi, side="left")
-            keep = np.arange(len(qi)) - first < k
-            rows.append(qi[keep] + part.start)
-            cols.append(bi[keep])
-            scores.append(exact[keep])
-        qi, bi = np.concatenate(rows), np.concatenate(cols)
+        qi, bi, scores, _ = _best_rows(left, right, k, metric, masks)
         out = [pa.repeat(key[i], len(qi)) for i in range(n_within)]
-        out += [left.column("id").take(qi), right.column("id").take(bi), pa.array(np.concatenate(scores))]
+        out += [left.column("id").take(qi), right.column("id").take(bi), pa.array(scores)]
         out += [right.column(c).take(bi) for c in carry]
         return pa.table(dict(zip(schema.names, out))).cast(schema)
 
     return kernel
 
 
+def _topk_batches(bank: pa.Table, k: int, metric: str, within: list[str], masks: list[tuple[str, str]], carry: list[str], schema: pa.Schema):
+    """Whole top-k of queries against a bank of one block, which travels with the task: nothing is shuffled."""
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                left = pa.Table.from_batches([batch.slice(start, 1024)])
+                qi, bi, scores, places = _best_rows(left, bank, k, metric, [*masks, *((c, "same") for c in within)])
+                out = [left.column(c).take(qi) for c in within]
+                out += [left.column("id").take(qi), bank.column("id").take(bi), pa.array(scores)]
+                out += [*(bank.column(c).take(bi) for c in carry), pa.array(places + 1)]
+                yield from pa.table(dict(zip(schema.names, out))).cast(schema).to_batches()
+
+    return run
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -169,99 +201,204 @@ def _assign(pivots: np.ndarray, unit: bool) -> Callable:
     return nearest_pivot
 
 
+def _reached(m: np.ndarray, pivots: np.ndarray, cells: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell place) of the cells that may hold one of the k nearest rows of each row of ``m``."""
+    d = pairwise_distance(m, pivots)[:, cells]
+    far = d + radii
+    # Smallest far edge below which at least k rows are certain to lie.
+    order = np.argsort(far, axis=1)
+    filled = np.cumsum(sizes[order], axis=1) >= k
+    last = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
+    limit = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
+    limit = np.where(filled.any(axis=1)[:, None], limit, np.inf)
+    # Slack for rounding in the distances.
+    return np.nonzero(d - radii <= limit * (1 + 1e-6) + 1e-6)
+
+
 def _reach_kernel(pivots: np.ndarray, unit: bool, k: int, schema: pa.Schema):
-    """Copies each query to the pivot cells that may hold one of its k nearest rows."""
+    """Copies each query to the pivot cells that may hold one of its k nearest rows; the cells come with the group."""
     def kernel(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         cells, sizes, radii = (np.array(right.column(c)[0].as_py()) for c in ("cells", "sizes", "radii"))
         m = matrix(left.column("vec"))
-        d = pairwise_distance(unit_rows(m) if unit else m, pivots)[:, cells]
-        far = d + radii
-        # Smallest far edge below which at least k rows are certain to lie.
-        order = np.argsort(far, axis=1)
-        filled = np.cumsum(sizes[order], axis=1) >= k
-        last = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
-        limit = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
-        limit = np.where(filled.any(axis=1)[:, None], limit, np.inf)
-        # Slack for rounding in the distances.
-        row, cell = np.nonzero(d - radii <= limit * (1 + 1e-6) + 1e-6)
+        row, cell = _reached(unit_rows(m) if unit else m, pivots, cells, sizes, radii, k)
         out = left.select(schema.names[:-1]).take(row)
         return out.append_column("_cell", pa.array(cells[cell], pa.int32())).cast(schema)
 
     return kernel
 
 
-def _cell_facts(placed: DataFrame, queries: DataFrame, within: list[str], masked: bool) -> DataFrame:
+def _reach_batches(index: "Index", k: int, schema: pa.Schema):
+    """The same for an index whose cells are known on the driver: no shuffle of the queries."""
+    pivots, unit = index.pivots, index.metric == "cosine"
+    cells, sizes, radii = (np.array(c) for c in zip(*index.cells))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                m = matrix(pa.chunked_array([part.column("vec")]))
+                row, cell = _reached(unit_rows(m) if unit else m, pivots, cells, sizes, radii, k)
+                out = pa.Table.from_batches([part]).take(row)
+                yield from out.append_column("_cell", pa.array(cells[cell], pa.int32())).cast(schema).to_batches()
+
+    return run
+
+
+def _cell_facts(placed: DataFrame, queries: DataFrame, within: list[str], mask: str | None) -> DataFrame:
     """One row per query group: cells with the number of rows a query of the group may use, and their radii.
 
-    With a fold mask the rows of the query's own fold are taken off.
+    With a mask, rows of the query's own mask value are the only ones ("same") or are taken off ("apart").
     """
     total = placed.groupBy(*within, "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("radius"))
     listed = total.groupBy(*within).agg(F.collect_list(F.struct("_cell", "n", "radius")).alias("_all"))
-    own = F.lit(0)
+    left_over = lambda c: c["n"]
     facts = listed
-    if masked:
-        mine = placed.groupBy(*within, "_apart", "_cell").agg(F.count(F.lit(1)).alias("n"))
-        mine = mine.groupBy(*within, "_apart").agg(F.map_from_entries(F.collect_list(F.struct("_cell", "n"))).alias("_mine"))
-        facts = queries.select(*within, "_apart").distinct().join(mine, [*within, "_apart"], "left")
+    if mask:
+        mine = placed.groupBy(*within, "_mask", "_cell").agg(F.count(F.lit(1)).alias("n"))
+        mine = mine.groupBy(*within, "_mask").agg(F.map_from_entries(F.collect_list(F.struct("_cell", "n"))).alias("_mine"))
+        facts = queries.select(*within, "_mask").distinct().join(mine, [*within, "_mask"], "left")
         facts = facts.join(listed, within) if within else facts.withColumn("_all", one_row(listed)["_all"])
-        own = F.col("_mine")
-    left_over = (lambda c: c["n"] - F.coalesce(F.try_element_at(own, c["_cell"]), F.lit(0))) if masked else (lambda c: c["n"])
+        own = lambda c: F.coalesce(F.try_element_at(F.col("_mine"), c["_cell"]), F.lit(0))
+        left_over = own if mask == "same" else lambda c: c["n"] - own(c)
     return facts.select(
-        *within, *(["_apart"] if masked else []), F.lit(0).alias("id"), F.transform("_all", lambda c: c["_cell"]).alias("cells"),
+        *within, *(["_mask"] if mask else []), F.lit(0).alias("id"), F.transform("_all", lambda c: c["_cell"]).alias("cells"),
         F.transform("_all", left_over).alias("sizes"), F.transform("_all", lambda c: c["radius"]).alias("radii"))
 
 
-def topk(
-    queries: DataFrame, bank: DataFrame, k: int, *, metric: str = "cosine",
-    within: list[str] | tuple[str, ...] = (), apart: str | None = None, exclude_self: bool = False,
-    carry: list[str] | tuple[str, ...] = (), block: int = BLOCK, pivots: int | None = None,
-) -> DataFrame:
-    """The k best bank rows per query: (within…, query_id, bank_id, score, rank, carried bank columns).
-
-    ``queries`` and ``bank``: id, vec. ``within`` columns must be equal, the ``apart``
-    column must differ (leave-one-fold-out), ``exclude_self`` keeps a row from matching
-    its own id. Score is the cosine similarity (descending) or the Euclidean distance
-    (ascending); ties go to the lower bank id. A k above the bank size returns the whole bank.
-    ``pivots`` is the number of cells, a quarter of the root of the bank's size by default; the
-    driver hands that many vectors to every task. Nothing else is gathered there.
+@dataclass(frozen=True)
+class Index:
+    """A bank cut into pivot cells: built once, searched often.
+
+    ``rows``: id, vec, the columns kept, and the cell and distance to its pivot (_cell, _gap). ``cells`` (cell, rows,
+    radius) and ``pivots`` are as many as a quarter of the root of the bank's size. A bank of at most one block needs
+    none of this: ``small`` is the bank itself. ``path`` is the folder of a stored index.
+    """
+
+    rows: DataFrame
+    metric: str
+    size: int
+    block: int
+    pivots: np.ndarray | None = None
+    cells: list[tuple[int, int, float]] | None = None
+    small: pa.Table | None = None
+    path: str | None = None
+
+
+def _placed(bank: DataFrame, pivots: np.ndarray, unit: bool) -> DataFrame:
+    placed = bank.withColumn("_p", _assign(pivots, unit)("vec"))
+    return placed.select("*", F.col("_p.cell").alias("_cell"), F.col("_p.gap").alias("_gap")).drop("_p")
+
+
+def _cells(rows: DataFrame) -> list[tuple[int, int, float]]:
+    found = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("radius")).collect()
+    return sorted(map(tuple, found))
+
+
+def build_index(bank: DataFrame, *, metric: str = "cosine", path: str | None = None, block: int = BLOCK, pivots: int | None = None) -> Index:
+    """Index over ``bank`` (id, vec and any other columns, all kept for masks and carrying).
+
+    With ``path`` it is stored there, for ``open_index`` in this or another session; without, a bank of more than one
+    block is staged in the shared folder and a smaller one (at most ``block`` rows) is held by the driver. ``pivots``: number of cells, a quarter of the root of the bank's size by default.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric must be cosine or euclidean")
-    within, carry, k = list(within), list(carry), max(1, int(k))
-    mask = F.col("id") if exclude_self else F.col(apart) if apart else None
-    extra = [] if mask is None else [mask.alias("_apart")]
-    left = queries.select(*within, "id", "vec", *extra)
-    right = bank.select(*within, "id", "vec", *extra, *[c for c in carry if c not in within])
-
     size = bank.count()
     if size == 0:
         raise ValueError("retrieval bank is empty")
-    unit = metric == "cosine"
+    if size <= block and pivots is None and path is None:
+        return Index(bank, metric, size, block, small=bank.toArrow())
     centers = _pick_pivots(bank, pivots or max(1, int(np.sqrt(size) / 4)))
-    centers = unit_rows(centers) if unit else centers
-    # Written once: cell facts, chunk counts and the search all read it.
-    placed = stage(right.withColumn("_p", _assign(centers, unit)("vec")).select("*", F.col("_p.cell").alias("_cell"), F.col("_p.gap").alias("_gap")).drop("_p"))
-    folds = mask is not None and not exclude_self
-    sent = T.StructType([*left.schema.fields, T.StructField("_cell", T.IntegerType())])
-    reach = _reach_kernel(centers, unit, k + (1 if exclude_self else 0), _arrow_schema(sent))
-    left = paired_blocks(left, _cell_facts(placed, left, within, folds), [*within, *(["_apart"] if folds else [])], block, reach, sent)
-    right, keys = placed.drop("_gap"), [*within, "_cell"]
+    centers = unit_rows(centers) if metric == "cosine" else centers
+    placed = _placed(bank, centers, metric == "cosine")
+    if path is None:
+        placed = stage(placed)
+        return Index(placed, metric, size, block, centers, _cells(placed))
+    spark = bank.sparkSession
+    placed.write.parquet(f"{path}/rows")
+    listed = [(n, [float(x) for x in c], metric, block) for n, c in enumerate(centers)]
+    spark.createDataFrame(listed, "cell int, vec array<double>, metric string, block int").coalesce(1).write.parquet(f"{path}/pivots")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A stored index. Sizes and radii come from the rows themselves (two columns are read), so they always fit them."""
+    listed = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()
+    rows = spark.read.parquet(f"{path}/rows")
+    cells = _cells(rows)
+    return Index(rows, listed[0]["metric"], sum(n for _, n, _ in cells), listed[0]["block"], np.array([r["vec"] for r in listed]), cells, path=path)
+
+
+def append_to_index(index: Index, more: DataFrame) -> Index:
+    """A stored index with further rows. The pivots stay; rebuild once the bank has grown many times over."""
+    if index.path is None:
+        raise ValueError("only a stored index takes further rows")
+    names = [c for c in index.rows.columns if c not in ("_cell", "_gap")]
+    fitting = more.select(*[F.col(c).cast(index.rows.schema[c].dataType).alias(c) for c in names])
+    _placed(fitting, index.pivots, index.metric == "cosine").write.mode("append").parquet(f"{index.path}/rows")
+    return open_index(more.sparkSession, index.path)
+
+
+def search(
+    index: Index, queries: DataFrame, k: int, *, within: list[str] | tuple[str, ...] = (), same: str | None = None, apart: str | None = None,
+    exclude_self: bool = False, carry: list[str] | tuple[str, ...] = (),
+) -> DataFrame:
+    """The k best rows of the index per query: (within…, query_id, bank_id, score, rank, carried bank columns).
 
-    fields = [bank.schema[c] for c in within]
-    fields += [T.StructField("query_id", queries.schema["id"].dataType), T.StructField("bank_id", bank.schema["id"].dataType),
+    ``queries``: id, vec. ``within`` columns must be equal and are part of the result, so a query may occur once in each
+    group; ``same`` names a column that must be equal, ``apart`` one that must differ (leave-one-fold-out);
+    ``exclude_self`` keeps a row from matching its own id. Ties go to the lower bank id.
+    """
+    if sum((bool(same), bool(apart), exclude_self)) > 1:
+        raise ValueError("same, apart and exclude_self exclude each other")
+    within, k = list(within), max(1, int(k))
+    carry = [c for c in carry if c not in within]
+    mask = "same" if same else "apart" if apart or exclude_self else None
+    extra = [F.col("id" if exclude_self else same or apart).alias("_mask")] if mask else []
+    left = queries.select(*within, "id", "vec", *extra)
+    masks = [("_mask", mask)] if mask else []
+    fields = [index.rows.schema[c] for c in within]
+    fields += [T.StructField("query_id", queries.schema["id"].dataType), T.StructField("bank_id", index.rows.schema["id"].dataType),
                T.StructField("score", T.DoubleType())]
-    fields += [bank.schema[c] for c in carry if c not in within]
+    fields += [index.rows.schema[c] for c in carry]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    carried = [c for c in carry if c not in within]
-    kernel = _topk_kernel(k, metric, len(within), mask is not None, carried, _arrow_schema(schema))
-    partial = paired_blocks(left, right, keys, block, kernel, schema)
-    best = F.desc("score") if metric == "cosine" else F.asc("score")
+    if index.small is not None:
+        bank = index.small.append_column("_mask", index.small.column("id" if exclude_self else same or apart)) if mask else index.small
+        ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+        return left.mapInArrow(_topk_batches(bank, k, index.metric, within, masks, carry, _arrow_schema(ranked)), ranked)
+
+    placed = index.rows.select(*within, "id", "vec", *extra, *carry, "_cell", "_gap")
+    unit = index.metric == "cosine"
+    sent = T.StructType([*left.schema.fields, T.StructField("_cell", T.IntegerType())])
+    need, folds = k + (1 if exclude_self else 0), mask if not exclude_self else None
+    if within or folds:
+        reach = _reach_kernel(index.pivots, unit, need, _arrow_schema(sent))
+        left = paired_blocks(left, _cell_facts(placed, left, within, folds), [*within, *(["_mask"] if folds else [])], index.block, reach, sent)
+    else:
+        left = left.mapInArrow(_reach_batches(index, need, _arrow_schema(sent)), sent)
+    kernel = _topk_kernel(k, index.metric, len(within), masks, carry, _arrow_schema(schema))
+    partial = paired_blocks(left, placed.drop("_gap"), [*within, "_cell"], index.block, kernel, schema)
+    best = F.desc("score") if unit else F.asc("score")
     w = Window.partitionBy(*within, "query_id").orderBy(best, "bank_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def topk(
+    queries: DataFrame, bank: DataFrame, k: int, *, metric: str = "cosine",
+    within: list[str] | tuple[str, ...] = (), apart: str | None = None, exclude_self: bool = False,
+    carry: list[str] | tuple[str, ...] = (), block: int = BLOCK, pivots: int | None = None,
+) -> DataFrame:
+    """One search over a bank that is indexed for it alone; see ``build_index`` and ``search``.
+
+    Score is the cosine similarity (descending) or the Euclidean distance (ascending). A k above the bank size returns the
+    whole bank.
+    """
+    kept = dict.fromkeys([*within, "id", "vec", *([apart] if apart else []), *carry])
+    index = build_index(bank.select(*kept), metric=metric, block=block, pivots=pivots)
+    return search(index, queries, k, within=within, apart=apart, exclude_self=exclude_self, carry=carry)
+
+
 def label_distance_sums(points: DataFrame, label: str = "label", by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """Sum of Euclidean distances from each point to all points of each label: (by…, id, label, other, dist_sum).
 

@@ -97,6 +97,15 @@ def test_one_match_predicts_its_expression_and_empty_spots_stay(spark):
     assert covered == {5: 2, 6: 0}
 
 
+def test_summed_counts_below_zero_count_as_zero(spark):
+    pred = spark.createDataFrame([(1, "A", -0.7), (2, "A", -0.9), (3, "A", float(np.log(0.5))), (4, "A", float(np.log(0.5))), (5, "A", -0.1), (6, "A", 1.0)], "cell_id long, gene string, pred double")
+    assign = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3)], "cell_id long, spot_id long")  # sums below, at and above -1
+    got = {r["spot_id"]: r["pred"] for r in retrieval.aggregate_cells_to_spots(pred, assign).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: pytest.approx(np.log1p(np.expm1(-0.1) + np.expm1(1.0)))}
+    sums = [np.expm1(-0.7) + np.expm1(-0.9), 2 * np.expm1(np.log(0.5))]
+    assert sums[0] < -1 and sums[1] == pytest.approx(-1)
+
+
 def small_study(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 4))
