@@ -201,11 +201,12 @@ def _(v):
     return splits.require_both_sides(split).select("cell_id", "split")
 
 
-@query("joi_13_attach_geometry", f"SELECT cell_id, technology, {R('w * h', 'area_px2')} FROM fx_polygons WHERE technology = 'Xenium'")
+@query("joi_13_attach_geometry", f"""SELECT cell_id, technology, {R('w * h', 'area_px2')}, {R('x0 + w / 2', 'centroid_x')}, {R('y0 + h / 2', 'centroid_y')}
+    FROM fx_polygons JOIN fx_cells USING (cell_id)""")
 def _(v):
-    chosen = v.fx_polygons.where(F.col("technology") == "Xenium").select("cell_id", "technology")
-    joined = chosen.join(v.fx_polygons.select("cell_id", ring()), "cell_id")
-    return joined.select("cell_id", "technology", r6(polygons.area("vertices"), "area_px2"))
+    chosen = v.fx_polygons.select("cell_id", "technology")
+    outlines = v.fx_polygons.join(v.fx_cells.select("cell_id"), "cell_id").select("cell_id", ring())
+    return spatial.attach_geometry(chosen, outlines).select("cell_id", "technology", r6("area_px2"), r6("centroid_x"), r6("centroid_y"))
 
 
 @query("joi_14_attach_totals", "SELECT sample_id, count(*) AS n, CASE WHEN sample_id = '5-LOW' THEN NULL ELSE count(*) * 2 END AS total_available_cells FROM fx_cells WHERE in_tissue = 1 GROUP BY sample_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
 
 from pyspark.sql import functions as F, types as T
 
 from spotloom.catalog.core import R, query, r6
-from spotloom.operators import counting, splits
+from spotloom.operators import counting, panels, splits
 from spotloom.plans import cells as cell_jobs
 from spotloom.session import scratch_path
 from spotloom.sources import documents, tables, text, writers
@@ -27,38 +29,76 @@ def ring():
     return F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0)).alias("vertices")
 
 
+def _box(x0, y0, x1, y1, hole: bool = False):
+    """Closed rectangle ring, counter-clockwise, or clockwise as a hole."""
+    corners = [(x0, y0), (x0, y1), (x1, y1), (x1, y0)] if hole else [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in [*corners, corners[0]]])
+
+
+def parts():
+    """Outlines of the polygon view as lists of parts: every third has a hole of half its sides, every fifth a second part."""
+    x, y, w, h, c = (F.col(n) for n in ("x0", "y0", "w", "h", "cell_id"))
+    outer, hole = _box(x, y, x + w, y + h), _box(x + w / 4, y + h / 4, x + w * 3 / 4, y + h * 3 / 4, True)
+    first = F.when(c % 3 == 1, F.array(outer, hole)).otherwise(F.array(outer))
+    return F.when(c % 5 == 2, F.array(first, F.array(_box(x + 300, y, x + 300 + w, y + h)))).otherwise(F.array(first)).alias("parts")
+
+
 @F.udf(returnType=T.BinaryType(), useArrow=True)
-def _wkb(vertices):
-    flat = [c for p in vertices for c in (p["x"], p["y"])]
-    return struct.pack(f"<BIII{len(flat)}d", 1, 3, 1, len(flat) // 2, *flat)
+def _wkb(parts):
+    def polygon(rings):
+        body = b"".join(struct.pack(f"<I{2 * len(r)}d", len(r), *[c for p in r for c in (p["x"], p["y"])]) for r in rings)
+        return struct.pack("<BII", 1, 3, len(rings)) + body
+
+    return polygon(parts[0]) if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(polygon, parts))
+
+
+@F.udf(returnType=T.BinaryType(), useArrow=True)
+def _zipped(text):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("cells.geojson", text)
+    return held.getvalue()
 
 
 BOX_SQL = f"""SELECT cell_id, {R('x0 + w / 2', 'centroid_x')}, {R('y0 + h / 2', 'centroid_y')}, {R('x0', 'bbox_min_x')}, {R('y0', 'bbox_min_y')},
     {R('x0 + w', 'bbox_max_x')}, {R('y0 + h', 'bbox_max_y')} FROM fx_polygons"""
 BOX = ["centroid_x", "centroid_y", "bbox_min_x", "bbox_min_y", "bbox_max_x", "bbox_max_y"]
 
+# Area of the first part less its hole, and of the second part.
+PART_SQL = """t AS (SELECT *, w * h * CASE WHEN cell_id % 3 = 1 THEN 0.75e0 ELSE 1e0 END AS a1, CASE WHEN cell_id % 5 = 2 THEN w * h ELSE 0 END AS a2 FROM fx_polygons)"""
+
 
-@query("src_02_read_segmentation", BOX_SQL)
+@query("src_02_read_segmentation", f"""WITH {PART_SQL} SELECT cell_id, {R('((x0 + w / 2) * a1 + (x0 + 300 + w / 2) * a2) / (a1 + a2)', 'centroid_x')}, {R('y0 + h / 2', 'centroid_y')},
+    {R('x0', 'bbox_min_x')}, {R('y0', 'bbox_min_y')}, {R('x0 + w + CASE WHEN cell_id % 5 = 2 THEN 300 ELSE 0 END', 'bbox_max_x')}, {R('y0 + h', 'bbox_max_y')} FROM t""")
 def _(v):
     path = scratch_path(v.spark, "segmentation")
-    v.fx_polygons.select("cell_id", _wkb(ring()).alias("geometry")).write.parquet(path)
+    v.fx_polygons.select("cell_id", _wkb(parts()).alias("geometry")).write.parquet(path)
     return tables.read_segmentation(v.spark, path).select("cell_id", *[r6(c) for c in BOX])
 
 
-@query("src_03_read_segmentation_any", f"""SELECT cell_id, technology AS class, {R('x0', 'min_x')}, {R('y0 + h', 'max_y')} FROM fx_polygons""")
+RING_SQL = """r AS (SELECT cell_id, technology, 0 AS part, 0 AS hole, [x0, x0 + w, x0 + w, x0, x0] AS xs, [y0, y0, y0 + h, y0 + h, y0] AS ys FROM fx_polygons
+  UNION ALL SELECT cell_id, technology, 0, 1, [x0 + w / 4, x0 + w / 4, x0 + w * 3 / 4, x0 + w * 3 / 4, x0 + w / 4], [y0 + h / 4, y0 + h * 3 / 4, y0 + h * 3 / 4, y0 + h / 4, y0 + h / 4] FROM fx_polygons WHERE cell_id % 3 = 1
+  UNION ALL SELECT cell_id, technology, 1, 0, [x0 + 300, x0 + 300 + w, x0 + 300 + w, x0 + 300, x0 + 300], [y0, y0, y0 + h, y0 + h, y0] FROM fx_polygons WHERE cell_id % 5 = 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY part, hole) - 1 AS ring FROM r)"""
+
+
+@query("src_03_read_segmentation_any", f"""WITH {RING_SQL}, o AS (SELECT cell_id, technology AS class, CAST(ring AS INT) AS ring, unnest(range(5)) AS ord, unnest(xs) AS x, unnest(ys) AS y FROM n)
+SELECT sample, cell_id, class, ring, CAST(ord AS INT) AS ord, {R('x')}, {R('y')} FROM o, (SELECT unnest(['A', 'B', 'C']) AS sample)""")
 def _(v):
-    path = scratch_path(v.spark, "geojson")
-    pair = F.transform("vertices", lambda p: F.array(p["x"], p["y"]))
-    feature = F.struct(F.struct(F.col("cell_id").cast("string").alias("cell_id"), F.col("technology").alias("class")).alias("properties"),
-                       F.struct(F.lit("Polygon").alias("type"), F.array(pair).alias("coordinates")).alias("geometry"))
-    # One document per thousand outlines, one per line; a document never grows with the table.
-    docs = v.fx_polygons.withColumn("vertices", ring()).select(F.floor(F.col("cell_id") / 1000).alias("d"), feature.alias("f"))
-    docs.groupBy("d").agg(F.to_json(F.struct(F.collect_list("f").alias("features"))).alias("value")).select("d", "value").write.partitionBy("d").text(path)
-    shapes = tables.read_geojson(v.spark, path)
-    from spotloom.functions import polygons
-
-    box = polygons.bbox("vertices")
-    return shapes.select("cell_id", "class", r6(box["min_x"], "min_x"), r6(box["max_y"], "max_y"))
+    folder = scratch_path(v.spark, "outlines")
+    outlines = v.fx_polygons.select("cell_id", F.col("technology").alias("class"), parts())
+    outlines.select("cell_id", "class", _wkb("parts").alias("geometry")).write.parquet(f"{folder}/cellvit_seg/A_cellvit_seg.parquet")
+    point = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    one = F.size("parts") == 1
+    shape = F.concat(F.lit('{"type":"'), F.when(one, "Polygon").otherwise("MultiPolygon"), F.lit('","coordinates":'), F.when(one, F.to_json(point[0])).otherwise(F.to_json(point)), F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(F.col("cell_id").cast("string").alias("cell_id"), "class")), F.lit(',"geometry":'), shape, F.lit("}"))
+    # The fixture writes one document per thousand outlines, so that no task builds a growing one.
+    docs = outlines.select(F.floor(F.col("cell_id") / 1000).alias("d"), feature.alias("f")).groupBy("d").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    docs.write.partitionBy("d").text(f"{folder}/cellvit_seg/B_cellvit_seg.geojson")
+    docs.select("d", _zipped("value").cast("string").alias("value")).write.partitionBy("d").text(f"{folder}/cellvit_seg/C_cellvit_seg.geojson.zip")
+    found = panels.stack_frames([tables.read_segmentation_any(v.spark, folder, s).select(F.lit(s).alias("sample"), "cell_id", "class", "vertices") for s in "ABC"])
+    rings = found.select("sample", "cell_id", "class", F.posexplode("vertices").alias("ring", "points"))
+    return rings.select("sample", "cell_id", "class", "ring", F.posexplode("points").alias("ord", "p")).select("sample", "cell_id", "class", "ring", "ord", r6("p.x", "x"), r6("p.y", "y"))
 
 
 @query("src_04_read_gene_list", """

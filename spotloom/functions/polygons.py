@@ -1,18 +1,29 @@
-"""Polygon arithmetic on ``array<struct<x,y>>`` vertex columns.
+"""Polygon arithmetic on outlines, columns of rings ``array<array<struct<x,y>>>``.
 
-The ring may or may not repeat its first vertex. Everything is Catalyst
-higher-order functions, so shapes never leave the JVM.
+Rings are signed: an outer ring runs counter-clockwise, a hole clockwise, so areas, centroids and clipped areas of
+outlines with holes and several parts are plain sums over rings. A ring may or may not repeat its first vertex; a single
+ring may run either way. Everything is Catalyst higher-order functions, so shapes never leave the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from spotloom.constants import RATIO_FLOOR
 from spotloom.functions.scalars import as_col, dbl
 
 
-def _edges(ring) -> Column:
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def as_rings(vertices: Column | str, kind: T.DataType | None = None) -> Column:
+    """Outline of one ring; a column that holds rings already (by ``kind``, its type) stays as it is."""
+    nested = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
+    vertices = as_col(vertices)
+    return vertices if nested else F.when(vertices.isNotNull(), F.array(vertices))
+
+
+def _ring_edges(ring) -> Column:
     """Each vertex with its successor, the last one closing the ring."""
     ring = as_col(ring)
     successors = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
@@ -20,6 +31,10 @@ def _edges(ring) -> Column:
         p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
 
 
+def _edges(rings) -> Column:
+    return F.flatten(F.transform(as_col(rings), _ring_edges))
+
+
 def _total(items: Column, term) -> Column:
     return F.aggregate(items, dbl(0), lambda acc, e: acc + term(e))
 
@@ -28,31 +43,47 @@ def _cross(e: Column) -> Column:
     return e["ax"] * e["by"] - e["bx"] * e["ay"]
 
 
-def signed_area(ring) -> Column:
-    return _total(_edges(ring), _cross) / dbl(2)
+def oriented(parts) -> Column:
+    """Signed rings of parts, each a list of rings with the outer one first."""
+    def turned(ring: Column, place: Column) -> Column:
+        left = _total(_ring_edges(_local(ring)), _cross) >= 0
+        return F.when(left == (place == 0), ring).otherwise(F.reverse(ring))
 
+    return F.flatten(F.transform(as_col(parts), lambda part: F.transform(part, turned)))
 
-def area(ring) -> Column:
-    return F.abs(signed_area(ring))
 
+def _local(ring) -> Column:
+    """A ring relative to its first vertex: slide coordinates are large."""
+    first = F.get(ring, F.lit(0))
+    return F.transform(ring, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
 
-def perimeter(ring) -> Column:
-    return _total(_edges(ring), lambda e: F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"]))
 
+def signed_area(rings) -> Column:
+    return _total(_edges(rings), _cross) / dbl(2)
 
-def centroid(ring) -> Column:
-    """Area centroid; a ring without area falls back to the mean of its vertices."""
-    ring = as_col(ring)
-    # Coordinates are taken relative to the first vertex: slide coordinates are large.
-    ox, oy = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    local = F.transform(ring, lambda p: F.struct((p["x"] - ox).alias("x"), (p["y"] - oy).alias("y")))
-    edges = _edges(local)
+
+def area(rings) -> Column:
+    return F.abs(signed_area(rings))
+
+
+def perimeter(rings) -> Column:
+    """Length of all rings, holes included."""
+    return _total(_edges(rings), lambda e: F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"]))
+
+
+def centroid(rings) -> Column:
+    """Area centroid; an outline without area falls back to the mean of its vertices."""
+    rings = as_col(rings)
+    first = F.get(F.get(rings, F.lit(0)), F.lit(0))
+    ox, oy = first["x"], first["y"]
+    local = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - ox).alias("x"), (p["y"] - oy).alias("y"))))
+    edges, points = _edges(local), F.flatten(local)
     doubled = _total(edges, _cross)
     cx = _total(edges, lambda e: (e["ax"] + e["bx"]) * _cross(e)) / (dbl(3) * doubled)
     cy = _total(edges, lambda e: (e["ay"] + e["by"]) * _cross(e)) / (dbl(3) * doubled)
-    n = F.size(ring).cast("double")
-    mx = F.aggregate(local, dbl(0), lambda acc, p: acc + p["x"]) / n
-    my = F.aggregate(local, dbl(0), lambda acc, p: acc + p["y"]) / n
+    n = F.size(points).cast("double")
+    mx = F.aggregate(points, dbl(0), lambda acc, p: acc + p["x"]) / n
+    my = F.aggregate(points, dbl(0), lambda acc, p: acc + p["y"]) / n
     flat = doubled == 0
     return F.struct(
         (ox + F.when(flat, mx).otherwise(cx)).alias("x"),
@@ -60,9 +91,9 @@ def centroid(ring) -> Column:
     )
 
 
-def bbox(ring) -> Column:
-    ring = as_col(ring)
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+def bbox(rings) -> Column:
+    points = F.flatten(as_col(rings))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(
         F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
         F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"),
@@ -89,9 +120,9 @@ def shape_columns(area_px2, perimeter_px, box, pixel_um) -> dict[str, Column]:
     }
 
 
-def clip_half_plane(ring, axis: str, bound, keep_above: bool) -> Column:
-    """Part of the ring on one side of an axis-parallel line."""
-    ring, bound = as_col(ring), as_col(bound)
+def clip_half_plane(rings, axis: str, bound, keep_above: bool) -> Column:
+    """Part of each ring on one side of an axis-parallel line. The signed areas of the parts add up to that of the whole."""
+    rings, bound = as_col(rings), as_col(bound)
     a, b = f"a{axis}", f"b{axis}"
 
     def inside(v: Column) -> Column:
@@ -115,17 +146,17 @@ def clip_half_plane(ring, axis: str, bound, keep_above: bool) -> Column:
             .otherwise(F.array().cast("array<struct<x:double,y:double>>"))
         )
 
-    return F.flatten(F.transform(_edges(ring), pieces))
+    return F.transform(rings, lambda ring: F.flatten(F.transform(_ring_edges(ring), pieces)))
 
 
-def touches_box(ring, x0, y0, x1, y1) -> Column:
-    """True when ring and closed box share a point, a shared border included.
+def touches_box(rings, x0, y0, x1, y1) -> Column:
+    """True when outline and closed box share a point, a shared border included; a box inside a hole does not touch.
 
     Decided by edges, not by the clipped area: clipping a concave outline can
     leave a zero-area remnant on a box it never reaches.
     """
     x0, y0, x1, y1 = (as_col(v) for v in (x0, y0, x1, y1))
-    edges = _edges(ring)
+    edges = _edges(rings)
 
     def span(start: Column, end: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:
         d = end - start

@@ -87,9 +87,10 @@ def binned_density(df: DataFrame, value: str, by: list[str], bins: int, lo: floa
 # -- shapes and crops ---------------------------------------------------------
 
 def polygon_metadata(cells: DataFrame) -> DataFrame:
-    """Centroid and bounding box per outline."""
+    """Centroid and bounding box per outline; ``vertices`` is one ring or the signed rings of an outline."""
+    rings = polygons.as_rings("vertices", cells.schema["vertices"].dataType)
     return (
-        cells.withColumn("_c", polygons.centroid("vertices")).withColumn("_b", polygons.bbox("vertices"))
+        cells.withColumn("_r", rings).withColumn("_c", polygons.centroid("_r")).withColumn("_b", polygons.bbox("_r"))
         .select(*[c for c in cells.columns if c != "vertices"],
                 F.col("_c.x").alias("centroid_x"), F.col("_c.y").alias("centroid_y"),
                 F.col("_b.min_x").alias("bbox_min_x"), F.col("_b.min_y").alias("bbox_min_y"),
@@ -100,8 +101,8 @@ def polygon_metadata(cells: DataFrame) -> DataFrame:
 def polygon_stats(cells: DataFrame, pixel_um: float | str) -> DataFrame:
     pixel = dbl(pixel_um) if isinstance(pixel_um, (int, float)) else F.col(pixel_um)
     staged = (
-        cells.withColumn("_a", polygons.area("vertices")).withColumn("_p", polygons.perimeter("vertices"))
-        .withColumn("_b", polygons.bbox("vertices"))
+        cells.withColumn("_r", polygons.as_rings("vertices", cells.schema["vertices"].dataType))
+        .withColumn("_a", polygons.area("_r")).withColumn("_p", polygons.perimeter("_r")).withColumn("_b", polygons.bbox("_r"))
     )
     stats = polygons.shape_columns("_a", "_p", "_b", pixel)
     return staged.select(*[c for c in cells.columns if c != "vertices"], *[c.alias(n) for n, c in stats.items()])

@@ -149,7 +149,8 @@ def nearest_within_radius(cells: DataFrame, spots: DataFrame, radius: float, sca
 def polygon_patch_overlap(cells: DataFrame, image_size: float = 224.0, patches: int = 16) -> DataFrame:
     """(cell_id, patch_idx, overlap_area) for every square the outline touches.
 
-    Candidates come from the bounding box, so a small outline meets a handful of squares.
+    ``vertices`` is one ring or the signed rings of an outline with holes and parts. Candidates come from the bounding
+    box, so a small outline meets a handful of squares.
     """
     side = dbl(float(image_size) / patches)
     last = F.lit(patches - 1).cast("long")
@@ -161,7 +162,7 @@ def polygon_patch_overlap(cells: DataFrame, image_size: float = 224.0, patches:
 
     box = F.col("_box")
     squares = (
-        cells.select("cell_id", "vertices").withColumn("_box", polygons.bbox("vertices"))
+        cells.select("cell_id", polygons.as_rings("vertices", cells.schema["vertices"].dataType).alias("vertices")).withColumn("_box", polygons.bbox("vertices"))
         .where((box["max_x"] >= 0) & (box["max_y"] >= 0)
                & (box["min_x"] <= dbl(image_size)) & (box["min_y"] <= dbl(image_size)))
         .withColumn("_i", F.explode(F.sequence(bound(box["min_y"], True), bound(box["max_y"], False))))
@@ -174,10 +175,20 @@ def polygon_patch_overlap(cells: DataFrame, image_size: float = 224.0, patches:
     clipped = squares
     for axis, edge, above in (("x", "_x0", True), ("x", "_x1", False), ("y", "_y0", True), ("y", "_y1", False)):
         clipped = clipped.withColumn("vertices", polygons.clip_half_plane("vertices", axis, edge, above))
-    return clipped.select(
-        "cell_id", "patch_idx",
-        F.when(F.size("vertices") > 2, polygons.area("vertices")).otherwise(dbl(0)).alias("overlap_area"),
-    )
+    return clipped.select("cell_id", "patch_idx", polygons.area("vertices").alias("overlap_area"))
+
+
+def attach_geometry(cells: DataFrame, outlines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Chosen cells with their outline (vertices), area and centroid; cells without an outline are left out.
+
+    ``outlines``: by…, cell_id, vertices. Shapes are measured after the join, for the chosen cells only.
+    """
+    keys = [*by, "cell_id"]
+    joined = cells.join(outlines.select(*keys, "vertices"), keys)
+    rings = polygons.as_rings("vertices", outlines.schema["vertices"].dataType)
+    centre = polygons.centroid("_r")
+    return joined.withColumn("_r", rings).withColumn("_c", centre).select(
+        *cells.columns, "vertices", polygons.area("_r").alias("area_px2"), F.col("_c.x").alias("centroid_x"), F.col("_c.y").alias("centroid_y"))
 
 
 def number_spots(spots: DataFrame) -> DataFrame:

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import json
-import struct
-import zipfile
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spotloom.functions import polygons
 from spotloom.functions.scalars import decode_name
 from spotloom.operators import filters, gap, panels
-
-RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
+from spotloom.sources import geojson
 
 def read_transcripts(spark: SparkSession, path: str, nucleus_only: bool = False) -> DataFrame:
     """Per-molecule rows; only the needed columns are scanned and feature names are text."""
@@ -25,34 +20,97 @@ def read_transcripts(spark: SparkSession, path: str, nucleus_only: bool = False)
     return df
 
 
-def _ring_points(blob: bytes) -> tuple[list[float], list[float]]:
-    """Outer ring of one WKB polygon."""
-    order = "<" if blob[0] == 1 else ">"
-    kind, = struct.unpack_from(f"{order}I", blob, 1)
-    if kind != 3:
-        raise ValueError(f"expected a two-dimensional polygon, found WKB type {kind}")
-    rings, points = struct.unpack_from(f"{order}II", blob, 5)
-    if rings != 1:
-        raise ValueError("polygons with holes are not cell outlines")
-    flat = struct.unpack_from(f"{order}{2 * points}d", blob, 13)
-    return list(flat[0::2]), list(flat[1::2])
+def _numbers(data: np.ndarray, at: np.ndarray, little: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers of type ``kind`` (u4 or f8) at byte offsets ``at``, each in its own byte order."""
+    width = np.dtype(kind).itemsize
+    raw = np.ascontiguousarray(data[at[:, None] + np.arange(width)])
+    return np.where(little, raw.view(f"<{kind}")[:, 0], raw.view(f">{kind}")[:, 0])
 
 
-@F.udf(returnType=RING, useArrow=True)
-def _decode_wkb(blob):
-    if blob is None:
-        return None
-    xs, ys = _ring_points(bytes(blob))
-    return [{"x": x, "y": y} for x, y in zip(xs, ys)]
+def decode_outlines(blobs: pa.Array) -> pa.Array:
+    """Signed rings of WKB polygons and multipolygons, by offset arithmetic over the whole column.
+
+    One step reads the header of one part or ring of every row that has another, so the number of steps is that of the
+    row with the most. The first ring of a part is made to run counter-clockwise, its holes clockwise.
+    """
+    blobs = blobs.cast(pa.large_binary())
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    valid = np.asarray(blobs.is_valid())
+    rows = np.flatnonzero(valid)
+    if not len(rows):
+        return pa.nulls(len(blobs), kind)
+    full = blobs.drop_null()
+    offsets = np.frombuffer(full.buffers()[1], dtype=np.int64)[full.offset:full.offset + len(full) + 1]
+    data = np.frombuffer(full.buffers()[2], dtype=np.uint8)
+    at = offsets[:-1].copy()
+
+    def header(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte order, geometry type and count that open a polygon or multipolygon."""
+        little = data[place] == 1
+        return little, _numbers(data, place + 1, little, "u4"), _numbers(data, place + 5, little, "u4").astype(np.int64)
+
+    little, types, counts = header(at)
+    if not np.isin(types, (3, 6)).all():
+        raise ValueError(f"expected two-dimensional polygons, found WKB type {types[~np.isin(types, (3, 6))][0]}")
+    many = types == 6
+    parts, rings = np.where(many, counts, 0), np.where(many, 0, counts)
+    at = at + 9
+    outer = ~many  # whether the next ring opens a part
+    found: list[tuple[np.ndarray, ...]] = []  # row, first byte, points, byte order, whether it is an outer ring
+    while True:
+        opens = np.flatnonzero((rings == 0) & (parts > 0))
+        if len(opens):
+            little[opens], inner, rings[opens] = header(at[opens])
+            if (inner != 3).any():
+                raise ValueError("a multipolygon holds polygons only")
+            at[opens] += 9
+            parts[opens] -= 1
+            outer[opens] = True
+        reads = np.flatnonzero(rings > 0)
+        if not len(reads):
+            if not (parts > 0).any():
+                break
+            continue
+        points = _numbers(data, at[reads], little[reads], "u4").astype(np.int64)
+        found.append((reads, at[reads] + 4, points, little[reads], outer[reads].copy()))
+        at[reads] += 4 + 16 * points
+        rings[reads] -= 1
+        outer[reads] = False
+    if (at != offsets[1:]).any():
+        raise ValueError("a WKB outline ends early or late")
+    step = np.concatenate([np.full(len(f[0]), n) for n, f in enumerate(found)]) if found else np.zeros(0, dtype=np.int64)
+    row, first, points, order, is_outer = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, dtype=np.int64) for n in range(5))
+    sort = np.lexsort((step, row))
+    row, first, points, order, is_outer = (c[sort] for c in (row, first, points, order, is_outer))
+    ends = np.concatenate([[0], np.cumsum(points)])
+    inside = np.arange(ends[-1]) - np.repeat(ends[:-1], points)
+    place, each = np.repeat(first, points) + 16 * inside, np.repeat(order, points)
+    x, y = _numbers(data, place, each, "f8"), _numbers(data, place + 8, each, "f8")
+    after = np.where(inside + 1 == np.repeat(points, points), np.arange(len(x)) - inside, np.arange(len(x)) + 1)
+    left_x, left_y = np.repeat(x[np.minimum(ends[:-1], max(0, len(x) - 1))] if len(x) else x, points), np.repeat(y[np.minimum(ends[:-1], max(0, len(y) - 1))] if len(y) else y, points)
+    cross = (x - left_x) * (y[after] - left_y) - (x[after] - left_x) * (y - left_y)
+    area = np.diff(np.concatenate([[0.0], np.cumsum(cross)])[ends])
+    turn = np.repeat((area >= 0) != is_outer.astype(bool), points)
+    source = np.where(turn, np.repeat(ends[1:] - 1, points) - inside, np.arange(len(x)))
+    vertices = pa.StructArray.from_arrays([pa.array(x[source]), pa.array(y[source])], names=["x", "y"])
+    ring_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), vertices)
+    per_row = np.zeros(len(blobs), dtype=np.int64)
+    np.add.at(per_row, rows[row], 1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), ring_lists, mask=pa.array(~valid)).cast(kind)
 
 
 def decode_wkb(column: str | Column) -> Column:
-    """WKB polygon bytes to a vertex array, once, at ingest."""
-    return _decode_wkb(F.col(column) if isinstance(column, str) else column)
+    """Signed rings of WKB polygons and multipolygons, once, at ingest."""
+    @F.arrow_udf(polygons.RINGS)
+    def decode(blobs: pa.Array) -> pa.Array:
+        parts = [decode_outlines(blobs.slice(start, 4096)) for start in range(0, len(blobs), 4096)]
+        return pa.concat_arrays(parts) if parts else decode_outlines(blobs)
+
+    return decode(F.col(column) if isinstance(column, str) else column)
 
 
 def read_outlines(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
-    """(cell_id, vertices) from Parquet with a WKB ``geometry`` column."""
+    """(cell_id, vertices) from Parquet with a WKB ``geometry`` column; ``vertices`` are signed rings."""
     df = spark.read.parquet(path)
     if "geometry" not in df.columns:
         raise KeyError(f"expected a geometry column in {path}")
@@ -67,60 +125,25 @@ def read_segmentation(spark: SparkSession, path: str, id_column: str | None = No
     return gap.polygon_metadata(read_outlines(spark, path, id_column))
 
 
-_FEATURE = T.StructType([
-    T.StructField("pos", T.LongType()), T.StructField("cell_id", T.StringType()), T.StructField("class", T.StringType()),
-    T.StructField("vertices", RING),
-])
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(cell_id, class, vertices) from GeoJSON documents of any size; ``vertices`` are signed rings.
 
-_GEOJSON = ("features array<struct<properties:struct<cell_id:string,class:string>,"
-            "geometry:struct<type:string,coordinates:array<array<array<double>>>>>>")
+    The id falls back to the number of the feature in its document and the class to 'NA'.
+    """
+    return _cells(geojson.features(geojson.text_pieces(spark, path)))
 
 
-_NOT_SIMPLE = "an outline has several parts or holes"
+def read_geojson_zip(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_geojson`` for the first ``.geojson`` member of each archive."""
+    return _cells(geojson.features(geojson.zip_pieces(spark, path)))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return df.select(
+def _cells(features: DataFrame) -> DataFrame:
+    return features.select(
         F.coalesce(F.col("cell_id").try_cast("double").try_cast("long"), F.col("pos")).alias("cell_id"),
         F.coalesce("class", F.lit("NA")).alias("class"), "vertices")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(cell_id, class, vertices); the id falls back to the row number and the class to 'NA'."""
-    features = spark.read.schema(_GEOJSON).json(path, multiLine=True).select(F.posexplode("features").alias("pos", "f"))
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    simple = (F.col("f.geometry.type") == "Polygon") & (F.size("f.geometry.coordinates") == 1)
-    checked = F.when(F.col("f.geometry").isNull() | simple, ring).otherwise(F.raise_error(F.lit(_NOT_SIMPLE)))
-    return _finish(features.select(F.col("pos").cast("long").alias("pos"), "f.properties.cell_id", "f.properties.class", checked.alias("vertices")))
-
-
-def read_geojson_zip(spark: SparkSession, path: str) -> DataFrame:
-    """As ``read_geojson`` for the first ``.geojson`` member of each archive."""
-    def unpack(batches):
-        for batch in batches:
-            for blob in batch.column("content").to_pylist():
-                with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                    member = next((m for m in archive.namelist() if m.endswith(".geojson")), None)
-                    if member is None:
-                        raise FileNotFoundError("no .geojson member in the archive")
-                    features = json.loads(archive.read(member))["features"]
-                for start in range(0, len(features), 10_000):
-                    rows = []
-                    for pos, feature in enumerate(features[start:start + 10_000], start):
-                        props = feature.get("properties") or {}
-                        ident, kind = props.get("cell_id"), props.get("class")
-                        if feature["geometry"].get("type", "Polygon") != "Polygon" or len(feature["geometry"]["coordinates"]) != 1:
-                            raise ValueError(_NOT_SIMPLE)
-                        rows.append({"pos": pos, "cell_id": None if ident is None else str(ident),
-                                     "class": None if kind is None else str(kind),
-                                     "vertices": [{"x": p[0], "y": p[1]} for p in feature["geometry"]["coordinates"][0]]})
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                        ("pos", pa.int64()), ("cell_id", pa.string()), ("class", pa.string()),
-                        ("vertices", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
-
-    return _finish(spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, _FEATURE))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return bool(spark.read.format("binaryFile").load(path).select("path").limit(1).collect())

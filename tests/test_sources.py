@@ -33,7 +33,7 @@ def test_segmentation_formats(spark, tmp_path):
         z.writestr("inner/A.geojson", geojson(ids=False))
     (folder / "B_cellvit_seg.geojson").write_text(geojson())
     spark.createDataFrame([(5, bytearray(wkb(SQUARE))), (6, bytearray(wkb(SQUARE, ">")))], "cell_id long, geometry binary").write.parquet(str(folder / "C_cellvit_seg.parquet"))
-    read = lambda s: sorted((r["cell_id"], r["class"], r["vertices"][1]["x"]) for r in tables.read_segmentation_any(spark, str(tmp_path), s).collect())
+    read = lambda s: sorted((r["cell_id"], r["class"], r["vertices"][0][1]["x"]) for r in tables.read_segmentation_any(spark, str(tmp_path), s).collect())
     assert read("A") == [(0, "NA", 2.0), (1, "NA", 3.0), (2, "NA", 4.0)]
     assert read("B") == [(10, "tumor", 2.0), (11, "tumor", 3.0), (12, "tumor", 4.0)]
     assert read("C") == [(5, "NA", 2.0), (6, "NA", 2.0)]
@@ -165,15 +165,120 @@ def test_stream_in_two_runs_equals_batch(spark, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("geometry", [
-    {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]]},
-    {"type": "MultiPolygon", "coordinates": [[[[0, 0], [4, 0], [4, 4], [0, 0]]]]},
-])
-def test_outlines_with_holes_or_parts_are_refused(spark, tmp_path, geometry):
-    text = json.dumps({"features": [{"properties": {"cell_id": "1"}, "geometry": geometry}]})
-    (tmp_path / "x.geojson").write_text(text)
-    with zipfile.ZipFile(tmp_path / "x.geojson.zip", "w") as z:
-        z.writestr("x.geojson", text)
-    for read, name in ((tables.read_geojson, "x.geojson"), (tables.read_geojson_zip, "x.geojson.zip")):
-        with pytest.raises(Exception, match="several parts or holes"):
-            read(spark, str(tmp_path / name)).collect()
+OUTER, HOLE, FAR = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (2, 1), (2, 2), (1, 2)], [(10, 0), (12, 0), (12, 3), (10, 3)]
+SHAPES = {  # parts, each an outer ring and its holes
+    1: [[OUTER]], 2: [[OUTER[::-1]]], 3: [[OUTER, HOLE]], 4: [[OUTER[::-1], HOLE[::-1]]], 5: [[OUTER, HOLE], [FAR[::-1]]], 6: [[FAR], [OUTER, HOLE, [(3, 3), (3.5, 3), (3, 3.5)]]],
+}
+
+
+def part_wkb(part, order):
+    out = struct.pack(f"{order}BII", order == "<", 3, len(part))
+    for ring in part:
+        out += struct.pack(f"{order}I{2 * len(ring)}d", len(ring), *[c for p in ring for c in p])
+    return out
+
+
+def shape_wkb(parts, order="<"):
+    if len(parts) == 1:
+        return part_wkb(parts[0], order)
+    return struct.pack(f"{order}BII", order == "<", 6, len(parts)) + b"".join(part_wkb(p, "<>"[n % 2]) for n, p in enumerate(parts))
+
+
+def geometry(parts):
+    return {"type": "Polygon", "coordinates": parts[0]} if len(parts) == 1 else {"type": "MultiPolygon", "coordinates": parts}
+
+
+def signed(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]])) / 2
+
+
+def facts(parts):
+    """Area, perimeter and centroid of outer rings less holes."""
+    area = cx = cy = length = 0.0
+    for part in parts:
+        for n, ring in enumerate(part):
+            size, sign = abs(signed(ring)), -1 if n else 1
+            area += sign * size
+            pairs = list(zip(ring, [*ring[1:], ring[0]]))
+            length += sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in pairs)
+            turn = 1 if signed(ring) > 0 else -1
+            cx += sign * turn * sum((a[0] + b[0]) * (a[0] * b[1] - b[0] * a[1]) for a, b in pairs) / 6
+            cy += sign * turn * sum((a[1] + b[1]) * (a[0] * b[1] - b[0] * a[1]) for a, b in pairs) / 6
+    return area, length, cx / area, cy / area
+
+
+def test_outlines_with_holes_and_parts_in_all_formats(spark, tmp_path):
+    from spotloom.operators import gap, spatial
+
+    folder = tmp_path / "cellvit_seg"
+    folder.mkdir()
+    rows = [(i, bytearray(shape_wkb(p, "<>"[i % 2]))) for i, p in SHAPES.items()]
+    spark.createDataFrame([*rows, (9, None)], "cell_id long, geometry binary").repartition(2).write.parquet(str(folder / "P_cellvit_seg.parquet"))
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"cell_id": i}, "geometry": geometry(p)} for i, p in SHAPES.items()]})
+    (folder / "G_cellvit_seg.geojson").write_text(text)
+    with zipfile.ZipFile(folder / "Z_cellvit_seg.geojson.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("z.geojson", text)
+    for sample in "PGZ":
+        cells = tables.read_segmentation_any(spark, str(tmp_path), sample).where("vertices IS NOT NULL").drop("class")
+        assert cells.count() == len(SHAPES)
+        stats = {r.cell_id: r for r in gap.polygon_stats(cells, 1.0).collect()}
+        middles = {r.cell_id: r for r in gap.polygon_metadata(cells).collect()}
+        for i, parts in SHAPES.items():
+            area, length, cx, cy = facts(parts)
+            assert (stats[i].area_px2, stats[i].perimeter_px, middles[i].centroid_x, middles[i].centroid_y) == pytest.approx((area, length, cx, cy))
+        pieces = {}
+        for r in spatial.polygon_patch_overlap(cells, 16.0, 16).collect():  # squares of side 1
+            pieces.setdefault(r.cell_id, {})[r.patch_idx] = r.overlap_area
+        for i, parts in SHAPES.items():
+            assert sum(pieces[i].values()) == pytest.approx(facts(parts)[0])
+        assert pieces[3][17] == pytest.approx(0) and pieces[1][17] == pytest.approx(1)  # the hole
+    wide = [[[(0, 0), (40, 0), (40, 40), (0, 40)], [(4, 4), (30, 4), (30, 30), (4, 30)]]]
+    cells = spark.createDataFrame([(1, bytearray(shape_wkb(wide)))], "cell_id long, geometry binary").select("cell_id", tables.decode_wkb("geometry").alias("vertices"))
+    touched = {r.patch_idx for r in spatial.polygon_patch_overlap(cells, 40.0, 8).collect()}
+    assert 2 * 8 + 2 not in touched and 0 in touched  # a square inside the hole is not touched
+
+
+def test_wkb_that_is_no_polygon_or_cut_short_is_an_error(spark):
+    import pyarrow as pa
+
+    point = struct.pack("<BIdd", 1, 1, 0.0, 0.0)
+    with pytest.raises(ValueError, match="WKB type 1"):
+        tables.decode_outlines(pa.array([point], pa.binary()))
+    with pytest.raises((ValueError, IndexError)):
+        tables.decode_outlines(pa.array([shape_wkb([[OUTER]])[:-8]], pa.binary()))
+    blobs = pa.array([None, shape_wkb(SHAPES[5]), None, shape_wkb(SHAPES[3]), shape_wkb([[]])], pa.binary())
+    got = tables.decode_outlines(blobs.slice(1, 4)).to_pylist()
+    assert [None if g is None else len(g) for g in got] == [3, None, 2, 0]
+    assert [signed([(p["x"], p["y"]) for p in ring]) > 0 for ring in got[0]] == [True, False, True]
+    assert tables.decode_outlines(blobs.slice(0, 1)).to_pylist() == [None]
+
+
+def test_geojson_in_many_small_pieces(spark, tmp_path, monkeypatch):
+    from spotloom.sources import geojson
+
+    monkeypatch.setattr(geojson, "CHUNK", 97)
+    monkeypatch.setattr(geojson, "BLOCK", 5)
+    awkward = ['plain', 'a } brace', 'open {', 'quote " here', 'back\\slash', 'ends \\', '}{"]', 'ä 日本', '"}', '{"type":"Feature"}']
+    features = [{"type": "Feature", "properties": {"class": awkward[n % len(awkward)], "cell_id": None if n % 3 else 1000 + n, "more": {"deep": {"x": [1, {"y": "}"}]}}},
+                 "geometry": None if n % 17 == 5 else geometry(SHAPES[1 + n % 6]), "id": n} for n in range(300)]
+    document = {"crs": {"type": "name", "properties": {"name": "a}b{\"c"}}, "type": "FeatureCollection", "name": "x } \" { y", "features": features, "bbox": [0, 1], "meta": {"features": [{"a": 1}]}}
+    for name, indent, plain in (("a", None, True), ("b", 2, False)):
+        text = json.dumps(document, indent=indent, ensure_ascii=plain)
+        (tmp_path / f"{name}.geojson").write_text(text, encoding="utf-8")
+        with zipfile.ZipFile(tmp_path / f"{name}.geojson.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("x.geojson", text)
+        kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / f"{name}.geojson")).rdd.getNumPartitions() > 5
+            for read, suffix in ((tables.read_geojson, "geojson"), (tables.read_geojson_zip, "geojson.zip")):
+                got = sorted(read(spark, str(tmp_path / f"{name}.{suffix}")).collect(), key=lambda r: r["class"] + str(r.cell_id))
+                want = sorted(((n if n % 3 else 1000 + n, f["properties"]["class"], f["geometry"] and len([r for p in SHAPES[1 + n % 6] for r in p])) for n, f in enumerate(features)), key=lambda r: r[1] + str(r[0]))
+                assert [(r.cell_id, r["class"], None if r.vertices is None else len(r.vertices)) for r in got] == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    (tmp_path / "bad.geojson").write_text(json.dumps({"features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [0, 0]}}]}))
+    with pytest.raises(Exception, match="an outline is a Point"):
+        tables.read_geojson(spark, str(tmp_path / "bad.geojson")).collect()

@@ -77,7 +77,8 @@ def ring(*points):
 def test_polygon_arithmetic(spark):
     shapes = [(1, ring((0, 0), (4, 0), (0, 3))), (2, ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (3, ring((5, 5), (5, 5), (5, 5)))]
     df = spark.createDataFrame(shapes, "cell_id long, vertices array<struct<x:double,y:double>>")
-    rows = {r["cell_id"]: r for r in df.select("cell_id", polygons.area("vertices").alias("a"), polygons.perimeter("vertices").alias("p"), polygons.centroid("vertices").alias("c")).collect()}
+    rings = polygons.as_rings("vertices")
+    rows = {r["cell_id"]: r for r in df.select("cell_id", polygons.area(rings).alias("a"), polygons.perimeter(rings).alias("p"), polygons.centroid(rings).alias("c")).collect()}
     assert (rows[1]["a"], rows[1]["p"]) == (6.0, 12.0)
     assert (rows[1]["c"]["x"], rows[1]["c"]["y"]) == pytest.approx((4 / 3, 1.0))
     assert (rows[2]["a"], rows[2]["p"]) == (16.0, 16.0)
