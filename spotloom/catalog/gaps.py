@@ -147,7 +147,7 @@ def _(v):
     return features.platform_auc(v.fx_embed, "platform").select(r6("platform_auc", digits=3))
 
 
-ITERS = 4
+ITERS = 50
 
 
 def sinkhorn_sql(power: str, final: str) -> str:
@@ -168,14 +168,6 @@ UNBALANCED = sinkhorn_sql("(2e0 / 2.5e0)", f"SELECT 'unbalanced' AS form, {R('su
 
 @query("agg_31_sinkhorn_cost", f"SELECT * FROM ({BALANCED}) UNION ALL SELECT * FROM ({UNBALANCED})")
 def _(v):
-    a, b = (v.fx_embed.where(F.col("platform") == p).select("id", "vec") for p in ("visium", "xenium"))
-    forms = [transport.sinkhorn_cost(a, b, 0.5, ITERS, rho).select(F.lit(n).alias("form"), r6("transport_cost", digits=5)) for n, rho in (("balanced", None), ("unbalanced", 2.0))]
-    return forms[0].unionByName(forms[1])
-
-
-@query("agg_31_sinkhorn_default")
-def _(v):
-    """The operator's default number of iterations; a test compares with NumPy, as the unrolled text would be very long."""
     a, b = (v.fx_embed.where(F.col("platform") == p).select("id", "vec") for p in ("visium", "xenium"))
     forms = [transport.sinkhorn_cost(a, b, 0.5, rho=rho).select(F.lit(n).alias("form"), r6("transport_cost", digits=5)) for n, rho in (("balanced", None), ("unbalanced", 2.0))]
     return forms[0].unionByName(forms[1])

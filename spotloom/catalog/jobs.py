@@ -45,6 +45,40 @@ def _(v):
     return spot_tables(v).membership.select("spot_id", "cell_id", F.col("ord").cast("long").alias("ord"), F.col("spot_start").cast("long").alias("spot_start"))
 
 
+KEYED_FOLD_SQL = """b AS (SELECT sample_id, min({x}) AS lo, max({x}) AS hi FROM {t} GROUP BY sample_id),
+    f AS (SELECT {t}.*, CASE WHEN hi = lo THEN 0 ELSE CAST(({x} >= lo + 1 * ((hi - lo) / 5)) AS INT) + CAST(({x} >= lo + 2 * ((hi - lo) / 5)) AS INT)
+      + CAST(({x} >= lo + 3 * ((hi - lo) / 5)) AS INT) + CAST(({x} >= lo + 4 * ((hi - lo) / 5)) AS INT) END AS fold FROM {t} JOIN b USING (sample_id))"""
+
+
+def sampled_molecules(v):
+    return v.fx_transcripts.join(v.fx_cells.select("cell_id", "sample_id"), "cell_id")
+
+
+@query("job_01_all_samples", f"WITH {KEPT_SQL}, {KEYED_FOLD_SQL.format(t='k', x='centroid_x')} SELECT sample_id, cell_id, transcript_count, fold AS position_fold FROM f")
+def _(v):
+    t = cell_jobs.prepare_cells(sampled_molecules(v), v.fx_cells, by=("sample_id",))
+    return t.cells.select("sample_id", "cell_id", "transcript_count", "position_fold")
+
+
+# Each sample has a grid over its own extent: the text of one grid, with the sample as a key.
+KEYED_SPOT_SQL = KEPT_SQL + """,
+    e AS (SELECT sample_id, min(centroid_x) AS x0, max(centroid_x) AS x1, min(centroid_y) AS y0, max(centroid_y) AS y1 FROM k GROUP BY sample_id),
+    q AS (SELECT k.cell_id, k.centroid_x AS x, k.centroid_y AS y, e.*, CAST(round_even((k.centroid_y - y0) / 200e0, 0) AS BIGINT) AS grid_row, CAST(round_even((k.centroid_x - x0) / 200e0, 0) AS BIGINT) AS grid_col FROM k JOIN e USING (sample_id)),
+    d AS (SELECT *, least(greatest(grid_row, 0), floor((y1 + 55e0 - y0) / 200e0)) AS r, least(greatest(grid_col, 0), floor((x1 + 55e0 - x0) / 200e0)) AS c FROM q),
+    h AS (SELECT sample_id, cell_id, CAST(r AS BIGINT) AS grid_row, CAST(c AS BIGINT) AS grid_col, x0 + c * 200e0 AS center_x FROM d WHERE r = grid_row AND (x - x0 - c * 200e0) * (x - x0 - c * 200e0) + (y - y0 - r * 200e0) * (y - y0 - r * 200e0) <= 55e0 * 55e0),
+    s AS (SELECT sample_id, grid_row, grid_col, any_value(center_x) AS center_x, count(*) AS cell_count FROM h GROUP BY sample_id, grid_row, grid_col HAVING count(*) >= 3),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY grid_row, grid_col) - 1 AS BIGINT) AS spot_id FROM s),
+    m AS (SELECT n.sample_id, n.spot_id, h.cell_id FROM h JOIN n USING (sample_id, grid_row, grid_col)),
+    tc AS (SELECT m.sample_id, m.spot_id, CAST(sum(cnt) AS BIGINT) AS transcript_count FROM m JOIN c USING (cell_id) GROUP BY ALL)"""
+
+
+@query("job_02_all_samples", f"WITH {KEYED_SPOT_SQL}, z AS (SELECT n.*, transcript_count FROM n JOIN tc USING (sample_id, spot_id)), {KEYED_FOLD_SQL.format(t='z', x='center_x')} SELECT sample_id, spot_id, grid_row, grid_col, cell_count, transcript_count, fold AS position_fold FROM f")
+def _(v):
+    t = cell_jobs.prepare_cells(sampled_molecules(v), v.fx_cells, by=("sample_id",))
+    s = cell_jobs.build_pseudospots(t.cells, t.counts, cell_jobs.GridParameters(55.0, 200.0, "square"), by=("sample_id",))
+    return s.spots.select("sample_id", "spot_id", "grid_row", "grid_col", "cell_count", "transcript_count", "position_fold")
+
+
 def spot_obs(v):
     name = F.concat(F.lit("s"), F.col("spot_id").cast("string"))
     tiles = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("patch_idx"))

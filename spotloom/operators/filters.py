@@ -83,11 +83,13 @@ def split_filter(df: DataFrame, split: str, test_fold: int, fold: str = "fold")
     raise ValueError("split must be one of: train, test, all")
 
 
-def select_view(df: DataFrame, model: str, view: str) -> DataFrame:
+def select_view(df: DataFrame, model: str | list[str] | None, view: str) -> DataFrame:
+    """Rows of one view (``alignment`` is the shared one) of a model, of several, or of all."""
     view = {"alignment": "shared"}.get(view, view)
     if view not in ("fused", "shared", "private"):
         raise ValueError("view must be one of: fused, shared, private, alignment")
-    return df.where((F.col("model") == model) & (F.col("view") == view))
+    chosen = df.where(F.col("view") == view)
+    return chosen if model is None else chosen.where(F.col("model").isin([model] if isinstance(model, str) else list(model)))
 
 
 def covered_spots(spots: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spotloom.constants import MORPHOLOGY_COLUMNS
 from spotloom.functions import polygons, vectors
 from spotloom.functions.scalars import dbl
-from spotloom.operators import neighbors, ranking
+from spotloom.operators import neighbors, ranking, sums
 from spotloom.session import one_row
 
 
@@ -178,27 +178,27 @@ def attach_totals(summary: DataFrame, totals: DataFrame, sample: str = "sample_i
 # -- embedding space ----------------------------------------------------------
 
 def group_means(points: DataFrame, label: str, by: tuple[str, ...] = (), unit: bool = False) -> DataFrame:
-    """(by…, label, dim, mean)."""
+    """(by…, label, mean): mean vectors."""
     vec = vectors.l2_normalize("vec") if unit else vectors.as_doubles("vec")
-    return points.select(*by, label, F.posexplode(vec).alias("dim", "v")).groupBy(*by, label, "dim").agg(F.avg("v").alias("mean"))
+    found = sums.vector_sums(points.select(*by, label, vec.alias("vec")), [*by, label])
+    return found.select(*by, label, F.transform("sums", lambda s: s / F.col("n")).alias("mean"))
 
 
 def _two_groups(means: DataFrame, label: str, a, b, by: tuple[str, ...]) -> DataFrame:
-    pick = lambda g: F.max(F.when(F.col(label) == g, F.col("mean")))
-    return means.groupBy(*by, "dim").agg(pick(a).alias("ma"), pick(b).alias("mb"))
+    pick = lambda g: F.first(F.when(F.col(label) == g, F.col("mean")), ignorenulls=True)
+    return means.groupBy(*by).agg(pick(a).alias("ma"), pick(b).alias("mb"))
 
 
 def centroid_distance(points: DataFrame, label: str, a, b, by: tuple[str, ...] = ()) -> DataFrame:
     """Distance of two group means; null when a group is empty."""
-    d = F.col("ma") - F.col("mb")
-    return _two_groups(group_means(points, label, by), label, a, b, by).groupBy(*by).agg(
-        F.sqrt(F.sum(d * d)).alias("centroid_distance"))
+    square = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x - y) * (x - y)), dbl(0), lambda s, x: s + x)
+    return _two_groups(group_means(points, label, by), label, a, b, by).select(*by, F.sqrt(square).alias("centroid_distance"))
 
 
 def cross_group_mean_cosine(points: DataFrame, label: str, a, b, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean over all cross-group cosines, as the product of the mean unit vectors."""
-    return _two_groups(group_means(points, label, by, unit=True), label, a, b, by).groupBy(*by).agg(
-        F.sum(F.col("ma") * F.col("mb")).alias("cross_domain_mean_cosine"))
+    product = F.aggregate(F.zip_with("ma", "mb", lambda x, y: x * y), dbl(0), lambda s, x: s + x)
+    return _two_groups(group_means(points, label, by, unit=True), label, a, b, by).select(*by, product.alias("cross_domain_mean_cosine"))
 
 
 def knn_self_join(points: DataFrame, k: int, by: tuple[str, ...] = (), carry: tuple[str, ...] = (), block: int = neighbors.BLOCK) -> DataFrame:
@@ -237,35 +237,18 @@ def silhouette(points: DataFrame, label: str = "label", by: tuple[str, ...] = ()
 def cross_covariance_norm(rows: DataFrame, left: str, right: str, by: str) -> DataFrame:
     """Mean over groups of the mean squared entry of the sample cross-covariance of two vector columns.
 
-    Rows are centred on their group means; each Arrow batch leaves one dim × dim sum per
-    group, so the shuffle carries sums, not products per row. Groups with a single row are left out.
+    Rows are centred on their group means; a task leaves one dim × dim sum per group, in slices. Groups with a single row
+    are left out.
     """
-    def packed(column: str, name: str) -> DataFrame:
-        means = group_means(rows.select(by, F.col(column).alias("vec")), by)
-        return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda m: m["mean"]).alias(name))
-
+    mean = lambda column, name: group_means(rows.select(by, F.col(column).alias("vec")), by).withColumnRenamed("mean", name)
     centred = (
-        rows.join(packed(left, "_ml"), by).join(packed(right, "_mr"), by)
+        rows.join(mean(left, "_ml"), by).join(mean(right, "_mr"), by)
         .select(by, F.zip_with(vectors.as_doubles(left), "_ml", lambda x, m: x - m).alias("l"),
                 F.zip_with(vectors.as_doubles(right), "_mr", lambda x, m: x - m).alias("r"))
     )
-    schema = T.StructType([rows.schema[by], T.StructField("n", T.LongType()), T.StructField("products", T.ArrayType(T.DoubleType()))])
-
-    def batch_products(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            l, r = neighbors.matrix(table.column("l")), neighbors.matrix(table.column("r"))
-            names, code = np.unique(table.column(by).to_numpy(zero_copy_only=False), return_inverse=True)
-            sums = [(l[code == i].T @ r[code == i]).reshape(-1) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, type=batch.schema.field(by).type), pa.array(np.bincount(code), type=pa.int64()),
-                 pa.array(sums, type=pa.list_(pa.float64()))], names=[by, "n", "products"])
-
-    partial = centred.mapInArrow(batch_products, schema)
-    sizes = partial.groupBy(by).agg(F.sum("n").alias("_n")).where(F.col("_n") >= 2)
-    cov = partial.select(by, F.posexplode("products").alias("slot", "v")).groupBy(by, "slot").agg(F.sum("v").alias("v"))
-    entry = F.col("v") / (F.col("_n") - 1)
-    per_group = cov.join(sizes, by).groupBy(by).agg(F.avg(entry * entry).alias("mean_sq"))
+    products = sums.product_sums(centred, [by], "l", "r").where(F.col("n") >= 2)
+    square = F.aggregate("sums", dbl(0), lambda s, x: s + (x / (F.col("n") - 1)) * (x / (F.col("n") - 1)))
+    per_group = products.select(by, (square / F.size("sums")).alias("mean_sq"))
     return per_group.agg(F.coalesce(F.avg("mean_sq"), dbl(0)).alias("cross_covariance_norm"))
 
 
@@ -288,15 +271,24 @@ def patch_pool(overlaps: DataFrame, tokens: DataFrame, cells: DataFrame, dims: i
     ``overlaps``: cell_id, patch_idx, overlap_area; ``tokens``: patch_idx, token. A cell
     meets at most every patch of one tile, so its collections are bounded by the tile.
     """
-    v, area = F.col("v"), F.col("overlap_area")
-    pooled = {"mean": F.avg(v), "max": F.max(v),
-              "weighted_mean": F.coalesce(F.sum(v * area) / F.nullif(F.sum(area), dbl(0)), dbl(0))}
-    if mode not in pooled:
+    if mode not in ("mean", "max", "weighted_mean"):
         raise ValueError(f"unknown aggregation: {mode}")
-    met = overlaps.join(tokens, "patch_idx")
-    per_dim = met.select("cell_id", "overlap_area", F.posexplode(vectors.as_doubles("token")).alias("dim", "v")).groupBy("cell_id", "dim").agg(pooled[mode].alias("v"))
-    features = per_dim.groupBy("cell_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("features"))
+
+    def pool(tokens: pa.Array, areas: pa.Array) -> pa.Array:
+        """One vector a row from the token lists of a batch, by sums over runs of rows of one matrix."""
+        flat, weight = sums.matrix(tokens.flatten()), areas.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.asarray(tokens.offsets)[:-1] - np.asarray(tokens.offsets)[0]
+        if mode == "max":
+            return pa.array(list(np.maximum.reduceat(flat, starts)), pa.list_(pa.float64()))
+        weight = weight if mode == "weighted_mean" else np.ones(len(flat))
+        total = np.add.reduceat(weight, starts)[:, None]
+        pooled = np.add.reduceat(flat * weight[:, None], starts)
+        return pa.array(list(np.divide(pooled, total, out=np.zeros_like(pooled), where=total != 0)), pa.list_(pa.float64()))
+
+    met = overlaps.join(tokens.select("patch_idx", vectors.as_doubles("token").alias("token")), "patch_idx").where(F.col("token").isNotNull())
+    packed = met.groupBy("cell_id").agg(F.collect_list(F.struct("patch_idx", "overlap_area", "token")).alias("_p"))
+    packed = packed.withColumn("_p", F.array_sort("_p"))
+    features = packed.select("cell_id", F.arrow_udf(pool, "array<double>")(F.transform("_p", lambda p: p["token"]), F.transform("_p", lambda p: p["overlap_area"])).alias("features"))
     lists = overlaps.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("patch_idx", "overlap_area"))).alias("_l"))
     return (
         cells.select("cell_id").join(features, "cell_id", "left").join(lists, "cell_id", "left")

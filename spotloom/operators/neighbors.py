@@ -18,20 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from spotloom.constants import NORM_FLOOR, RATIO_FLOOR
+from spotloom.operators.sums import matrix
 from spotloom.session import one_row, stage
 
 BLOCK = 4096            # rows per chunk on either side
 BINS = 2048             # score bins of the two-pass soft top-k
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column as a 2-D double array."""
-    flat = column.combine_chunks()
-    if isinstance(flat, pa.ChunkedArray):
-        flat = pa.concat_arrays(flat.chunks)
-    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(flat), -1)
-
-
 def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), NORM_FLOOR)
 

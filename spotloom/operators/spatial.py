@@ -23,34 +23,41 @@ def extent(df: DataFrame, x: str = "centroid_x", y: str = "centroid_y", by: tupl
 
 
 class Grid:
-    """Closed-form regular grid over an extent: the centres are arithmetic, never a joined table."""
+    """Closed-form regular grid over an extent: the centres are arithmetic, never a joined table.
 
-    def __init__(self, ext: Column, radius: float, spacing: float, layout: str):
-        if layout not in ("square", "hex"):
+    Radius, spacing and layout are values, or columns where each sample has its own.
+    """
+
+    def __init__(self, ext: Column, radius: float | Column, spacing: float | Column, layout: str | Column):
+        if isinstance(layout, str) and layout not in ("square", "hex"):
             raise ValueError("layout must be square or hex")
-        self.ext, self.radius = ext, float(radius)
-        self.step_x = max(float(spacing), 1.0)
-        self.step_y = self.step_x * math.sqrt(3.0) / 2.0 if layout == "hex" else self.step_x
-        self.hex = layout == "hex"
+        column = lambda v: v if isinstance(v, Column) else dbl(float(v))
+        self.ext, self.radius = ext, column(radius)
+        if isinstance(layout, str) and not isinstance(spacing, Column):
+            step = max(float(spacing), 1.0)
+            self.step_x, self.step_y = dbl(step), dbl(step * math.sqrt(3.0) / 2.0 if layout == "hex" else step)
+        else:
+            self.step_x = F.greatest(column(spacing), dbl(1))
+            hexagonal = F.lit(layout) == "hex" if isinstance(layout, str) else layout == "hex"
+            self.step_y = F.when(hexagonal, self.step_x * dbl(math.sqrt(3.0)) / dbl(2)).otherwise(self.step_x)
+        self.hex = F.lit(layout == "hex") if isinstance(layout, str) else layout == "hex"
 
     def rows(self) -> Column:
-        span = self.ext["y_max"] + dbl(self.radius) - self.ext["y_min"]
-        return (F.floor(span / dbl(self.step_y)) + 1).cast("long")
+        span = self.ext["y_max"] + self.radius - self.ext["y_min"]
+        return (F.floor(span / self.step_y) + 1).cast("long")
 
     def start_x(self, row: Column) -> Column:
-        if not self.hex:
-            return self.ext["x_min"]
-        return self.ext["x_min"] + F.when(row % 2 == 0, dbl(0)).otherwise(dbl(self.step_x / 2.0))
+        return self.ext["x_min"] + F.when(self.hex & (row % 2 != 0), self.step_x / dbl(2)).otherwise(dbl(0))
 
     def cols(self, row: Column) -> Column:
-        span = self.ext["x_max"] + dbl(self.radius) - self.start_x(row)
-        return F.greatest(F.floor(span / dbl(self.step_x)) + 1, F.lit(0)).cast("long")
+        span = self.ext["x_max"] + self.radius - self.start_x(row)
+        return F.greatest(F.floor(span / self.step_x) + 1, F.lit(0)).cast("long")
 
     def center_x(self, row: Column, col: Column) -> Column:
-        return self.start_x(row) + col.cast("double") * dbl(self.step_x)
+        return self.start_x(row) + col.cast("double") * self.step_x
 
     def center_y(self, row: Column) -> Column:
-        return self.ext["y_min"] + row.cast("double") * dbl(self.step_y)
+        return self.ext["y_min"] + row.cast("double") * self.step_y
 
     def nearest(self, df: DataFrame, x: Column, y: Column) -> DataFrame:
         """Keeps rows whose nearest of three row candidates lies within the radius and adds it.
@@ -62,13 +69,13 @@ class Grid:
         kept = df.columns
         each = range(3)
         steps = [
-            lambda: {"_base": F.rint((y - self.ext["y_min"]) / dbl(max(self.step_y, RATIO_FLOOR))).cast("long"), "_rows": self.rows()},
+            lambda: {"_base": F.rint((y - self.ext["y_min"]) / self.step_y).cast("long"), "_rows": self.rows()},
             lambda: {f"_row{i}": F.col("_base") + (i - 1) for i in each},
             lambda: {f"_sx{i}": self.start_x(F.col(f"_row{i}")) for i in each},
             lambda: {f"_n{i}": self.cols(F.col(f"_row{i}")) for i in each},
-            lambda: {f"_col{i}": F.least(F.greatest(F.rint((x - F.col(f"_sx{i}")) / dbl(self.step_x)).cast("long"), F.lit(0)),
+            lambda: {f"_col{i}": F.least(F.greatest(F.rint((x - F.col(f"_sx{i}")) / self.step_x).cast("long"), F.lit(0)),
                                          F.greatest(F.col(f"_n{i}") - 1, F.lit(0))) for i in each},
-            lambda: {**{f"_cx{i}": F.col(f"_sx{i}") + F.col(f"_col{i}").cast("double") * dbl(self.step_x) for i in each},
+            lambda: {**{f"_cx{i}": F.col(f"_sx{i}") + F.col(f"_col{i}").cast("double") * self.step_x for i in each},
                      **{f"_cy{i}": self.center_y(F.col(f"_row{i}")) for i in each}},
             lambda: {f"_d{i}": F.when((F.col(f"_row{i}") >= 0) & (F.col(f"_row{i}") < F.col("_rows")) & (F.col(f"_n{i}") > 0),
                                       (x - F.col(f"_cx{i}")) * (x - F.col(f"_cx{i}")) + (y - F.col(f"_cy{i}")) * (y - F.col(f"_cy{i}"))) for i in each},
@@ -80,7 +87,7 @@ class Grid:
         pick = lambda n: F.when(F.col("_i") == 0, F.col(f"_{n}0")).when(F.col("_i") == 1, F.col(f"_{n}1")).otherwise(F.col(f"_{n}2"))
         hit = F.struct(pick("row").alias("grid_row"), pick("col").alias("grid_col"), pick("cx").alias("center_x"),
                        pick("cy").alias("center_y"), F.sqrt("_d").alias("distance"))
-        return df.select(*kept, F.inline(F.when(F.col("_d") <= dbl(self.radius ** 2), F.array(hit))))
+        return df.select(*kept, F.inline(F.when(F.col("_d") <= self.radius * self.radius, F.array(hit))))
 
 
 def grid_centers(ext: DataFrame, radius: float, spacing: float, layout: str) -> DataFrame:
@@ -97,12 +104,26 @@ def grid_centers(ext: DataFrame, radius: float, spacing: float, layout: str) ->
     )
 
 
-def nearest_grid_center(cells: DataFrame, radius: float, spacing: float, layout: str, ext: DataFrame | None = None) -> DataFrame:
-    """Cells within ``radius`` (inclusive) of their nearest grid centre. No join, no shuffle of cells."""
-    ext = extent(cells) if ext is None else ext
-    grid = Grid(F.col("_ext"), radius, spacing, layout)
-    placed = cells.withColumn("_ext", one_row(ext))
-    return grid.nearest(placed, F.col("centroid_x"), F.col("centroid_y")).drop("_ext")
+def nearest_grid_center(
+    cells: DataFrame, radius: float | str, spacing: float | str, layout: str, ext: DataFrame | None = None, by: tuple[str, ...] = (),
+    grids: DataFrame | None = None,
+) -> DataFrame:
+    """Cells within ``radius`` (inclusive) of their nearest grid centre. No shuffle of cells.
+
+    With ``by`` each group has a grid over its own extent, joined as one row a group. ``grids`` (by…, radius, spacing,
+    layout) gives each group its own geometry in place of the three values.
+    """
+    ext = extent(cells, by=by) if ext is None else ext
+    if not by:
+        placed = cells.withColumn("_ext", one_row(ext))
+        return Grid(F.col("_ext"), radius, spacing, layout).nearest(placed, F.col("centroid_x"), F.col("centroid_y")).drop("_ext")
+    facts = ext.select(*by, F.struct("x_min", "x_max", "y_min", "y_max").alias("_ext"))
+    if grids is None:
+        grid = Grid(F.col("_ext"), radius, spacing, layout)
+    else:
+        facts = facts.join(grids.select(*by, F.struct("radius", "spacing", "layout").alias("_grid")), list(by))
+        grid = Grid(F.col("_ext"), F.col("_grid.radius"), F.col("_grid.spacing"), F.col("_grid.layout"))
+    return grid.nearest(cells.join(facts, list(by)), F.col("centroid_x"), F.col("centroid_y")).drop("_ext", "_grid")
 
 
 def _bucket(x: str, y: str, size: float) -> list[Column]:
@@ -191,18 +212,18 @@ def attach_geometry(cells: DataFrame, outlines: DataFrame, by: tuple[str, ...] =
         *cells.columns, "vertices", polygons.area("_r").alias("area_px2"), F.col("_c.x").alias("centroid_x"), F.col("_c.y").alias("centroid_y"))
 
 
-def number_spots(spots: DataFrame) -> DataFrame:
-    """Dense 0-based ``spot_id`` in grid order. A grid row holds at most one row of centres."""
-    return ranking.spread_rank(spots, [], "grid_row", ["grid_col"], "spot_id")
+def number_spots(spots: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Dense 0-based ``spot_id`` in grid order, in each group of ``by``. A grid row holds at most one row of centres."""
+    return ranking.spread_rank(spots, list(by), "grid_row", ["grid_col"], "spot_id")
 
 
-def membership_order(members: DataFrame, width: int = 1 << 16) -> DataFrame:
+def membership_order(members: DataFrame, width: int = 1 << 16, by: tuple[str, ...] = ()) -> DataFrame:
     """Members ordered inside each spot (``ord``) with the spot's start offset (``spot_start``).
 
     Both numbers are built range by range, so a spot with a large share of the cells is spread out.
     """
     sliced = members.withColumn("_slice", F.floor(F.col("cell_id") / width))
-    ordered = ranking.spread_rank(sliced, ["spot_id"], "_slice", ["cell_id"], "ord").drop("_slice")
-    sizes = members.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("spot_id") / width))
-    starts = ranking.prefix_sums(sizes, [], "_block", ["spot_id"], {"spot_start": "_n"}).select("spot_id", "spot_start")
-    return ordered.join(starts, "spot_id")
+    ordered = ranking.spread_rank(sliced, [*by, "spot_id"], "_slice", ["cell_id"], "ord").drop("_slice")
+    sizes = members.groupBy(*by, "spot_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("spot_id") / width))
+    starts = ranking.prefix_sums(sizes, list(by), "_block", ["spot_id"], {"spot_start": "_n"}).select(*by, "spot_id", "spot_start")
+    return ordered.join(starts, [*by, "spot_id"])

@@ -85,11 +85,39 @@ def sample_key(ident: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(ident).cast("string"), F.lit(f"|{seed}")))
 
 
-def sample_n(df: DataFrame, n: int, seed: int, ident: str) -> DataFrame:
-    """Uniform sample of ``n`` rows without replacement, by hash of the id; everything when ``n`` ≤ 0."""
+def sample_n(df: DataFrame, n: int, seed: int, ident: str, held: int = 4096) -> DataFrame:
+    """Uniform sample of ``n`` rows without replacement, by hash of the id; everything when ``n`` ≤ 0.
+
+    Rows are not ordered: counts by the first figures of the hash tell where the sample ends, and are refined there until
+    at most ``held`` hashes are left to look at. The sample is then a comparison with the last hash that belongs to it.
+    """
     if n <= 0:
         return df
-    return df.orderBy(sample_key(ident, seed), ident).limit(int(n))
+    keyed = df.withColumn("_key", sample_key(ident, seed))
+    prefix, taken = "", 0
+    while True:
+        figures = len(prefix) + 3
+        counts = keyed.where(F.col("_key").startswith(prefix)).groupBy(F.substring("_key", 1, figures).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        for p, size in sorted(map(tuple, counts.collect())):  # at most 4,096 rows
+            if taken + size >= n:
+                break
+            taken += size
+        else:
+            return df
+        prefix = p
+        if size <= held or figures >= 32:
+            break
+    if taken + size == n:
+        return keyed.where(F.col("_key") < prefix + "g").drop("_key")  # all of them: "g" is after every figure
+    ends = keyed.where(F.col("_key").startswith(prefix)).groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()
+    for last, size in sorted(map(tuple, ends)):
+        if taken + size >= n:
+            break
+        taken += size
+    if taken + size == n:
+        return keyed.where(F.col("_key") <= last).drop("_key")
+    # An id that repeats: some of its rows complete the sample.
+    return keyed.where(F.col("_key") < last).unionByName(keyed.where(F.col("_key") == last).limit(n - taken)).drop("_key")
 
 
 def sample_n_per(df: DataFrame, keys: list[str], n: int, seed: int, ident: str) -> DataFrame:
@@ -122,7 +150,7 @@ def sample_per_stratum(df: DataFrame, keys: list[str], caps: dict[tuple, int], s
     return open_rows.unionByName(capped).drop("_cap")
 
 
-def stratified_folds(df: DataFrame, label: str, n: int, seed: int, ident: str, name: str = "fold", by: tuple[str, ...] = ()) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, n: int | Column, seed: int, ident: str, name: str = "fold", by: tuple[str, ...] = ()) -> DataFrame:
     """Balanced folds inside each label, dealt out in hash order."""
     keyed = df.withColumn("_key", sample_key(ident, seed)).withColumn("_slice", F.substring("_key", 1, 3))
     ranked = ranking.spread_rank(keyed, [*by, label], "_slice", ["_key", ident], "_r")

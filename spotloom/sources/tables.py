@@ -212,8 +212,8 @@ def samples_with_both(expression: DataFrame, tiles: DataFrame) -> DataFrame:
     return panels.require_rows(both, "no sample has both an expression and a tile file").orderBy("sample_id")
 
 
-def gene_panel_from_transcripts(transcripts: DataFrame, order: Column | str, remove_control: bool = True) -> DataFrame:
-    """Distinct features in first-seen order: (pos, gene), ``pos`` the order value of the first sighting."""
+def gene_panel_from_transcripts(transcripts: DataFrame, order: Column | str, remove_control: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct features in first-seen order, in each group of ``by``: (by…, pos, gene), ``pos`` the order value of the first sighting."""
     rows = filters.drop_control_features(transcripts) if remove_control else transcripts
     order = F.col(order) if isinstance(order, str) else order
-    return rows.groupBy(F.col("feature_name").alias("gene")).agg(F.min(order).alias("pos")).select("pos", "gene")
+    return rows.groupBy(*by, F.col("feature_name").alias("gene")).agg(F.min(order).alias("pos")).select(*by, "pos", "gene")

@@ -41,5 +41,5 @@ def test_transport_runs_its_default_iterations(spark):
             for mass, ref in ((plan.sum(axis=1), 1 / n), (plan.sum(axis=0), 1 / m)):
                 x = np.maximum(mass, 1e-8)
                 want[form] += 2 * (x * (np.log(x) - np.log(ref)) - x + ref).sum()
-    found = {r.form: r.transport_cost for r in contract.queries()["agg_31_sinkhorn_default"](spark, SF).collect()}
+    found = {r.form: r.transport_cost for r in contract.queries()["agg_31_sinkhorn_cost"](spark, SF).collect()}
     assert found == pytest.approx(want, abs=2e-5)

@@ -126,6 +126,46 @@ def test_pseudospot_totals_are_kept(spark):
     assert m["num_pseudospots"] == len(ids) and m["num_cells_total"] == 300
 
 
+def test_one_run_over_all_samples_equals_single_runs(spark):
+    rng = np.random.default_rng(6)
+    rows, molecules = [], []
+    for sample, size, scale in (("A", 300, 400.0), ("B", 120, 900.0), ("C", 5, 4000.0), ("D", 1, 10.0)):
+        for cell in range(size):
+            x, y = rng.uniform(-scale, scale, 2)
+            rows.append((sample, cell, float(x), float(y)))
+            molecules += [(sample, cell, f"G{g}", len(molecules) + n) for n, g in enumerate(rng.integers(0, 5, rng.integers(0, 4)))]
+    cells = spark.createDataFrame(rows, "sample_id string, cell_id long, centroid_x double, centroid_y double")
+    found = spark.createDataFrame(molecules, "sample_id string, cell_id long, feature_name string, ord long")
+    shapes = {"A": (40.0, 80.0, "hex"), "B": (90.0, 150.0, "square"), "C": (30.0, 60.0, "hex"), "D": (5.0, 20.0, "hex")}
+    grids = spark.createDataFrame([(s, *g) for s, g in shapes.items()], "sample_id string, radius double, spacing double, layout string")
+    rounded = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v for v in r) for r in rows)
+    by = ("sample_id",)
+    for drop in (True, False):
+        t = jobs.prepare_cells(found, cells, order="ord", drop_zero=drop, by=by)
+        s = jobs.build_pseudospots(t.cells, t.counts, grids, min_cells=2, by=by)
+        together = {n: getattr(o, n) for o in (t, s) for n in o.__dataclass_fields__ if n not in ("manifest", "counts")}
+        together |= {"cell_counts": t.counts, "spot_counts": s.counts, "cell_manifest": t.manifest, "spot_manifest": s.manifest}
+        for sample, shape in shapes.items():
+            one = lambda df: df.where(F.col("sample_id") == sample).drop("sample_id")
+            a = jobs.prepare_cells(one(found), one(cells), order="ord", drop_zero=drop)
+            b = jobs.build_pseudospots(a.cells, a.counts, jobs.GridParameters(*shape), min_cells=2)
+            alone = {n: getattr(o, n) for o in (a, b) for n in o.__dataclass_fields__ if n not in ("manifest", "counts")}
+            alone |= {"cell_counts": a.counts, "spot_counts": b.counts}
+            for name, df in alone.items():
+                assert rounded(one(together[name]).select(*df.columns).collect()) == rounded(df.collect()), (sample, name)
+        assert {r.sample_id: r.num_cells_total for r in s.manifest.collect()} == {r.sample_id: r.num_cells_after_filtering for r in t.manifest.collect()}
+
+
+def test_grid_table_follows_grid_parameters(spark):
+    columns = "sample_id string, pixel_size_um double, spot_diameter_um double, technology string, inter_spot_dist_um double"
+    reference = spark.createDataFrame([("ref", 0.5, 55.0, "Visium", 100.0)], columns)
+    imaging = spark.createDataFrame([("A", 0.25, 1.0, "Xenium", 1.0), ("B", 0.5, 1.0, "Xenium", 1.0)], columns)
+    got = {r.sample_id: (r.radius, r.spacing, r.layout) for r in jobs.grid_table(reference, imaging).collect()}
+    for sample in "AB":
+        p = jobs.grid_parameters(reference, imaging.where(F.col("sample_id") == sample))
+        assert got[sample] == (p.radius, p.spacing, p.layout)
+
+
 def test_rank_median_and_auc_with_one_large_group(spark):
     rng = np.random.default_rng(3)
     value = np.concatenate([np.full(300, 5.0), rng.normal(size=401)])
