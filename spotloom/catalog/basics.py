@@ -146,11 +146,11 @@ def _(v):
     return counting.keep_panel(v.fx_transcripts, v.fx_panel).select("mol_id", "cell_id", "gene")
 
 
-@query("joi_03_tiles_obs", f"""SELECT CAST(sample_no AS VARCHAR) AS sample_id, concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')} FROM fx_spots WHERE center_x >= 200""")
+@query("joi_03_tiles_obs", f"""SELECT CAST(sample_no AS VARCHAR) AS sample_id, concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')} FROM fx_spots""")
 def _(v):
     tiles = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), F.concat(F.lit("s"), F.col("spot_id").cast("string")).alias("barcode"),
                               F.col("spot_id").alias("patch_idx"), F.col("center_x").alias("x"))
-    obs = v.fx_spots.where(F.col("center_x") >= 200).select(
+    obs = v.fx_spots.select(
         F.col("sample_no").cast("string").alias("sample_id"), F.concat(F.lit("s"), F.col("spot_id").cast("string")).alias("barcode"))
     return cell_jobs.join_tiles(tiles, obs).select("sample_id", "barcode", r6("x"))
 
@@ -209,9 +209,9 @@ def _(v):
     return spatial.attach_geometry(chosen, outlines).select("cell_id", "technology", r6("area_px2"), r6("centroid_x"), r6("centroid_y"))
 
 
-@query("joi_14_attach_totals", "SELECT sample_id, count(*) AS n, CASE WHEN sample_id = '5-LOW' THEN NULL ELSE count(*) * 2 END AS total_available_cells FROM fx_cells WHERE in_tissue = 1 GROUP BY sample_id")
+@query("joi_14_attach_totals", "SELECT sample_id, count(*) AS n, CASE WHEN sample_id = '5-LOW' THEN NULL ELSE count(*) * 2 END AS total_available_cells FROM fx_cells GROUP BY sample_id")
 def _(v):
-    kept = v.fx_cells.where(F.col("in_tissue") == 1).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = v.fx_cells.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
     totals = kept.where(F.col("sample_id") != "5-LOW").select("sample_id", (F.col("n") * 2).alias("total"))
     return gap.attach_totals(kept, totals)
 

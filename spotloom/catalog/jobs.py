@@ -8,7 +8,7 @@ from spotloom.catalog.basics import FOLD_SQL, FULL_SPOT_SQL, KEPT_SQL, spot_tabl
 from spotloom.catalog.core import R, query, r6
 from spotloom.catalog.gaps import SUMMARY_SQL, TECHS
 from spotloom.catalog.scoring import summary_columns, summary_sql
-from spotloom.catalog.sources import ring, write_10x
+from spotloom.catalog.sources import ring, write_10x, write_logs
 from spotloom.catalog.vectors import ASK, PRED_SQL, match_sql, sides
 from spotloom.operators import metrics, neighbors, normalization, panels
 from spotloom.plans import cells as cell_jobs, evaluation, reports
@@ -82,14 +82,14 @@ def _(v):
 def spot_obs(v):
     name = F.concat(F.lit("s"), F.col("spot_id").cast("string"))
     tiles = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("patch_idx"))
-    obs = v.fx_spots.where(F.col("center_x") >= 200).select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("obs_id"))
+    obs = v.fx_spots.select(F.col("sample_no").cast("string").alias("sample_id"), name.alias("barcode"), F.col("spot_id").alias("obs_id"))
     return tiles, obs
 
 
 @query("job_03_index_spots", f"""
 WITH e AS (SELECT CAST(s_nationkey AS VARCHAR) AS sample_id, l_suppkey AS obs_id, p_brand AS gene, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE p_brand IN (SELECT gene FROM fx_panel) GROUP BY s_nationkey, l_suppkey, p_brand)
-SELECT sample_id, obs_id, gene, {R('ln(1 + cnt / sum(cnt) OVER (PARTITION BY obs_id) * 1e6)', 'norm')} FROM e WHERE obs_id IN (SELECT spot_id FROM fx_spots WHERE center_x >= 200)""")
+SELECT sample_id, obs_id, gene, {R('ln(1 + cnt / sum(cnt) OVER (PARTITION BY obs_id) * 1e6)', 'norm')} FROM e WHERE obs_id IN (SELECT spot_id FROM fx_spots)""")
 def _(v):
     expr = (
         v.lineitem.join(v.part, F.col("l_partkey") == F.col("p_partkey")).join(v.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -276,9 +276,7 @@ def _(v):
 WITH r AS (SELECT fold, CAST(regexp_extract(line, 'overall=([-0-9.]+)', 1) AS DOUBLE) AS overall, CAST(regexp_extract(line, 'gene=([-0-9.]+)', 1) AS DOUBLE) AS gene FROM (SELECT fold, arg_max(line, pos) AS line FROM fx_logs GROUP BY fold))
 SELECT count(*) AS num_folds, {R('avg(overall)', 'overall_mean')}, {R('stddev_pop(overall)', 'overall_std')}, {R('avg(gene)', 'gene_mean')} FROM r""")
 def _(v):
-    from spotloom.sources.text import parse_spot_logs
-
-    out = metrics.fold_summary(parse_spot_logs(v.fx_logs), ["overall", "gene", "spot"])
+    _, out = reports.fold_report(v.spark, write_logs(v), log="*.txt")
     return out.select("num_folds", r6("overall_mean"), r6("overall_std"), r6("gene_mean"))
 
 
@@ -291,12 +289,11 @@ def _(v):
 
 
 @query("str_01_stream_cell_gene_counts", """SELECT cell_id, feature_name AS gene, count(*) AS cnt FROM fx_transcripts WHERE cell_id > 0 AND NOT starts_with(feature_name, 'BLANK_') AND overlaps_nucleus = 1
-  AND cell_id IN (SELECT cell_id FROM fx_cells WHERE in_tissue = 1) AND feature_name IN (SELECT gene FROM fx_panel) GROUP BY cell_id, feature_name""")
+  AND cell_id IN (SELECT cell_id FROM fx_cells) AND feature_name IN (SELECT gene FROM fx_panel) GROUP BY cell_id, feature_name""")
 def _(v):
     folder, log, state = (scratch_path(v.spark, n) for n in ("molecules", "counts", "state"))
     v.fx_transcripts.select("cell_id", "feature_name", "overlaps_nucleus").write.parquet(folder)
-    cells = v.fx_cells.where(F.col("in_tissue") == 1)
-    stream = molecules.stream_cell_gene_counts(v.spark, folder, cells=cells, panel=v.fx_panel, only_nucleus=True, files_per_trigger=3)
+    stream = molecules.stream_cell_gene_counts(v.spark, folder, cells=v.fx_cells, panel=v.fx_panel, only_nucleus=True, files_per_trigger=3)
     molecules.run_to_log(stream, log, state)
     return molecules.latest_counts(v.spark, log)
 

@@ -60,13 +60,13 @@ def _(v):
     return summary_columns(metrics.pearson_summary(v.fx_pred, by=("sample_no",)), "sample_no")
 
 
-COVER_SQL = NEAR_SQL + """, cs AS (SELECT p.spot_id, p.sample_no, count(a.cell_id) AS n FROM fx_spots p LEFT JOIN a ON a.spot_id = p.spot_id AND a.in_tissue = 1 GROUP BY p.spot_id, p.sample_no)"""
+COVER_SQL = NEAR_SQL + """, cs AS (SELECT p.spot_id, p.sample_no, count(a.cell_id) AS n FROM fx_spots p LEFT JOIN a ON a.spot_id = p.spot_id GROUP BY p.spot_id, p.sample_no)"""
 
 
 @query("agg_13_coverage_stats", f"""WITH {COVER_SQL} SELECT sample_no, count(CASE WHEN n > 0 THEN 1 END) AS evaluated_spots, count(*) AS candidate_spots,
     {R('avg(CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END)', 'spot_coverage')}, {R('avg(CASE WHEN n > 0 THEN n END)', 'cells_per_spot_mean')}, {R('stddev_pop(CASE WHEN n > 0 THEN n END)', 'cells_per_spot_std')} FROM cs GROUP BY sample_no""")
 def _(v):
-    assigned = spatial.nearest_within_radius(v.fx_cells.where(F.col("in_tissue") == 1), v.fx_spots, 60.0)
+    assigned = spatial.nearest_within_radius(v.fx_cells, v.fx_spots, 60.0)
     spots = retrieval.cells_per_spot(assigned, v.fx_spots).join(v.fx_spots.select("spot_id", "sample_no"), "spot_id")
     return metrics.coverage_stats(spots, ("sample_no",)).select(
         "sample_no", "evaluated_spots", "candidate_spots", *[r6(c) for c in ("spot_coverage", "cells_per_spot_mean", "cells_per_spot_std")])

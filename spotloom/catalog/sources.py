@@ -108,7 +108,10 @@ SELECT CAST(row_number() OVER (ORDER BY first_pos) - 1 AS BIGINT) AS pos, gene F
 def _(v):
     line = F.when(F.col("p_partkey") % 7 == 0, "  ").when(F.col("p_partkey") % 11 == 0, "Total genes").otherwise(
         F.concat(F.lit("  "), "p_type", F.lit("-"), "p_brand", F.lit(" ")))
-    return text.clean_gene_lines(v.part.select(F.col("p_partkey").alias("pos"), line.alias("line")), ("Efficiently", "Total", "Detection", "Samples"))
+    path = scratch_path(v.spark, "genes")
+    # A gene list is one small file, its lines in order.
+    v.part.select("p_partkey", line.alias("line")).coalesce(1).sortWithinPartitions("p_partkey").select("line").write.text(path)
+    return text.read_gene_list(v.spark, f"{path}/*.txt", skip_headers=True)
 
 
 @query("src_05_read_gene_table", "SELECT p_brand AS gene FROM part")
@@ -125,12 +128,25 @@ SELECT sample_id, {R('coalesce(emb, est)', 'pixel_size_um')}, {R('55', 'spot_dia
 def _(v):
     k = F.col("s_suppkey")
     raw = v.supplier.select(
-        F.col("s_name").alias("sample_id"),
+        F.col("s_name").alias("sample"),
         F.when(k % 6 == 0, "not a number").when(k % 3 == 0, "NaN").otherwise((F.lit(0.25) + F.col("s_nationkey") / F.lit(100.0)).cast("string")).alias("pixel_size_um_embedded"),
         (F.lit(0.5) + F.col("s_nationkey") / F.lit(50.0)).cast("string").alias("pixel_size_um_estimated"),
         F.lit("55").alias("spot_diameter"), F.when(k % 4 == 0, "-1").otherwise("100").alias("inter_spot_dist"),
         F.when(k % 5 == 0, "").otherwise("Visium").alias("st_technology"))
-    return documents.resolve_metadata(raw).select("sample_id", r6("pixel_size_um"), r6("spot_diameter_um"), "technology", r6("inter_spot_dist_um"))
+    path = scratch_path(v.spark, "metadata")
+    write_each(raw.select("sample", F.to_json(F.struct(*[c for c in raw.columns if c != "sample"])).alias("value")), path)
+    found = documents.read_sample_metadata(v.spark, f"{path}/*/*.txt", name=r"sample=([^/]+)/")
+    return found.select(named("sample_id"), r6("pixel_size_um"), r6("spot_diameter_um"), "technology", r6("inter_spot_dist_um"))
+
+
+def named(column: str):
+    """A name as it was before it became a folder, which escapes it, in a path, which escapes it again."""
+    return F.url_decode(F.url_decode(column)).alias(column)
+
+
+def write_each(rows, path: str) -> None:
+    """One small text file for each row, in a folder that names it. All rows of a name come from one task."""
+    rows.repartition("sample").write.partitionBy("sample").text(path)
 
 
 def write_10x(v, path: str) -> None:
@@ -170,17 +186,27 @@ def _(v):
     fold = F.concat(F.lit('{"fold_index":'), n, F.lit(',"train_samples":"B, A'), n, F.lit(',","test_samples":["C"]}'))
     doc = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('{"split_name":"named","sample_ids":["z"],"folds":['), fold, F.lit("]}"))).otherwise(
         F.concat(F.lit("["), fold, F.lit("]")))
-    out = documents.parse_fold_manifest(v.supplier.select(F.col("s_name").alias("name"), doc.alias("value")))
+    path = scratch_path(v.spark, "manifests")
+    write_each(v.supplier.select(F.col("s_name").alias("sample"), doc.alias("value")), path)
+    out = documents.read_fold_manifest(v.spark, f"{path}/*/*.txt", name=r"sample=([^/]+)/")
+    out = out.withColumn("split_name", named("split_name"))
     return out.select("split_name", "fold_index", *[F.array_join(c, ",").alias(c) for c in ("sample_ids", "train_samples", "test_samples")])
 
 
 LOG_SQL = f"""SELECT fold, {R("CAST(regexp_extract(line, 'overall=([-0-9.]+)', 1) AS DOUBLE)", 'overall')}, {R("CAST(regexp_extract(line, 'gene=([-0-9.]+)', 1) AS DOUBLE)", 'gene')},
-    {R("CAST(regexp_extract(line, 'spot=([-0-9.]+)', 1) AS DOUBLE)", 'spot')} FROM (SELECT fold, arg_max(line, pos) AS line FROM fx_logs GROUP BY fold)"""
+    {R("CAST(regexp_extract(line, 'spot=([-0-9.]+)', 1) AS DOUBLE)", 'spot')} FROM (SELECT CAST(fold AS INT) AS fold, arg_max(line, pos) AS line FROM fx_logs GROUP BY fold)"""
 
 
 @query("src_10_read_training_logs", LOG_SQL)
 def _(v):
-    return text.parse_spot_logs(v.fx_logs).select("fold", r6("overall"), r6("gene"), r6("spot"))
+    return text.read_training_logs(v.spark, write_logs(v), name="*.txt").select("fold", r6("overall"), r6("gene"), r6("spot"))
+
+
+def write_logs(v) -> str:
+    """The log lines of each fold in ``fold=n``, one file a fold, its lines in order."""
+    path = scratch_path(v.spark, "logs")
+    v.fx_logs.repartition("fold").sortWithinPartitions("fold", "pos").select("fold", "line").write.partitionBy("fold").text(path)
+    return path
 
 
 @query("src_11_read_fold_metrics", f"""
@@ -195,12 +221,12 @@ def _(v):
     return documents.read_fold_metrics(v.spark, path, "*.json").select("fold_idx", "platform", r6("overall_pearson"), r6("mean_gene_pearson"))
 
 
-@query("src_12_read_spot_positions", f"SELECT concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')}, {R('center_y', 'y')} FROM fx_spots WHERE center_x >= 200")
+@query("src_12_read_spot_positions", f"SELECT concat('s', CAST(spot_id AS VARCHAR)) AS barcode, {R('center_x', 'x')}, {R('center_y', 'y')} FROM fx_spots")
 def _(v):
     path = scratch_path(v.spark, "spot_files")
     name = F.concat(F.lit("s"), F.col("spot_id").cast("string"))
     v.fx_spots.select(name, F.lit(1), F.lit(0), F.lit(0), "center_x", "center_y").write.csv(f"{path}/positions")
-    v.fx_spots.where(F.col("center_x") >= 200).select(name, F.lit("x")).write.csv(f"{path}/barcodes", sep="\t")
+    v.fx_spots.select(name, F.lit("x")).write.csv(f"{path}/barcodes", sep="\t")
     joined = text.join_positions(text.read_barcodes(v.spark, f"{path}/barcodes"), text.read_spot_positions(v.spark, f"{path}/positions"))
     return joined.select("barcode", r6("x"), r6("y"))
 
@@ -225,15 +251,16 @@ def _(v):
 
 
 @query("src_14_discover_samples", """SELECT DISTINCT c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS sample_id FROM customer
-    WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)""")
+    WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)""")
 def _(v):
-    expr = v.customer.select(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("sample_id"))
-    tiles = (
-        v.supplier.where(F.col("s_acctbal") > 0).select("s_nationkey").distinct()
-        .join(v.customer.select("c_nationkey", "c_mktsegment").distinct(), F.col("s_nationkey") == F.col("c_nationkey"))
-        .select(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("sample_id"))
-    )
-    return tables.samples_with_both(expr, tiles)
+    name = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    expr = v.customer.select(name.alias("sample")).distinct()
+    tiles = v.customer.join(v.supplier.select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey", "left_semi").select(name.alias("sample")).distinct()
+    folder = scratch_path(v.spark, "samples")
+    for rows, sub in ((expr, "expression"), (tiles, "tiles")):
+        # Empty files would do: only the listing is read.
+        rows.select("sample", F.lit("").alias("value")).repartition("sample").write.partitionBy("sample").text(f"{folder}/{sub}")
+    return tables.discover_samples(v.spark, f"{folder}/expression", f"{folder}/tiles", ".txt", ".txt", name=r"sample=([^/]+)/").select(named("sample_id"))
 
 
 @query("src_15_gene_panel_from_transcripts", "SELECT min(mol_id) AS pos, feature_name AS gene FROM fx_transcripts WHERE NOT starts_with(feature_name, 'BLANK_') GROUP BY feature_name")

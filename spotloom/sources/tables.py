@@ -195,16 +195,21 @@ def read_tile_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _stems(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+def _stems(spark: SparkSession, folder: str, suffix: str, name: str | None) -> DataFrame:
     # The content column is pruned: only the listing is read.
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("sample_id")).distinct()
+    if name:
+        return files.select(F.regexp_extract("path", name, 1).alias("sample_id")).distinct()
+    last = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select(F.substring(last, F.lit(1), F.length(last) - len(suffix)).alias("sample_id")).distinct()
 
 
-def discover_samples(spark: SparkSession, expression_dir: str, tile_dir: str, expression_suffix: str = ".parquet", tile_suffix: str = ".parquet") -> DataFrame:
-    """Samples with both an expression file and a tile file, sorted; none is an error."""
-    return samples_with_both(_stems(spark, expression_dir, expression_suffix), _stems(spark, tile_dir, tile_suffix))
+def discover_samples(spark: SparkSession, expression_dir: str, tile_dir: str, expression_suffix: str = ".parquet", tile_suffix: str = ".parquet", name: str | None = None) -> DataFrame:
+    """Samples with both an expression file and a tile file, sorted; none is an error.
+
+    A sample is the name of its file without the suffix, or what ``name`` finds in the path.
+    """
+    return samples_with_both(_stems(spark, expression_dir, expression_suffix, name), _stems(spark, tile_dir, tile_suffix, name))
 
 
 def samples_with_both(expression: DataFrame, tiles: DataFrame) -> DataFrame:
