@@ -293,8 +293,9 @@ def _(v):
 def _(v):
     folder, log, state = (scratch_path(v.spark, n) for n in ("molecules", "counts", "state"))
     v.fx_transcripts.select("cell_id", "feature_name", "overlaps_nucleus").write.parquet(folder)
-    stream = molecules.stream_cell_gene_counts(v.spark, folder, cells=v.fx_cells, panel=v.fx_panel, only_nucleus=True, files_per_trigger=3)
-    molecules.run_to_log(stream, log, state)
+    stream = molecules.stream_molecules(v.spark, folder, files_per_trigger=3)
+    molecules.run_to_log(stream, log, state, cells=v.fx_cells, panel=v.fx_panel, only_nucleus=True)
+    molecules.compact(v.spark, log)
     return molecules.latest_counts(v.spark, log)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spotloom.catalog.core import R, query, r6
 from spotloom.functions import vectors
 from spotloom.operators import features, gap, metrics, neighbors, retrieval
-from spotloom.session import one_row
+from spotloom.session import one_row, scratch_path
+from spotloom.sources import tables, writers
 
 COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 DIST = "list_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -114,7 +115,9 @@ def _(v):
 @query("joi_15_gather_expression", f"WITH {match_sql(ASK, 3)} SELECT query_id, bank_id, gene, {R('value')} FROM mt JOIN fx_values ON bank_id = id")
 def _(v):
     q, b = sides(v)
-    return retrieval.gather_expression(neighbors.topk(q, b, 3), v.fx_values).select("query_id", "bank_id", "gene", r6("value"))
+    # The bank's expression is laid out once; a search then shuffles its matches only.
+    bank = tables.open_bank_expression(v.spark, writers.write_bank_expression(v.fx_values, scratch_path(v.spark, "bank_expression")))
+    return retrieval.gather_expression(neighbors.topk(q, b, 3), bank).select("query_id", "bank_id", "gene", r6("value"))
 
 
 SOFT = "exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM mt"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from spotloom.functions import polygons
 from spotloom.functions.scalars import decode_name
@@ -181,6 +183,18 @@ def read_expression_long(spark: SparkSession, path: str, sample: str | None = No
     return df if sample is None else df.where(F.col("sample_id") == sample)
 
 
+def open_bank_expression(spark: SparkSession, path: str) -> DataFrame:
+    """Bucketed expression written by ``writers.write_bank_expression``, in this session or another."""
+    from spotloom.sources.writers import bank_table
+
+    name = bank_table(path)
+    if not spark.catalog.tableExists(name):
+        facts = spark.read.json(f"{path}/layout").first()
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(facts["columns"])))
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{facts['id_col']}`) SORTED BY (`{facts['id_col']}`) INTO {facts['buckets']} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(name)
+
+
 def read_tile_index(spark: SparkSession, path: str) -> DataFrame:
     """Tile rows of a store whose parallel arrays are cut to the shortest: (sample_id, patch_idx, barcode, x, y).
 

@@ -150,19 +150,34 @@ def test_id_list_and_specs_fail_loudly(spark):
         one.select(scalars.grid_layout(F.lit("ring"), F.lit("Visium"))).collect()
 
 
-def test_stream_in_two_runs_equals_batch(spark, tmp_path):
+def test_stream_over_runs_restarts_and_compactions_equals_batch(spark, tmp_path):
     from spotloom.operators import counting
 
     rows = spark.range(4000).select((F.col("id") % 40).alias("cell_id"), F.concat(F.lit("G"), (F.col("id") % 7).cast("string")).alias("feature_name"), (F.col("id") % 3 == 0).cast("int").alias("overlaps_nucleus"))
     folder, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
-    rows.where("cell_id < 25").repartition(3).write.parquet(folder)
-    start = lambda: molecules.run_to_log(molecules.stream_cell_gene_counts(spark, folder, only_nucleus=True, files_per_trigger=2), log, state)
+    assert molecules.latest_counts(spark, log).count() == 0 and molecules.compact(spark, log) is None
+    cells = spark.range(1, 38).select(F.col("id").alias("cell_id"))
+    start = lambda: molecules.run_to_log(molecules.stream_molecules(spark, folder, files_per_trigger=2), log, state, cells=cells, only_nucleus=True)
+    counts = lambda df: sorted(tuple(r) for r in df.collect())
+    seen = rows.where("cell_id < 25")
+    seen.repartition(3).write.parquet(folder)
     start()
-    rows.where("cell_id >= 25").unionByName(rows.where("cell_id = 3")).repartition(2).write.mode("append").parquet(folder)
+    assert counts(molecules.latest_counts(spark, log)) == counts(counting.cell_gene_counts(seen, cells, only_nucleus=True))
+    first = molecules.compact(spark, log)
+    assert first == 1 and molecules.compact(spark, log) is None
+    late = rows.where("cell_id >= 25").unionByName(rows.where("cell_id = 3"))  # late files bring more of a cell that is in the base
+    late.repartition(2).write.mode("append").parquet(folder)
     start()
-    got = sorted(tuple(r) for r in molecules.latest_counts(spark, log).collect())
-    want = sorted(tuple(r) for r in counting.cell_gene_counts(rows.unionByName(rows.where("cell_id = 3")), only_nucleus=True).collect())
-    assert got == want
+    start()  # nothing new
+    want = counts(counting.cell_gene_counts(seen.unionByName(late), cells, only_nucleus=True))
+    assert counts(molecules.latest_counts(spark, log)) == want
+    assert molecules.compact(spark, log) > first
+    assert counts(molecules.latest_counts(spark, log)) == want
+    # A trigger that is replayed after the compaction writes its folder again; it is in the base already.
+    replayed = spark.read.parquet(f"{log}/batches/batch_id=0")
+    replayed.write.parquet(f"{tmp_path}/again")
+    spark.read.parquet(f"{tmp_path}/again").write.mode("overwrite").parquet(f"{log}/batches/batch_id=0")
+    assert counts(molecules.latest_counts(spark, log)) == want
 
 
 OUTER, HOLE, FAR = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (2, 1), (2, 2), (1, 2)], [(10, 0), (12, 0), (12, 3), (10, 3)]
@@ -282,3 +297,22 @@ def test_geojson_in_many_small_pieces(spark, tmp_path, monkeypatch):
     (tmp_path / "bad.geojson").write_text(json.dumps({"features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [0, 0]}}]}))
     with pytest.raises(Exception, match="an outline is a Point"):
         tables.read_geojson(spark, str(tmp_path / "bad.geojson")).collect()
+
+
+def test_bucketed_expression_is_gathered_without_a_shuffle_of_the_bank(spark, tmp_path):
+    from spotloom.operators import retrieval
+
+    rows = spark.range(3000).select((F.col("id") % 300).alias("id"), F.concat(F.lit("G"), (F.col("id") % 10).cast("string")).alias("gene"), (F.col("id") * 0.5).alias("value"))
+    path = writers.write_bank_expression(rows, f"{tmp_path}/bank", buckets=5)
+    matches = spark.range(40).select(F.col("id").alias("query_id"), (F.col("id") * 7).alias("bank_id"), F.lit(1.0).alias("score"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            found = retrieval.gather_expression(matches, tables.open_bank_expression(spark, path))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.gather_expression(matches, rows).collect()))
+            spark.sql(f"DROP TABLE {writers.bank_table(path)}")  # as in another session
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
