@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
+_ROOTS: list[str] = []
 
 
 def build_session(app: str = "spotloom", master: str | None = None, **extra: str) -> SparkSession:
@@ -29,14 +32,35 @@ def build_session(app: str = "spotloom", master: str | None = None, **extra: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse.
+
+    Outside local mode a warehouse on a machine's own disk is an error, as executors elsewhere would not see it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+        own_disk = root.startswith("/") or root.startswith("file:")
+        if own_disk and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing there is reused or removed."""
-    return f"{shared_root(spark)}/spotloom/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder. Nothing there is reused; ``scratch`` removes what was made inside it."""
+    return f"{_ROOTS[-1] if _ROOTS else shared_root(spark) + '/spotloom'}/{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that is staged inside the block, removed at its end: write or collect results before that."""
+    root = f"{shared_root(spark)}/spotloom/{uuid.uuid4().hex}"
+    _ROOTS.append(root)
+    try:
+        yield root
+    finally:
+        _ROOTS.remove(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
