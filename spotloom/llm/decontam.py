@@ -20,9 +20,9 @@ import functools
 import pickle
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from spotloom.llm.common import map_slices, text_list
+from spotloom.llm.common import map_slices, on_texts, text_list
 
 #: Characters of item text that one scan of the documents carries.
 BLOCK_CHARS = 4_000_000
@@ -205,12 +205,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Data
     """The documents in which no item is found, unchanged."""
     for block in _blocks(items.select("item_id", "text")):
         packed = pickle.dumps((block, rate))
-        at = docs.columns.index("text")
 
-        def run(batch: pa.RecordBatch, packed=packed) -> pa.RecordBatch:
+        def clean(texts: list[str], packed=packed) -> pa.Array:
             matcher = _matcher(packed)
-            clean = [not matcher.find(normal(t)) for t in text_list(batch.column(at))]
-            return batch.filter(pa.array(clean, pa.bool_()))
+            return pa.array([not matcher.find(normal(t)) for t in texts], pa.bool_())
 
-        docs = map_slices(docs, run, docs.schema)
+        docs = docs.where(on_texts(clean, "boolean")(F.col("text")))
     return docs

@@ -11,7 +11,7 @@ A text is split at line feeds. Two kinds of pieces are looked up in the whole co
 A piece that occurs more than once stays at its first place (least doc_id, text hash, line) and goes elsewhere, line by
 line: a line goes if it lies in a later occurrence of any piece, so each line that goes has an equal line at an earlier
 place. Where a piece overlaps its own first place, the lines of that place are not taken for its sake. Equal hashes only
-make candidates: adjoining pieces with one source are put together, and go if their bytes equal those of the source.
+make candidates (a piece's hash is built from those of its lines, so no piece is copied): adjoining pieces with one source are put together, and go if their bytes equal those of the source.
 
 Edge cases: a null or empty text has no piece and stays as it is; a text all of whose lines go becomes empty, a repeated
 text of one long line among them. Rows without doc_id come after all others in the order of places. Rows with the same
@@ -26,59 +26,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spotloom.llm.common import map_slices
+from spotloom.llm.common import map_slices, short_batches
 from spotloom.session import stage
 
 WINDOW, DIVISOR, WORDS = 2, 3, 50
 _BASE = 0x9E3779B97F4A7C15
+#: Odd, so that each has an inverse modulo 2^64.
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bits of the filter that keeps texts without a wanted passage out of a shuffle, and bits of a row of it.
 FILTER, PAGE = 1 << 25, 1 << 15
 
 
-def chunks(text: str) -> list[list[str]]:
-    """Runs of lines between the boundaries that the rolling hash sets."""
+def _line_hashes(lines: list[str]) -> np.ndarray:
     import xxhash
 
-    lines = text.split("\n")
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
+
+
+def _ends(hashes: np.ndarray) -> np.ndarray:
+    """Line after the last one of each chunk, from the hashes of the lines."""
     rolled, scale = hashes.copy(), np.uint64(1)
     with np.errstate(over="ignore"):
         for back in range(1, WINDOW):
             scale = scale * np.uint64(_BASE)
             rolled[back:] += hashes[:-back] * scale
         rolled ^= rolled >> np.uint64(29)
-    ends = (np.flatnonzero(rolled % np.uint64(DIVISOR) == 0) + 1).tolist()
-    if not ends or ends[-1] != len(lines):
-        ends.append(len(lines))
+    ends = np.flatnonzero(rolled % np.uint64(DIVISOR) == 0) + 1
+    return ends if len(ends) and ends[-1] == len(hashes) else np.append(ends, len(hashes))
+
+
+def chunks(text: str) -> list[list[str]]:
+    """Runs of lines between the boundaries that the rolling hash sets."""
+    lines = text.split("\n")
+    ends = _ends(_line_hashes(lines)).tolist()
     return [lines[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _pieces(text: str | None) -> list[tuple[int, int, str]]:
-    """First line, line after the last one and body of each piece that may be removed."""
+def _run_hashes(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each run of lines, the same wherever the run stands: differences of prefix sums over powers of two bases."""
+    out = (stops - starts).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for base in _BASES:
+            power = np.cumprod(np.full(len(hashes), base, dtype=np.uint64))
+            inverse = np.cumprod(np.full(len(hashes) + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((hashes ^ (hashes >> np.uint64(31))) * power, dtype=np.uint64)])
+            out = (out ^ (out >> np.uint64(32))) * np.uint64(_BASE) + (sums[stops] - sums[starts]) * inverse[starts]
+    return out.view(np.int64)
+
+
+def _pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last one and hash of each piece that may be removed."""
     if not text:
-        return []
-    lines, found, at = text.split("\n"), set(), 0
-    for chunk in chunks(text):
-        if len(chunk) > 1 and any(map(str.strip, chunk)):
-            found.add((at, at + len(chunk)))
-        at += len(chunk)
-    words = np.cumsum([0, *(len(x.split()) for x in lines)])
+        return (np.zeros(0, dtype=np.int64),) * 3
+    lines = text.split("\n")
+    hashes = _line_hashes(lines)
+    ends = _ends(hashes)
+    starts = np.concatenate([[0], ends[:-1]])
+    filled = np.concatenate([[0], np.cumsum(np.fromiter((not (not x or x.isspace()) for x in lines), dtype=np.int64, count=len(lines)))])
+    whole = (ends - starts > 1) & (filled[ends] > filled[starts])
+    words = np.concatenate([[0], np.cumsum(np.fromiter((len(x.split()) for x in lines), dtype=np.int64, count=len(lines)))])
     stops = np.searchsorted(words, words[:-1] + WORDS + 1)
-    found.update((n, stop) for n, stop in enumerate(stops.tolist()) if stop <= len(lines))
-    starts = np.searchsorted(words, words[1:] - WORDS - 1, side="right") - 1
-    found.update((start, n + 1) for n, start in enumerate(starts.tolist()) if start >= 0)
-    return [(a, b, "\n".join(lines[a:b])) for a, b in sorted(found)]
+    onward = np.flatnonzero(stops <= len(lines))
+    begins = np.searchsorted(words, words[1:] - WORDS - 1, side="right") - 1
+    upto = np.flatnonzero(begins >= 0)
+    pairs = np.unique(np.stack([np.concatenate([starts[whole], onward, begins[upto]]), np.concatenate([ends[whole], stops[onward], upto + 1])], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], _run_hashes(hashes, pairs[:, 0], pairs[:, 1])
 
 
 def piece_table(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, start, stop and hash of every piece."""
-    import xxhash
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, *piece) for i, t in enumerate(batch.column(2).to_pylist()) for piece in _pieces(t)]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        digests = b"".join(xxhash.xxh64_digest(r[3].encode("utf-8", "surrogatepass")) for r in rows)
-        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(np.frombuffer(digests, ">i8").astype(np.int64))]
+        found = [_pieces(t) for t in batch.column(2).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        starts, stops, hashes = (np.concatenate(c) for c in zip(*found))
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32)), pa.array(hashes)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "start", "stop", "hash"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -167,29 +189,32 @@ def deduplicate_lines(docs: DataFrame, count_col: str | None = None) -> DataFram
     inner = docs.toDF(*plain)
     doc, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
     joined = inner.withColumn("_row_hash", F.xxhash64(text)).join(gone, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_row_hash") == F.col("_hash")), "left")
-    at = names.index("text")
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, counts = batch.column(at).to_pylist(), []
-        for i, gone in enumerate(batch.column(len(names)).to_pylist()):
-            lines = texts[i].split("\n") if gone else []
-            stays = [True] * len(lines)
-            for g in gone or ():
-                if "\n".join(lines[g["start"]:g["start"] + g["body"].count("\n") + 1]) == g["body"]:
-                    for cut in g["cuts"]:
-                        stays[cut["a"]:cut["b"]] = [False] * (cut["b"] - cut["a"])
-            hit, first = 0, 0
-            for chunk in chunks(texts[i]) if not all(stays) else ():
-                hit += not all(stays[first:first + len(chunk)])
-                first += len(chunk)
-            if hit:
-                texts[i] = "\n".join(line for line, keep in zip(lines, stays) if keep)
-            counts.append(hit)
-        columns = [*batch.columns[:len(names)], pa.array(counts, pa.int64())]
-        columns[at] = pa.array(texts, batch.column(at).type)
-        return pa.RecordBatch.from_arrays(columns, names=[*plain, "n"])
-
-    out = map_slices(joined.select(*plain, "_gone"), cut, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema) + ", n bigint")
-    if count_col:
-        return out.toDF(*names, count_col)
-    return out.drop("n").toDF(*names)
+
+    @F.arrow_udf("struct<text:string,n:bigint>")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        kept, counts = [], []
+        for t, g in zip(texts, gone):  # one text at a time leaves Arrow
+            left, n = _without(t.as_py(), g.as_py())
+            kept.append(left)
+            counts.append(n)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(counts, pa.int64())], names=["text", "n"])
+
+    short_batches(docs.sparkSession)
+    # Texts that lose nothing stay in the JVM.
+    out = joined.withColumn("_cut", cut(F.when(F.col("_gone").isNotNull(), F.col(text)), F.col("_gone")))
+    columns = [F.coalesce(F.col("_cut.text"), F.col(c)).alias(name) if c == text else F.col(c).alias(name) for c, name in zip(plain, names)]
+    return out.select(*columns, *([F.coalesce("_cut.n", F.lit(0)).cast("bigint").alias(count_col)] if count_col else []))
+
+
+def _without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int]:
+    """The text without the lines that go, or None if all stay, and the number of chunks that lost lines."""
+    lines = text.split("\n") if gone else []
+    stays = np.ones(len(lines), dtype=bool)
+    for g in gone or ():
+        if "\n".join(lines[g["start"]:g["start"] + g["body"].count("\n") + 1]) == g["body"]:
+            for cut in g["cuts"]:
+                stays[cut["a"]:cut["b"]] = False
+    if stays.all():
+        return None, 0
+    hit = np.add.reduceat(~stays, np.concatenate([[0], _ends(_line_hashes(lines))[:-1]])) > 0
+    return "\n".join(line for line, keep in zip(lines, stays.tolist()) if keep), int(hit.sum())

@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotloom.llm.common import crc_mod, hash_share, map_slices, text_list
+from spotloom.llm.common import crc_mod, hash_share, map_slices, on_texts, text_list
 
 BUCKETS = 1 << 16
 REPEAT = 0
 SHORTEST, LONGEST = 3, 4
 #: Bound of the training sample: rows, and characters of each (scoring reads whole texts).
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
-MAX_WORDS = 200_000
+MAX_WORDS = 50_000
 HELD_OUT = 1
 
 
@@ -144,11 +144,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model accepts, unchanged."""
     state: list = []
-    at = docs.columns.index("text")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def good(texts: list[str]) -> pa.Array:
         if not state:
             state.append(model.scorer())
-        return batch.filter(pa.array([state[0](t) >= 0.5 for t in text_list(batch.column(at))], pa.bool_()))
+        return pa.array([state[0](t) >= 0.5 for t in texts], pa.bool_())
 
-    return map_slices(docs, run, docs.schema)
+    return docs.where(on_texts(good, "boolean")(F.col("text")))

@@ -5,14 +5,38 @@ import tiktoken
 
 import corpus_pipeline
 from shapes import awkward
-from spotloom.llm import bpe, decontam, quality, simhash
+from spotloom.llm import bpe, decontam, quality
 from spotloom.session import stage
 from test_linededup import plain
-from test_simhash import plain_components
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    """Distinct runs of five words in lower case; the whole text if it is shorter."""
+    words = text.encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_components(sets):
+    """Least document reachable over links of Jaccard similarity 0.8 or more, and over equal sets."""
+    head = {i: i for i in sets}
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1:]:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or both and both >= 0.8 * either:
+                a, b = sorted((root(i), root(j)))
+                head[b] = a
+    return {i: root(i) for i in ids}
+
+
 def test_stages_against_plain_versions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
@@ -29,8 +53,9 @@ def test_stages_against_plain_versions(spark):
     assert all(r.n_chars == len(r.text) for r in lines.collect())
 
     apart = stage(steps["SimHash near-dedup"](spark, lines, SF))
-    prints = {r.doc_id: int.from_bytes(simhash.fingerprint(r.text, 5, 128), "big") for r in lines.collect()}
-    heads = set(plain_components(prints, 25).values())
+    sets = {r.doc_id: shingles(r.text) for r in lines.collect()}
+    heads = set(plain_components(sets).values())
+    assert len(heads) < len(sets)
     assert sorted(map(tuple, apart.collect())) == sorted(tuple(r) for r in lines.collect() if r.doc_id in heads)
 
     items = [decontam.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
