@@ -360,6 +360,14 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, ids, decoded."""
-    out = decode_documents(encode_documents(docs, path, pattern), path, pattern)
+    """Encodes and decodes every text: doc_id, n_tokens, ids, decoded. A task holds one transducer for both ways."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder = codec(path, pattern)
+        ids = [coder.encode(t) for t in text_list(batch.column(1))]
+        texts = ["".join(decode_stream(i, coder)) for i in ids]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    out = map_slices(docs.select("doc_id", "text"), run, f"doc_id {key}, ids binary, decoded string")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
