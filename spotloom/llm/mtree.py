@@ -9,10 +9,12 @@ the stored distances spares the computation for entries that cannot be among the
 Vectors are spread over trees of bounded size by a hash of their id, queries are packed in blocks of bounded size, and
 each block visits each tree in a group of its own. Only the k best of a tree leave it.
 
-Edge cases: vectors that are null or hold a null or non-finite component take no part, nor do those whose integer
-components need more than 32 bits, nor rows without an id. Vectors of different lengths never meet. Of several rows
-with one id the least vector counts. Ties go to the smaller id. Fewer than k candidates give fewer rows. An empty
-vector has score 0 with other empty vectors. An empty table gives an empty result. Other columns are ignored.
+Edge cases: vectors that are null or hold a null or non-finite component take no part. Vectors of different lengths
+never meet. Rows with one id are rows of their own: each may be a candidate, and each that asks is a query for itself,
+for which only its own row is left out. A row without an id is a candidate, after all ids among ties. Ties go to the
+smaller id. A component that no 64-bit number holds counts as the nearest one; so does a score in the result, after
+exact comparison. Fewer than k candidates give fewer rows. An empty vector has score 0 with other empty vectors. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spotloom.llm.common import WIDE, as_long, exact, finite, most, numbered, scaled, score_text
 from spotloom.session import stage
 
 PAGE, TREE, QUERIES = 64, 4096, 1024
 
 
 class Tree:
-    """Bulk-loaded M-tree over integer vectors ``x`` with ids ``ids``."""
+    """Bulk-loaded M-tree over integer vectors ``x`` with ids ``ids`` (null last) and keys ``uids``."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+    def __init__(self, ids: list[int | None], uids: np.ndarray, x: np.ndarray):
+        order = sorted(range(len(ids)), key=lambda n: (ids[n] is None, ids[n] or 0, uids[n]))
+        self.ids, self.uids, self.x = [ids[n] for n in order], uids[order], x[order]
         whole = self.x.astype(np.float64)
         squares = (whole ** 2).sum(axis=1)
         self.top = float(squares.max(initial=0.0))
@@ -63,21 +66,15 @@ class Tree:
         self.pages.append((False, routing, away(routing), radii, children))
         return len(self.pages) - 1
 
-    def _exact(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both sides in a type in which the inner product is exact: doubles below 2^53, else 64-bit integers."""
-        bound = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, self.x.shape[1])
-        kind = np.float64 if bound < 2 ** 52 else np.int64
-        return self.x.astype(kind), q.astype(kind)
-
     def search(self, queries: np.ndarray, own: np.ndarray, k: int):
-        """(query number, id, score) of the k best for each query, the query's own id left out."""
-        x, q_all = self._exact(queries)
+        """(query number, row, score) of the k best for each query, the row with the query's own key left out."""
+        x, q_all = exact(self.x, most(queries)), exact(queries, most(self.x))
         out, slack = [], 1e-6 * (1.0 + np.sqrt(self.top))
         for number, q in enumerate(q_all):
             square = float((queries[number].astype(np.float64) ** 2).sum()) + self.top
             margin = slack + 1e-6 * np.sqrt(square)
             far = lambda score: np.sqrt(np.maximum(0.0, square - 2.0 * score))
-            best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
+            best: list[tuple[int, int]] = []  # heap of (score, -row): the worst first; rows are in the order of ids
             limit = np.inf
             queue: list[tuple[float, int, float | None]] = [(0.0, self.root, None)]
             while queue and queue[0][0] <= limit + margin:
@@ -96,8 +93,8 @@ class Tree:
                         useful = scores >= best[0][0]
                         may, scores = may[useful], scores[useful]
                     for row, score in zip(rows[may].tolist(), scores.tolist()):
-                        entry = (int(score), -int(self.ids[row]))
-                        if -entry[1] == own[number]:
+                        entry = (int(score), -row)
+                        if self.uids[row] == own[number]:
                             continue
                         if len(best) < k:
                             heapq.heappush(best, entry)
@@ -114,14 +111,6 @@ class Tree:
         return out
 
 
-def integers(vector: Column, scale: float) -> Column:
-    return F.transform(vector, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("int"))
-
-
-def _usable(vector: Column, scale: float) -> Column:
-    return vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & (F.abs(F.lit(scale) * v.cast("double")) < F.lit(2.0 ** 31)))
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.to_pylist()
     return np.array(rows, dtype=np.int64).reshape(len(rows), -1)
@@ -129,35 +118,36 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k largest inner products for each row with ``is_query`` (over ``id_col``)."""
-    usable = vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col), scale))
-    rows = usable.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = stage(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")).withColumn("dim", F.size("v")))
+    usable = vectors.where(finite(F.col(vector_col)))
+    rows = usable.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = stage(numbered(rows, "id", "v").withColumn("dim", F.size("v")))
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     trees, blocks = max(1, -(-n // TREE)), max(1, -(-asking // QUERIES))
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tree = Tree(np.array(table["id"].to_pylist(), dtype=np.int64), _matrix(table["v"]))
+        tree = Tree(table["id"].to_pylist(), np.array(table["uid"].to_pylist(), dtype=np.int64), _matrix(table["v"]))
         return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), "pages": pa.array([pickle.dumps(tree)], pa.binary())})
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        packed = pickle.dumps((np.array(table["id"].to_pylist(), dtype=np.int64), _matrix(table["v"])))
+        packed = pickle.dumps((table["id"].to_pylist(), np.array(table["uid"].to_pylist(), dtype=np.int64), _matrix(table["v"])))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), "queries": pa.array([packed], pa.binary())})
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
             tree: Tree = pickle.loads(left["pages"][0].as_py())
-            ids, queries = pickle.loads(right["queries"][0].as_py())
-            found = [(int(ids[n]), vec, score) for n, vec, score in tree.search(queries, ids, k)]
-        columns = list(zip(*found)) if found else [()] * 3
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns)})
+            ids, uids, queries = pickle.loads(right["queries"][0].as_py())
+            found = [(int(uids[n]), ids[n], tree.ids[row], int(tree.uids[row]), score_text(score)) for n, row, score in tree.search(queries, uids, k)]
+        columns = list(zip(*found)) if found else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("query", "query_id", "vec_id", "other", "score"), columns, kinds)})
 
-    part = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
+    part = lambda count, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(count)).cast("int")
     forest = stage(rows.groupBy(part(trees, "tree").alias("tree"), "dim").applyInArrow(build, "tree int, dim int, pages binary"))
     asked = stage(rows.where("asks").groupBy(part(blocks, "block").alias("block"), "dim").applyInArrow(pack, "block int, dim int, queries binary"))
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = forest.withColumn("block", spread(blocks)).groupBy("tree", "block", "dim")
     right = asked.withColumn("tree", spread(trees)).groupBy("tree", "block", "dim")
-    best = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = left.cogroup(right).applyInArrow(search, "query long, query_id long, vec_id long, other long, score string")
+    order = Window.partitionBy("query").orderBy(F.desc(F.col("score").cast(WIDE)), F.asc_nulls_last("vec_id"), "other")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", as_long("score").alias("score"))

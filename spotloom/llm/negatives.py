@@ -18,8 +18,8 @@ Edge cases: rows with a null label, a null vector, or a null or non-finite compo
 anchor, but a candidate, after all ids among ties. Rows with one id are rows of their own, each an anchor of its own, and
 may be positives or negatives of one another. Vectors of different lengths never meet; an empty vector has score 0. A
 component that no 64-bit number holds counts as the nearest one; so does a score in the result, after exact
-comparison. Labels are whole numbers. A positive with a negative score has no negatives, since its window is empty. Other columns are ignored. An
-empty table gives an empty result.
+comparison. Labels are whole numbers. A positive with a negative score has no negatives, since its window is empty.
+Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,27 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from spotloom.llm.common import WIDE, as_long, exact, finite, most, numbered, scaled, score_text
 from spotloom.session import stage
 
 #: Rows of a block of anchors and of candidates; anchor blocks that meet a candidate block in one task.
 ANCHORS, CANDIDATES, WAVE = 256, 8192, 16
-_LONG, _MOST, _WIDE = np.iinfo(np.int64), 10 ** 38 - 1, "decimal(38,0)"
-
-
-def finite(vector: Column) -> Column:
-    """True for a vector whose components are all finite numbers."""
-    return vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-
-
-def scaled(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component as a 64-bit number."""
-    return F.transform(vector, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
-
-
-def exact(x: np.ndarray, other: float) -> np.ndarray:
-    """``x`` in a type whose inner products with components up to ``other`` are exact."""
-    bound = float(np.abs(x.astype(np.float64)).max(initial=0)) * other * max(1, x.shape[1])
-    return x.astype(np.float64 if bound < 2 ** 52 else np.int64 if bound < 2 ** 62 else object)
 
 
 def spanning_tree(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -74,8 +58,7 @@ class Scores:
     """Intervals around the scores of one block of candidates, carried down the tree of one block of anchors."""
 
     def __init__(self, anchors: np.ndarray, tree: list[tuple[int, int, float]], x: np.ndarray):
-        most = [float(np.abs(m.astype(np.float64)).max(initial=0)) for m in (anchors, x)]
-        self.anchors, self.x, self.tree = exact(anchors, most[1]), exact(x, most[0]), tree
+        self.anchors, self.x, self.tree = exact(anchors, most(x)), exact(x, most(anchors)), tree
         self.norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
         lengths = np.sqrt((anchors.astype(np.float64) ** 2).sum(axis=1))
         self.slack = 1e-9 * (1.0 + self.norms * (1.0 + lengths.max(initial=0)))
@@ -174,11 +157,6 @@ def _packed(table: pa.Table) -> dict:
     return {"id": ids, "uid": uid, "order": order, "label": np.array(table["label"].to_pylist(), dtype=np.int64), "x": x}
 
 
-def _text(score: int) -> str:
-    """Digits of a score; more than 38 of them count as the largest such number."""
-    return str(min(max(score, -_MOST), _MOST))
-
-
 def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "candidates": pa.array([pickle.dumps(_packed(table))], pa.binary())})
 
@@ -225,18 +203,15 @@ def mine(
     usable = rows.where(F.col(label_col).isNotNull() & finite(F.col(vector_col)))
     label = F.col(label_col) if relabel is None else relabel
     base = usable.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), scaled(F.col(vector_col), scale).alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("asks"))
-    # Equal rows are told apart by their number among equals, so every row has a key that is the same on every run.
-    equals = Window.partitionBy("id", "slice").orderBy("label", "v")
-    base = base.withColumn("slice", F.xxhash64("id", "label", "v")).withColumn("copy", F.row_number().over(equals))
-    base = stage(base.select("id", "label", "v", "asks", F.xxhash64("slice", "copy").alias("uid"), F.size("v").alias("dim")))
+    base = stage(numbered(base, "id", "label", "v").withColumn("dim", F.size("v")))
     asked = base.where("asks")
     chunks, blocks = max(1, -(-base.count() // CANDIDATES)), max(1, -(-asked.count() // ANCHORS))
     chunk = F.pmod(F.xxhash64("uid", F.lit("candidates")), F.lit(chunks)).cast("int").alias("chunk")
     listed = stage(base.groupBy("dim", chunk).applyInArrow(_pack, "dim int, chunk int, candidates binary"))
-    ranked = lambda score: F.desc(F.col(score).cast(_WIDE))
+    ranked = lambda score: F.desc(F.col(score).cast(WIDE))
 
     def find_positives(anchors: dict, block: dict) -> list[tuple]:
-        return [(int(anchors["uid"][r]), block["id"][c], int(block["uid"][c]), _text(s)) for r, c, s in positives_in(anchors, block, positives)]
+        return [(int(anchors["uid"][r]), block["id"][c], int(block["uid"][c]), score_text(s)) for r, c, s in positives_in(anchors, block, positives)]
 
     first = _search(listed, chunks, asked, blocks, find_positives, "uid long, positive_id long, positive_uid long, score string")
     order = Window.partitionBy("uid").orderBy(ranked("score"), F.asc_nulls_last("positive_id"), "positive_uid")
@@ -245,13 +220,11 @@ def mine(
 
     def find_negatives(anchors: dict, block: dict) -> list[tuple]:
         return [
-            (int(anchors["uid"][r]), anchors["id"][r], anchors["positives"][r][n][0], block["id"][c], int(block["uid"][c]), _text(s))
+            (int(anchors["uid"][r]), anchors["id"][r], anchors["positives"][r][n][0], block["id"][c], int(block["uid"][c]), score_text(s))
             for r, n, c, s in negatives_in(anchors, block, k, share)]
 
     second = _search(listed, chunks, asked.join(windows, "uid"), blocks, find_negatives, "uid long, anchor_id long, n int, negative_id long, negative_uid long, negative string")
     order = Window.partitionBy("uid", "n").orderBy(ranked("negative"), F.asc_nulls_last("negative_id"), "negative_uid")
     best = second.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    limit = lambda n: F.lit(str(n)).cast(_WIDE)
-    held = lambda c: F.least(F.greatest(F.col(c).cast(_WIDE), limit(_LONG.min)), limit(_LONG.max)).cast("long")
     return best.join(first.select("uid", "n", "positive_id", "score"), ["uid", "n"]).select(
-        "anchor_id", "positive_id", "rank", "negative_id", held("score").alias("positive_score"), held("negative").alias("negative_score"))
+        "anchor_id", "positive_id", "rank", "negative_id", as_long("score").alias("positive_score"), as_long("negative").alias("negative_score"))

@@ -71,13 +71,13 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+    SELECT q.uid, q.vec_id AS query_id, c.vec_id, c.uid AS other, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.uid <> q.uid AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0
 ), r AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+    SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
@@ -99,13 +99,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tokenscan.with_place(read(spark, sf_dir, "documents").select("doc_id", "text"))
     folder = scratch_path(spark, "tokens")
-    tokenscan.write_token_files(docs, folder, *tokenizer())
-    # A scan deals the same rows to the same tasks each time, and a task's number is in the name of its file.
-    place = docs.select("doc_id", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("doc_no"))
-    counts = tokenscan.count_tokens(spark, folder).withColumn("task", F.regexp_extract("file", r"part-([0-9]+)", 1).cast("int"))
-    return counts.join(place, ["task", "doc_no"]).select("doc_id", "n_tokens")
+    tokenscan.write_token_files(docs, folder, *tokenizer(), split_by=("file_hash", "file_block"), order_by="file_row")
+    counts = tokenscan.in_file(tokenscan.count_tokens(spark, folder))
+    # Ids come from a scan of its own: the number of a row in its file is the same however either scan was cut.
+    return counts.join(docs.select("doc_id", "file_hash", "file_row"), ["file_hash", "file_row"]).select("doc_id", "n_tokens")
 
 
 @query

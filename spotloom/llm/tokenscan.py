@@ -25,21 +25,48 @@ BLOCK, GROUP = 1 << 20, 4096
 END = 0
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str) -> None:
+def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, split_by: tuple[str, ...] = (), order_by: str | None = None) -> None:
     """Encodes each text as 16-bit little-endian ids plus one, followed by the end id 0, in the order of the rows.
 
-    The rows' bytes go through Spark's text sink as they are; its line separator is the end id.
+    The rows' bytes go through Spark's text sink as they are; its line separator is the end id. With ``split_by``, rows that
+    differ in these columns are in different folders (column=value), each in the order of ``order_by``.
     """
+    kept = [*split_by, *([order_by] if order_by else [])]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = codec(path, pattern)
         if len(coder.lengths) > 0xFFFF:
             raise ValueError("the vocabulary does not fit 16 bits")
         ids = [(np.frombuffer(coder.encode(t), dtype="<u4") + 1).astype("<u2").tobytes() for t in text_list(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *batch.columns[1:]], names=["ids", *kept])
 
-    encoded = map_slices(docs.select("text"), run, "ids binary")
-    encoded.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0\0").option("compression", "none").text(folder)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    encoded = map_slices(docs.select("text", *kept), run, f"ids binary{kinds}")
+    if kept:
+        encoded = encoded.sortWithinPartitions(*kept)
+    rows = encoded.select(F.col("ids").cast("string").alias("value"), *split_by)
+    rows.write.partitionBy(*split_by).option("lineSep", "\0\0").option("compression", "none").text(folder)
+
+
+def with_place(docs: DataFrame) -> DataFrame:
+    """Rows of a file source with the file (as a hash), the block of it that their task reads, and their number in the file.
+
+    The number does not depend on how a scan is cut into tasks; the block does.
+    """
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("file_hash"), F.col("_metadata.file_block_start").alias("file_block"), F.col("_metadata.row_index").alias("file_row"))
+
+
+def in_file(counts: DataFrame) -> DataFrame:
+    """Token counts of files that were split by file_hash and file_block, with file_hash and file_row of each document.
+
+    The blocks of a file follow each other, so a document's number in the file is its number in the block and those of
+    the blocks before.
+    """
+    part = lambda c: F.regexp_extract("file", rf"/{c}=(-?[0-9]+)/", 1).cast("long").alias(c)
+    sizes = counts.groupBy("file").agg(F.count("*").alias("n")).select("file", part("file_hash"), part("file_block"), "n")
+    before = Window.partitionBy("file_hash").orderBy("file_block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("file", "file_hash", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return counts.join(firsts, "file").select("file_hash", (F.col("first") + F.col("doc_no")).alias("file_row"), "n_tokens", "complete")
 
 
 def ends_of(data: bytes, first: int, end: int, width: str) -> np.ndarray:

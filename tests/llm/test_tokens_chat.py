@@ -135,3 +135,27 @@ def test_counts_find_their_documents_over_many_files(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions() > 3
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", kept)
+
+
+def test_token_counts_when_the_second_scan_is_cut_otherwise(spark, tmp_path):
+    from spotloom.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(2)
+    docs.write.option("parquet.block.size", 20_000).option("parquet.page.size", 2_000).option("parquet.page.row.count.limit", 20).parquet(str(tmp_path / "documents.parquet"))
+    coder = bpe.codec(*TOKENIZER)
+    want = {r.doc_id: len(coder.encode(r.text)) // 4 for r in docs.collect()}
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = [spark.conf.get(n) for n in names]
+    cuts = lambda: spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions()
+    try:
+        for n, value in zip(names, ("40000", "1")):
+            spark.conf.set(n, value)
+        first = cuts()
+        found = QUERIES["op5_token_counts"](spark, str(tmp_path))  # writes the token files
+        for n, value in zip(names, kept):
+            spark.conf.set(n, value)
+        assert cuts() != first > 3
+        assert {r.doc_id: r.n_tokens for r in found.collect()} == want
+    finally:
+        for n, value in zip(names, kept):
+            spark.conf.set(n, value)
