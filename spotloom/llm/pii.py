@@ -385,8 +385,8 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
     """
     likely = docs.where(F.col("text").rlike(r"@|[0-9](?:[\x20().-]*[0-9]){9}")).select("doc_id", "text")
     n = likely.agg(F.approx_count_distinct("doc_id")).first()[0]
-    rows = likely.where(hash_share(F.col("doc_id"), sample_rows, n)).select("doc_id", F.substring("text", 1, 20_000).alias("text"))
-    texts = [r.text for r in sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())]
+    rows = likely.where(hash_share(F.col("doc_id"), sample_rows, n)).groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = [r.text for r in rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").collect()]
     x, y = training_windows(texts)
     if not len(x):
         return b""
