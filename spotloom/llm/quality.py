@@ -29,7 +29,7 @@ REPEAT = 0
 SHORTEST, LONGEST = 3, 4
 #: Bound of the training sample: rows, and characters of each (scoring reads whole texts).
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
-MAX_WORDS = 50_000
+MAX_WORDS = 200_000
 HELD_OUT = 1
 
 
