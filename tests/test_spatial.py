@@ -223,3 +223,38 @@ def test_counting_precedes_a_shuffled_lookup(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.index("SortMergeJoin") < plan.index("partial_count")
     assert "GreaterThan(cell_id,0)" in plan
+
+
+def test_nearest_among_crowded_centres_measures_a_few_of_them(monkeypatch):
+    """The centres measured for a cell do not grow with the centres in reach, wherever they crowd; ties go to the lower rank."""
+    rng = np.random.default_rng(3)
+    measured = {}
+    for n in (500, 8000):
+        cx, cy = (np.concatenate([rng.uniform(0, 100, n), rng.normal(30, 1e-3, n), [50.0, 50.0]]) for _ in range(2))
+        cx[-2:], cy[-2:] = (50.0, 54.0), (50.0, 50.0)
+        x, y = np.concatenate([rng.uniform(0, 100, 300), [52.0]]), np.concatenate([rng.uniform(0, 100, 300), [50.0]])
+        order = rng.permutation(len(cx))
+        seen, repeat = [], np.repeat
+
+        def counted(a, times, *rest):
+            out = repeat(a, times, *rest)
+            seen.append(len(out))
+            return out
+
+        monkeypatch.setattr(spatial.np, "repeat", counted)
+        cell, center, distance = spatial._nearest_centers(x, y, cx, cy, order, 60.0)
+        monkeypatch.undo()
+        d = np.sqrt((x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2)
+        assert cell.tolist() == list(range(len(x)))
+        assert center.tolist() == [int(np.lexsort((order, row))[0]) for row in d]
+        assert distance.tolist() == d.min(axis=1).tolist()
+        measured[n] = max(seen[-2:]) / len(x)
+    assert measured[8000] < 100 and measured[8000] < 3 * measured[500]
+
+
+def test_radius_search_over_sparse_cells_and_odd_rows(spark):
+    """Wide buckets, coordinates that are null or not finite, repeated and null cell ids, and text spot ids."""
+    cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 1e6), (2, 5e5, 5e5), (None, 1e6, 1e6 + 3), (4, None, 0.0), (5, float("nan"), 0.0), (6, float("inf"), 0.0)], "cell_id long, centroid_x double, centroid_y double")
+    spots = spark.createDataFrame([("b", 0.0, 4.0), ("a", 4.0, 0.0), ("c", 1e6, 1e6 + 2), ("d", 5e5 - 1, 5e5), ("e", float("nan"), 0.0), ("f", None, 0.0)], "spot_id string, center_x double, center_y double")
+    got = {tuple(r) for r in spatial.nearest_within_radius(cells, spots, 5.0).collect()}
+    assert got == {(1, "a", 4.0), (2, "d", 1.0), (None, "c", 1.0)}
