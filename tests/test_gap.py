@@ -170,3 +170,19 @@ def test_caps_hold_for_each_sample(spark):
     rows = spark.createDataFrame([(s, i) for s, n in (("A", 9), ("B", 4), ("C", 1)) for i in range(n)], "sample_id string, spot_id int")
     kept = splits.sample_n_per(rows, ["sample_id"], 3, 0, "spot_id").groupBy("sample_id").count().collect()
     assert {r["sample_id"]: r["count"] for r in kept} == {"A": 3, "B": 3, "C": 1}
+
+
+@pytest.mark.parametrize("rho", [None, 2.0])
+def test_sinkhorn_over_sliced_blocks(spark, monkeypatch, rho):
+    """Blocks grow with a side, so that few copies of them are shuffled, and are worked through in slices."""
+    rng = np.random.default_rng(5)
+    a, b = ([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 6)))] for n in (60, 45))
+    sides = [spark.createDataFrame(s, "id long, vec array<double>") for s in (a, b)]
+    whole = transport.sinkhorn_cost(*sides, 0.5, 5, rho).first()[0]
+    monkeypatch.setattr(transport, "SLICE", 7)
+    monkeypatch.setattr(transport, "BLOCKS", 2)
+    monkeypatch.setattr(transport, "MOST", 32)
+    packed, made = transport._packed, []
+    monkeypatch.setattr(transport, "_packed", lambda points, name, blocks: made.append(blocks) or packed(points, name, blocks))
+    assert transport.sinkhorn_cost(*sides, 0.5, 5, rho, block=8).first()[0] == pytest.approx(whole, rel=1e-9)
+    assert made == [2, 2]
