@@ -88,7 +88,8 @@ def features(pieces: DataFrame) -> DataFrame:
     begins = (F.col("depth") <= 1) & (F.col("depth") + F.col("opens") >= 2)
     rows = _before(stage(rows.withColumn("begins", begins.cast("long"))), "begins", "_n")
     inside = rows.where((F.col("depth") >= 2) | (F.col("begins") == 1)).withColumn("pos", F.col("_n") + F.col("begins") - 1)
-    inside = texts.select("file", "block", "seq", "value").join(inside, ["file", "block", "seq"])
+    # Both sides hold a row a piece; the staged files are small for what is in them, so their size would call for a broadcast.
+    inside = texts.select("file", "block", "seq", "value").join(inside.hint("merge"), ["file", "block", "seq"])
     # A feature's first piece counts from the brace that opens the second level; a string left open before goes first.
     bare = F.when(F.col("opened"), F.regexp_replace("value", r'^(?:[^"\\]++|\\.)*+"', "")).otherwise(F.col("value"))
     first = F.when(F.col("depth") == 1, F.regexp_extract(bare, rf"(?s)^{_BEFORE}(\{{.*)$", 1)).otherwise(F.regexp_extract(bare, rf"(?s)^{_BEFORE}\{{{_BEFORE}(\{{.*)$", 1))
