@@ -316,3 +316,27 @@ def test_bucketed_expression_is_gathered_without_a_shuffle_of_the_bank(spark, tm
             spark.sql(f"DROP TABLE {writers.bank_table(path)}")  # as in another session
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_many_small_files_are_written_by_many_tasks_and_listed_below_a_folder(spark, tmp_path, monkeypatch):
+    """The rows of a file are few bytes: without a number of tasks all files would be written by one."""
+    from spotloom.catalog import sources as fixtures
+
+    monkeypatch.setattr(fixtures, "FILES_A_TASK", 4)
+    rows = spark.range(20).select(F.format_string("S %02d", "id").alias("sample"), F.lit('{"pixel_size_um_embedded":"0.5","spot_diameter":"55"}').alias("value"))
+    path = str(tmp_path / "many")
+    fixtures.write_each(rows, path)
+    parts = {p.name.split("-")[1] for p in (tmp_path / "many").rglob("part-*.txt")}
+    assert len(parts) > 1
+    found = documents.read_sample_metadata(spark, path, files="*.txt", name=r"sample=([^/]+)/").select(fixtures.named("sample_id")).collect()
+    assert sorted(r[0] for r in found) == [f"S {i:02d}" for i in range(20)]
+
+
+def test_outline_pieces_are_not_broadcast(spark, tmp_path):
+    """The staged piece tables are far smaller on disk than in memory: a broadcast of them would fill the driver."""
+    path = tmp_path / "a.geojson"
+    path.write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"cell_id":"3"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,0]]]}}]}')
+    found = tables.read_geojson(spark, str(path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert [r["cell_id"] for r in found.collect()] == [3]
