@@ -182,3 +182,13 @@ def test_samples_by_threshold_equal_the_first_by_hash(spark, n):
         out = splits.sample_n(df, n, 7, "id", held=held)
         assert sorted(r.id for r in out.collect()) == sorted(want)
         assert "TakeOrderedAndProject" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_median_computes_its_values_once(spark):
+    """Cuts, totals, ranks and sizes read staged counts, not the expression behind the values."""
+    from spotloom.operators import ranking
+
+    rows = spark.range(101).select((F.col("id") % 2).alias("g"), F.udf(lambda i: float(i * i), "double")("id").alias("costly"))
+    found = ranking.exact_median(rows, ["g"], "costly", "m")
+    assert "<lambda>" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(0, 2500.0), (1, 2501.0)}
