@@ -186,3 +186,20 @@ def test_sinkhorn_over_sliced_blocks(spark, monkeypatch, rho):
     monkeypatch.setattr(transport, "_packed", lambda points, name, blocks: made.append(blocks) or packed(points, name, blocks))
     assert transport.sinkhorn_cost(*sides, 0.5, 5, rho, block=8).first()[0] == pytest.approx(whole, rel=1e-9)
     assert made == [2, 2]
+
+
+def test_tables_of_cells_are_merged_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df, stage=reports.stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(reports, "stage", kept)
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    outlines = spark.createDataFrame([("t", "A", i, 0.5, square) for i in range(3)], "technology string, sample_id string, cell_id long, pixel_size_um double, vertices array<struct<x:double,y:double>>")
+    pixels = spark.createDataFrame([("A", i, y, x, 51 * i, 51 * i, 51 * i) for i in range(3) for y in range(2) for x in range(2)], "sample_id string, crop_id long, y int, x int, r int, g int, b int")
+    totals = spark.createDataFrame([("A", 9)], "sample_id string, total long")
+    records = reports.cell_morphology_report(outlines, pixels, totals, with_separation=False)["records"]
+    assert {r["cell_id"]: round(r["gray_mean"], 6) for r in records.collect()} == {0: 0.0, 1: 0.2, 2: 0.4}
+    assert len(plans) == 2 and plans[1].count("SortMergeJoin") == 2 and not any("Broadcast" in p for p in plans)
