@@ -228,8 +228,10 @@ def polygon_patch_overlap(cells: DataFrame, image_size: float = 224.0, patches:
     """(cell_id, patch_idx, overlap_area) for every square the outline touches.
 
     ``vertices`` is one ring or the signed rings of an outline with holes and parts. Candidates come from the bounding
-    box, so a small outline meets a handful of squares.
+    box, so a small outline meets a handful of squares. Outlines are dealt to tasks first, as clipping one costs far more
+    than reading it and a small file would leave all of them to one task.
     """
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = dbl(float(image_size) / patches)
     last = F.lit(patches - 1).cast("long")
 
@@ -240,7 +242,7 @@ def polygon_patch_overlap(cells: DataFrame, image_size: float = 224.0, patches:
 
     box = F.col("_box")
     squares = (
-        cells.select("cell_id", polygons.as_rings("vertices", cells.schema["vertices"].dataType).alias("vertices")).withColumn("_box", polygons.bbox("vertices"))
+        cells.select("cell_id", polygons.as_rings("vertices", cells.schema["vertices"].dataType).alias("vertices")).repartition(tasks, "cell_id").withColumn("_box", polygons.bbox("vertices"))
         .where((box["max_x"] >= 0) & (box["max_y"] >= 0)
                & (box["min_x"] <= dbl(image_size)) & (box["min_y"] <= dbl(image_size)))
         .withColumn("_i", F.explode(F.sequence(bound(box["min_y"], True), bound(box["max_y"], False))))

@@ -258,3 +258,11 @@ def test_radius_search_over_sparse_cells_and_odd_rows(spark):
     spots = spark.createDataFrame([("b", 0.0, 4.0), ("a", 4.0, 0.0), ("c", 1e6, 1e6 + 2), ("d", 5e5 - 1, 5e5), ("e", float("nan"), 0.0), ("f", None, 0.0)], "spot_id string, center_x double, center_y double")
     got = {tuple(r) for r in spatial.nearest_within_radius(cells, spots, 5.0).collect()}
     assert got == {(1, "a", 4.0), (2, "d", 1.0), (None, "c", 1.0)}
+
+
+def test_outlines_of_one_task_are_clipped_by_many(spark):
+    square = ring((1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0))
+    cells = spark.createDataFrame([(i, square) for i in range(64)], "cell_id long, vertices array<struct<x:double,y:double>>").coalesce(1)
+    got = spatial.polygon_patch_overlap(cells, 40.0, 4).select("cell_id", "overlap_area", F.spark_partition_id().alias("task")).where("overlap_area > 0").collect()
+    assert sorted((r["cell_id"], r["overlap_area"]) for r in got) == [(i, 4.0) for i in range(64)]
+    assert len({r["task"] for r in got}) > 1
