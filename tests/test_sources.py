@@ -340,3 +340,19 @@ def test_outline_pieces_are_not_broadcast(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
     assert [r["cell_id"] for r in found.collect()] == [3]
+
+
+def test_name_lists_are_numbered_by_many_tasks(spark, tmp_path):
+    names = [f"name-{i}\tsymbol-{i}" for i in range(200)]
+    # Blank lines and both line ends; a file is cut anywhere, in a line and between its two end characters too.
+    (tmp_path / "genes.tsv").write_bytes(b"".join(n.encode() + (b"\r\n" if i % 3 else b"\n") + (b"  \n\r\n" if i % 7 == 0 else b"") for i, n in enumerate(names)).rstrip())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "257")
+        got = text._indexed(spark, f"{tmp_path}/genes.tsv")
+        assert {r["idx"]: r["parts"] for r in got.collect()} == {i + 1: n.split("\t") for i, n in enumerate(names)}
+        assert got.count() == 200 and got.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)
