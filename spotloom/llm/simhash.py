@@ -10,7 +10,8 @@ blocks of two tiles are compared by exclusive-or and bit count under the same ru
 the links it found, never the links themselves, so a group of thousands of near copies stays linear.
 
 ``near_duplicates`` (the query) links by the fingerprints alone. ``deduplicate`` (the pipeline) takes them as proposals
-and links texts by the Jaccard similarity of their shingle sets.
+and links texts by the Jaccard similarity of their shingle sets. A similarity bounds the ratio of the sets' sizes, so there
+tiles and blocks follow the sizes in place of the population counts, and only those of fitting sizes meet.
 
 Edge cases: a null text counts as empty. A row without doc_id is fingerprinted and links what it resembles, but cannot
 name a component; a component of such rows alone has a null id. Repeated rows give one result row each. An empty table
@@ -111,19 +112,28 @@ def _words(fps: np.ndarray) -> np.ndarray:
     return fps.view(">u8").astype(np.uint64)
 
 
-def compare(left: np.ndarray, right: np.ndarray | None, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within ``left`` (``right`` is None) or between two tiles: indices into both, stacked."""
+def compare(
+    left: np.ndarray, right: np.ndarray | None, bits: int, radius: int, spans: list[np.ndarray] | None = None, reach: float | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links within ``left`` (``right`` is None) or between two tiles: indices into both, stacked.
+
+    ``spans`` (low and high, a row per fingerprint, for either tile) take the place of the population counts, and ``reach``
+    that of the radius, where blocks are skipped.
+    """
     b_fps = left if right is None else right
     shift = 0 if right is None else len(left)
     a_words, b_words = _words(left), _words(b_fps)
-    a_pop, b_pop = _population(left, bits), _population(b_fps, bits)
+    if spans is None:
+        spans, reach = [np.stack([p, p]) for p in (_population(left, bits), _population(b_fps, bits))], radius
+    else:
+        spans = [s.T[:, :, None] for s in (spans[0], spans[-1])]
     a_starts, b_starts = np.arange(0, len(left), BLOCK), np.arange(0, len(b_fps), BLOCK)
-    box = lambda pop, starts: (np.minimum.reduceat(pop, starts), np.maximum.reduceat(pop, starts))
-    (a_low, a_high), (b_low, b_high) = box(a_pop, a_starts), box(b_pop, b_starts)
+    box = lambda span, starts: (np.minimum.reduceat(span[0], starts), np.maximum.reduceat(span[1], starts))
+    (a_low, a_high), (b_low, b_high) = box(spans[0], a_starts), box(spans[1], b_starts)
     forest = _Forest(shift + len(b_fps))
     for i, a in enumerate(a_starts):
         mine = a_words[a:a + BLOCK]
-        near = np.flatnonzero(_gap(a_low[i], a_high[i], b_low, b_high) <= radius)
+        near = np.flatnonzero(_gap(a_low[i], a_high[i], b_low, b_high) <= reach)
         for j in near if right is not None else near[near >= i]:
             b = b_starts[j]
             other = b_words[b:b + BLOCK]
@@ -138,66 +148,104 @@ def compare(left: np.ndarray, right: np.ndarray | None, bits: int, radius: int)
     return child, forest.parent[child]
 
 
-def _plan(classes: list, n: int, bits: int):
-    """Tiles of the classes of equal population counts: rows (sig, first tile, tiles) and the tiles' boxes."""
-    parts = _parts(bits)
+def _plan(classes: list[tuple[int, int, np.ndarray, np.ndarray]], n: int):
+    """Tiles of the classes (sig, count, box), in their order: rows (sig, first tile, tiles) and the tiles' boxes."""
     size = max(TILE, int(16 * math.sqrt(n)))
     rows, low, high = [], [], []
     room = 0
-    for sig, count in sorted(classes, key=lambda c: (sum(c[0].to_bytes(parts, "big")), c[0])):
-        pop = np.frombuffer(sig.to_bytes(parts, "big"), dtype=np.uint8).astype(np.int64)
+    for sig, count, least, most in classes:
         if count > room:
             tiles, room = -(-count // size), 0
             rows.append((sig, len(low), tiles))
-            low += [pop] * tiles
-            high += [pop] * tiles
+            low += [least] * tiles
+            high += [most] * tiles
             room = size - count if tiles == 1 else 0
         else:
             room -= count
             rows.append((sig, len(low) - 1, 1))
-            low[-1], high[-1] = np.minimum(low[-1], pop), np.maximum(high[-1], pop)
-    return rows, np.array(low).reshape(-1, parts), np.array(high).reshape(-1, parts)
+            low[-1], high[-1] = np.minimum(low[-1], least), np.maximum(high[-1], most)
+    return rows, np.array(low), np.array(high)
+
+
+def _by_population(classed: DataFrame, bits: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Classes of equal population counts, (bits / parts + 1) ** parts at most."""
+    parts = _parts(bits)
+    found = [(r.sig, r["count"]) for r in classed.groupBy("sig").count().collect()]
+    pop = {sig: np.frombuffer(sig.to_bytes(parts, "big"), dtype=np.uint8).astype(np.int64) for sig, _ in found}
+    return [(sig, count, pop[sig], pop[sig]) for sig, count in sorted(found, key=lambda c: (pop[c[0]].sum(), c[0]))]
+
+
+#: Classes of sizes in an octave.
+OCTAVE = 8
 
 
-def linked(found: DataFrame, bits: int, radius: int) -> DataFrame:
-    """Links between distinct fingerprints (column ``fp``): a spanning forest per pair of tiles, columns ``a`` and ``b``."""
+def _scale(sizes: np.ndarray) -> np.ndarray:
+    """Logarithms of sizes; an empty set, which resembles no other, lies out of reach of all."""
+    return np.where(sizes > 0, np.log(np.maximum(sizes, 1)), -100.0)
+
+
+def _by_size(classed: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Classes of sizes, ``OCTAVE`` an octave."""
+    found = classed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    return [(r.sig, r.n, *_scale(np.array([[r.low], [r.high]]))) for r in sorted(found, key=lambda r: r.sig)]
+
+
+def linked(found: DataFrame, bits: int, radius: int, ratio: float | None = None) -> DataFrame:
+    """Links between distinct fingerprints (column ``fp``): a spanning forest per pair of tiles, columns ``a`` and ``b``.
+
+    With ``ratio`` each fingerprint has the least and greatest size of its sets (``low``, ``high``), and links count only
+    between fingerprints with sets whose sizes have that ratio at least: tiles and blocks of other sizes do not meet.
+    """
     spark = found.sparkSession
     parts, width = _parts(bits), bits // 8
+    # Slack for rounding of the logarithms.
+    sized, reach = ratio is not None, radius if ratio is None else -math.log(ratio) + 1e-9
+    kept = ["fp", "low", "high"] if sized else ["fp"]
 
     def classify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, width)
-        sig = (_population(fps, bits) << np.arange(8 * (parts - 1), -1, -8)).sum(axis=1)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.int64())], names=["fp", "sig"])
+        if sized:
+            sig = np.floor(np.log2(batch.column(1).to_numpy() + 1) * OCTAVE).astype(np.int64)
+        else:
+            fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, width)
+            sig = (_population(fps, bits) << np.arange(8 * (parts - 1), -1, -8)).sum(axis=1)
+        return batch.append_column("sig", pa.array(sig, pa.int64()))
 
-    classed = stage(map_slices(found.select("fp"), classify, "fp binary, sig bigint", rows=4096))
-    classes = [(r.sig, r["count"]) for r in classed.groupBy("sig").count().collect()]  # (bits / parts + 1) ** parts rows at most
-    rows, low, high = _plan(classes, sum(c for _, c in classes), bits)
+    classed = stage(map_slices(found.select(*kept), classify, ", ".join(f"{c} {'binary' if c == 'fp' else 'bigint'}" for c in (*kept, "sig")), rows=4096))
+    classes = _by_size(classed) if sized else _by_population(classed, bits)
+    rows, low, high = _plan(classes, sum(c[1] for c in classes))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         fps = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint8).reshape(-1, width)
-        pop = _population(fps, bits)
-        order = np.lexsort((*pop.T[::-1], pop.sum(axis=1)))
+        if sized:
+            spans = np.column_stack([_scale(table[c].to_numpy()) for c in ("low", "high")])
+            order = np.argsort(spans[:, 0], kind="stable")
+        else:
+            pop = _population(fps, bits)
+            spans, order = np.zeros(0), np.lexsort((*pop.T[::-1], pop.sum(axis=1)))
         tile = key[0].as_py()
-        near = np.flatnonzero(_gap(low[tile], high[tile], low, high) <= radius).astype(np.int32)
-        return pa.table({"tile": pa.array([tile], pa.int32()), "fps": pa.array([fps[order].tobytes()], pa.binary()), "near": pa.array([near], pa.list_(pa.int32()))})
+        near = np.flatnonzero(_gap(low[tile], high[tile], low, high) <= reach).astype(np.int32)
+        return pa.table({"tile": pa.array([tile], pa.int32()), "fps": pa.array([fps[order].tobytes()], pa.binary()),
+                         "spans": pa.array([spans[order].tobytes() if sized else b""], pa.binary()), "near": pa.array([near], pa.list_(pa.int32()))})
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tiles = [np.frombuffer(f, dtype=np.uint8).reshape(-1, width) for _, f in sorted(zip(table["tile"].to_pylist(), table["fps"].to_pylist()))]
+        held = sorted(zip(*(table[c].to_pylist() for c in ("tile", "fps", "spans"))))
+        tiles = [np.frombuffer(f, dtype=np.uint8).reshape(-1, width) for _, f, _ in held]
+        spans = [np.frombuffer(s).reshape(-1, 2) for _, _, s in held] if sized else None
         alone = key[0].as_py() == key[1].as_py()
         if len(tiles) < 2 and not alone:  # the partner tile has no rows
             child = parent = np.zeros(0, dtype=np.int64)
         else:
-            child, parent = compare(tiles[0], None if alone else tiles[1], bits, radius)
+            child, parent = compare(tiles[0], None if alone else tiles[1], bits, radius, spans, reach)
         stacked = np.concatenate(tiles)
         take = lambda at: pa.array([r.tobytes() for r in stacked[at]], pa.binary())
         return pa.table({"a": take(child), "b": take(parent)})
 
-    # One row per class of population counts, so the table has the same bound as above.
+    # One row per class, so the table has the same bound as above.
     places = F.broadcast(spark.createDataFrame(rows, "sig bigint, first int, tiles int"))
-    tiles = classed.join(places, "sig").select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("tiles"))).cast("int").alias("tile"), "fp")
-    packed = stage(tiles.groupBy("tile").applyInArrow(pack, "tile int, fps binary, near array<int>"))
-    pairs = packed.select("tile", "fps", F.explode("near").alias("other"))
-    pairs = pairs.select(F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "fps")
+    tiles = classed.join(places, "sig").select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("tiles"))).cast("int").alias("tile"), *kept)
+    packed = stage(tiles.groupBy("tile").applyInArrow(pack, "tile int, fps binary, spans binary, near array<int>"))
+    pairs = packed.select("tile", "fps", "spans", F.explode("near").alias("other"))
+    pairs = pairs.select(F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "fps", "spans")
     return pairs.groupBy("lo", "hi").applyInArrow(search, "a binary, b binary")
 
 
@@ -295,10 +343,11 @@ def similar(docs: DataFrame, nodes: DataFrame, width: int, bits: int, radius: in
     """Links ``a``, ``b`` between the shingle sets ``nodes`` (key, n, fp, k) of ``docs`` that connect all sets which links
     of at least the similarity connect.
 
-    The tiles propose groups by fingerprints. A group is cut into blocks of bounded size by hash, every two blocks of it
-    meet in a task, and the sets themselves decide there.
+    The tiles propose groups by fingerprints of sets of fitting sizes. A group is cut into blocks of bounded size by hash,
+    every two blocks of it meet in a task, and the sets themselves decide there.
     """
-    near = components(linked(nodes.select("fp").distinct(), bits, radius)).withColumnRenamed("node", "fp")
+    prints = nodes.groupBy("fp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = components(linked(prints, bits, radius, similarity)).withColumnRenamed("node", "fp")
     placed = stage(nodes.join(near, "fp", "left").withColumn("group", F.coalesce("label", "fp")).select("key", "n", "fp", "k", "group"))
     groups = placed.groupBy("group").agg(F.count("*").alias("sets"), F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     groups = groups.where("sets > 1").select("group", "blocks")

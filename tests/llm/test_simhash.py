@@ -136,3 +136,35 @@ def test_deduplication_follows_shingle_similarity(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
     assert kept == {find(i) for i in range(len(texts))}
+
+
+def test_sets_of_unlike_sizes_do_not_meet(spark):
+    fp = lambda *bits: sum(1 << b for b in bits).to_bytes(32, "big")
+    rows = [(fp(1), 100, 100), (fp(2), 80, 80), (fp(3), 79, 79), (fp(4), 300, 400), (fp(5), 500, 500), (fp(6), 501, 501), (fp(7), 0, 0), (fp(8), 1, 1)]
+    links = simhash.linked(spark.createDataFrame(rows, "fp binary, low bigint, high bigint"), 256, 72, 0.8).collect()
+    place = {r[0]: r[1:] for r in rows}
+    groups = {frozenset(rows.index((bytes(f), *place[bytes(f)])) for f in (x.a, x.b)) for x in links}
+    root = {i: i for i in range(len(rows))}
+    for a, b in map(sorted, groups):
+        root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+    assert root[0] == root[1] == root[2] and root[3] == root[4] == root[5]  # one tile compares whole blocks
+
+
+def test_tiles_meet_by_size():
+    sizes = np.unique(np.geomspace(1, 20000, 4000).astype(int))
+    classes = {}
+    for n in sizes.tolist():
+        classes.setdefault(int(np.log2(n + 1) * simhash.OCTAVE), []).append(n)
+    listed = [(sig, simhash.TILE, *simhash._scale(np.array([[min(c)], [max(c)]]))) for sig, c in sorted(classes.items())]
+    rows, low, high = simhash._plan(listed, simhash.TILE * len(listed))
+    met = np.array([simhash._gap(a, b, low, high) <= -np.log(0.8) + 1e-9 for a, b in zip(low, high)])
+    assert met.mean() < 0.15
+    tile = {n: first for sig, first, _ in rows for n in classes[sig]}
+    for n in sizes.tolist():
+        for m in sizes[(sizes >= n) & (0.8 * sizes <= n)].tolist():
+            assert met[tile[n], tile[m]]
+    blocks = np.log(np.repeat([100.0, 1000.0], simhash.BLOCK))
+    spans = np.column_stack([blocks, blocks])
+    prints = np.zeros((len(blocks), 32), dtype=np.uint8)
+    child, parent = simhash.compare(prints, None, 256, 72, [spans], 0.2232)
+    assert set(parent.tolist()) == {0, simhash.BLOCK} and len(child) == len(blocks) - 2
