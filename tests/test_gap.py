@@ -203,3 +203,42 @@ def test_tables_of_cells_are_merged_not_broadcast(spark, monkeypatch):
     records = reports.cell_morphology_report(outlines, pixels, totals, with_separation=False)["records"]
     assert {r["cell_id"]: round(r["gray_mean"], 6) for r in records.collect()} == {0: 0.0, 1: 0.2, 2: 0.4}
     assert len(plans) == 2 and plans[1].count("SortMergeJoin") == 2 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("searched", [4, 0])
+def test_spots_from_cells_gather_only_the_genes_asked_for(spark, monkeypatch, searched):
+    from spotloom.plans import evaluation
+
+    monkeypatch.setattr(evaluation, "SEARCHED", searched)
+    rng = np.random.default_rng(31)
+    x, values = rng.normal(size=(12, 3)), rng.normal(size=(12, 5))
+    bank = points(spark, x)
+    expr = spark.createDataFrame([(i, f"G{g}", float(values[i, g])) for i in range(12) for g in range(5)], "id long, gene string, value double")
+    panel = spark.createDataFrame([(g, f"G{g}") for g in range(5)], "pos long, gene string")
+    spots = spark.createDataFrame([("s", 1, 0.0, 0.0), ("s", 2, 10.0, 0.0), ("t", 1, 0.0, 0.0)], "sample_id string, spot_id long, center_x double, center_y double")
+    cells = [("s", 1, 0.5), ("s", 2, 1.0), ("s", 3, 10.5), ("t", 1, 0.1), ("t", 9, 90.0)]
+    asked = rng.normal(size=(5, 3))
+    at = spark.createDataFrame([(s, c, px, 0.0) for s, c, px in cells], "sample_id string, cell_id long, centroid_x double, centroid_y double")
+    twice = [0, 1, 1, 2, 3, 4]  # one cell has two rows
+    vecs = spark.createDataFrame([(*cells[i][:2], asked[i].tolist()) for i in twice], "sample_id string, cell_id long, vec array<double>")
+    stored = spark.createDataFrame([("s", 1, "G1", 3), ("s", 2, "G2", 4), ("t", 1, "G4", 5)], "sample_id string, spot_id long, gene string, cnt long")
+    seen, predict = [], retrieval.predict
+
+    def watched(matches, expression, *a, **o):
+        seen.append(expression)
+        return predict(matches, expression, *a, **o)
+
+    monkeypatch.setattr(evaluation.retrieval, "predict", watched)
+    pairs, _, _ = evaluation.infer_spots_from_cells(spots, at, stored, bank, expr, vecs, panel, radius=3.0, k=3)
+    assert {r["gene"] for r in seen[0].select("gene").distinct().collect()} == {"G1", "G2", "G4"}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = unit(asked) @ unit(x).T
+    total = {}
+    for i in twice[:-1]:
+        near = np.argsort(-score[i])[:3]
+        w = np.exp(score[i][near]) / np.exp(score[i][near]).sum()
+        key = ("s", 1 if i < 2 else 2) if i < 3 else ("t", 1)
+        for g in (1, 2) if key[0] == "s" else (4,):
+            total[(*key, f"G{g}")] = total.get((*key, f"G{g}"), 0.0) + np.expm1(w @ values[near, g])
+    got = {(r["sample_id"], r["entity_id"], r["gene"]): r["pred"] for r in pairs.collect()}
+    assert got == {k: pytest.approx(np.log1p(max(v, 0.0)), abs=1e-12) for k, v in total.items()}
